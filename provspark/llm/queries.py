@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, fingerprint, line_dedup
 from .shared import read_table
 
 
@@ -12,10 +12,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_fingerprints": op4_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
     "op6_decontamination": op6_decontamination,
 }
 
 ORACLE_SQL = {
+    "op8_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
 }
