@@ -189,7 +189,7 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
     right = p.argmax(axis=1) == y[held] if len(held) else np.zeros(0, bool)
     even = 1 / n_out
     lowest = float(p.max(axis=1)[right].min()) if right.any() else even
-    threshold = min(even + 0.05, even + 0.5 * (lowest - even)) if n_out > 1 else 0.0
+    threshold = min(even + 0.15, even + 0.5 * (lowest - even)) if n_out > 1 else 0.0
     return Model(languages, logits, temperature, threshold, settings)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, language, line_dedup
+from . import decontamination, fingerprint, html_text, language, line_dedup
 from .shared import read_table
 
 
@@ -12,6 +12,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_query(read_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_fingerprints": op4_fingerprints,
     "op8_line_dedup": op8_line_dedup,
