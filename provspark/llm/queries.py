@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, html_text, language, line_dedup
+from . import decontamination, fingerprint, html_text, language, line_dedup, packing
 from .shared import read_table
 
 
@@ -24,6 +24,17 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing query uses; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +43,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_fingerprints": op4_fingerprints,
+    "op5_packing": op5_packing,
     "op8_line_dedup": op8_line_dedup,
     "op6_decontamination": op6_decontamination,
 }
