@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, html_text, language, line_dedup, packing
+from . import decontamination, fingerprint, html_text, language, line_dedup, near_dedup, packing
 from .shared import read_table
 
 
@@ -12,6 +12,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_fingerprints": op4_fingerprints,
