@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, html_text, language, line_dedup, near_dedup, packing
+from . import decontamination, fingerprint, html_text, language, line_dedup, near_dedup, packing, suffix_dedup
 from .shared import read_table
 
 
@@ -39,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_line_dedup": op8_line_dedup,
     "op6_decontamination": op6_decontamination,
 }
