@@ -7,9 +7,8 @@ one at the same place in each copy.  Suffixes whose ten words occur in one
 document alone are dropped by a pre-aggregated count.  The rest are sorted by
 their words over range partitions, in which a frequent key is split like any
 other, and neighbours of different documents are compared: matches extend right
-and left, and those of at least 50 words are kept.  The first and last suffix of
-every partition are compared with their neighbours on the driver (two records
-a partition).  Longer passages are the union of their windows' matches.
+and left, and those of at least 50 words are kept.  The first and last ``NEAR``
+suffixes of every partition are compared across its borders on the driver.  Longer passages are the union of their windows' matches.
 
 Contexts hold 16 bits a word beyond the 64-bit key, enough to find the borders
 of a match: a border is a word off about once in 65,000.
@@ -27,6 +26,8 @@ from .shared import materialize, slices, text_bytes
 
 MIN_WORDS = 50
 KEY_WORDS = 10
+#: Neighbours in sorted order that a suffix is compared with.
+NEAR = 16
 _U = np.uint64
 
 
@@ -111,23 +112,31 @@ class Suffixes:
         self.key, self.rid, self.pos = (batch.column(c).to_numpy() for c in ("key", "rid", "pos"))
         self.right, self.left = wide("right"), wide("left")
 
-    def matches(self, min_words: int) -> list[tuple]:
-        """(record, left words, right words) of matches between neighbours."""
+    def matches(self, min_words: int) -> list[np.ndarray]:
+        """(record, left words, right words) of matches between near neighbours.
+
+        In the order of the suffixes each record is compared with the NEAR ones of
+        its key that follow its document's run, so a key of few suffixes is compared exhaustively; those
+        of a larger key also in the order of what stands before them.
+        """
         n = len(self.key)
+        out = [(np.zeros(0, np.int64),) * 3]
         group = np.concatenate([[0], np.cumsum(self.key[1:] != self.key[:-1])]) if n else np.zeros(0, np.int64)
-        out = []
-        by_left = np.lexsort((np.ascontiguousarray(self.left).view(f"S{2 * self.side}").ravel(), group)) if n else np.zeros(0, np.int64)
+        large = np.flatnonzero(np.bincount(group, minlength=1)[group] > NEAR + 1)
+        by_left = large[np.lexsort((np.ascontiguousarray(self.left[large]).view(f"S{2 * self.side}").ravel(), group[large]))] if len(large) else large
         for order in (np.arange(n), by_left):
-            rid, own = self.rid[order], group[order]
-            # the next record of another document, past a run of the same one
-            fresh = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (own[1:] != own[:-1])])) if n else np.zeros(0, np.int64)
-            run = np.searchsorted(fresh, np.arange(n), "right") - 1
-            starts = np.append(fresh, n)
-            after = starts[run + 1] if n else np.zeros(0, np.int64)
-            before = starts[run] - 1 if n else np.zeros(0, np.int64)
-            for other in (after, before):
-                i = np.flatnonzero((other >= 0) & (other < n))
+            size = len(order)
+            own, rid = group[order], self.rid[order]
+            # the NEAR records after a run of one document's, and the one before it
+            fresh = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (own[1:] != own[:-1])])) if size else np.zeros(0, np.int64)
+            run = np.searchsorted(fresh, np.arange(size), "right") - 1
+            after = np.append(fresh, size)[run + 1]
+            for other in [fresh[run] - 1, *(after + d for d in range(NEAR))]:
+                i = np.flatnonzero((other >= 0) & (other < size))
                 i = i[own[i] == own[other[i]]]
+                if not len(i):
+                    continue
+                i = i[rid[i] != rid[other[i]]]
                 a, b = order[i], order[other[i]]
                 right, left = _equal_run(self.right[a], self.right[b]), _equal_run(self.left[a], self.left[b])
                 long = right + left + KEY_WORDS >= min_words
@@ -150,28 +159,28 @@ def _compare(min_words: int):
         columns = [table.column("rid").take(take), table.column("doc_id").take(take), pa.array(pairs[1].astype(np.int32)), pa.array(pairs[2].astype(np.int32)), pa.nulls(n, pa.int64()), nothing, nothing]
         return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["rid", "doc_id", "start", "end", "key", "right", "left"])
 
-    def edge(row: pa.RecordBatch, pos_as_end: int) -> pa.RecordBatch:
+    def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [row.column("rid"), row.column("doc_id"), row.column("pos"), pa.array([pos_as_end], pa.int32()), row.column("key"), row.column("right"), row.column("left")],
+            [rows.column("rid"), rows.column("doc_id"), rows.column("pos"), pa.nulls(rows.num_rows, pa.int32()), rows.column("key"), rows.column("right"), rows.column("left")],
             names=["rid", "doc_id", "start", "end", "key", "right", "left"],
         )
 
     def run(batches):
-        """Matches, and the partition's first (end -1) and last (end -2) record."""
-        held: pa.Table | None = None
-        last = None
+        """Matches, and the first and last NEAR records of the partition."""
+        held: list[pa.RecordBatch] = []
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if last is None:
-                yield edge(batch.slice(0, 1), -1)
-            last = batch.slice(batch.num_rows - 1, 1)
+            if first:
+                yield edge(batch.slice(0, NEAR))
+                first = False
             # the next batch begins with this one's end: neighbours stay neighbours
-            table = pa.Table.from_batches([*(held.to_batches() if held is not None else []), batch])
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
             yield spans(table)
-            held = table.slice(max(0, table.num_rows - 64))
-        if last is not None:
-            yield edge(last, -2)
+            held = table.slice(max(0, table.num_rows - NEAR)).to_batches()
+        for batch in held:
+            yield edge(batch)
 
     return run
 
@@ -200,7 +209,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = ordered.mapInArrow(_compare(min_words), schema)
     found = materialize(marked, "matches")
     spans = found.where("key is null").select("rid", "doc_id", "start", "end")
-    edges = found.where("key is not null").orderBy("key", "right", "rid", "start", F.col("end").asc()).collect()
+    edges = found.where("key is not null").select("key", "right", "left", "rid", "doc_id", "start").distinct().orderBy("key", "right", "rid", "start").collect()
     joined = _edge_matches(edges, min_words, side)
     if joined:
         spans = spans.unionByName(spark.createDataFrame(joined, spans.schema))
