@@ -38,8 +38,8 @@ CLASSES = TOP_WORDS + TAIL_CLASSES
 CONTEXT = 4
 DIMENSIONS = 16
 NOISE = 32
-BATCH = 512
-RATE = 0.3
+BATCH = 2048
+RATE = 0.1
 _U = np.uint64
 #: The token that ends a text.
 END = _U(0xE4D0_F7E1_7000_0001)
@@ -206,36 +206,45 @@ def contexts(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_nce(weights: Weights, context: np.ndarray, target: np.ndarray, noise_log: np.ndarray, rng: np.random.Generator) -> None:
-    """One pass of noise-contrastive estimation; noise is shared by a minibatch."""
-    share = np.exp(noise_log)
-    share /= share.sum()
-    log_kp = (np.log(share) + np.log(NOISE)).astype(np.float32)
-    drawn = rng.choice(CLASSES, size=(len(target) // BATCH + 1, NOISE), p=share)
-    for n, at in enumerate(range(0, len(target), BATCH)):
-        c, t, noise = context[at : at + BATCH], target[at : at + BATCH], drawn[n]
-        size = len(t)
-        h = weights.inputs[0][c[:, 0]].copy()
+class Trainer:
+    """Noise-contrastive estimation with per-weight (Adagrad) steps; noise is shared by a minibatch."""
+
+    def __init__(self, weights: Weights) -> None:
+        self.weights = weights
+        self.squares = [np.full(x.shape, 1e-6, np.float32) for x in (weights.inputs, weights.outputs, weights.bias)]
+        self.share = np.exp(weights.bias.astype(np.float64))
+        self.share /= self.share.sum()
+        self.log_kp = (np.log(self.share) + np.log(NOISE)).astype(np.float32)
+        self.lanes = np.arange(DIMENSIONS)
+
+    def _scatter(self, rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        at = (rows[:, None] * DIMENSIONS + self.lanes).ravel()
+        return np.bincount(at, weights=values.ravel(), minlength=size * DIMENSIONS).reshape(size, DIMENSIONS).astype(np.float32)
+
+    def step(self, c: np.ndarray, t: np.ndarray, noise: np.ndarray) -> None:
+        w, size = self.weights, len(t)
+        h = w.inputs[0].take(c[:, 0], axis=0)
         for j in range(1, CONTEXT):
-            h += weights.inputs[j][c[:, j]]
-        q, b = weights.outputs, weights.bias
-        good = np.einsum("ij,ij->i", h, q[t]) + b[t] - log_kp[t]
-        bad = h @ q[noise].T + b[noise] - log_kp[noise]
+            h += w.inputs[j].take(c[:, j], axis=0)
+        q_t, q_n = w.outputs.take(t, axis=0), w.outputs.take(noise, axis=0)
+        good = np.einsum("ij,ij->i", h, q_t) + w.bias[t] - self.log_kp[t]
+        bad = h @ q_n.T
+        bad += w.bias[noise] - self.log_kp[noise]
         g = 1 / (1 + np.exp(good))  # pull the data up
         d = -1 / (1 + np.exp(-bad))  # push the noise down
-        step = RATE / size * 16
-        back = g[:, None] * q[t] + d @ q[noise]
-        one = np.zeros((size, CLASSES), np.float32)
-        one[np.arange(size), t] = g
-        grad_q = one.T @ h
-        np.add.at(grad_q, noise, d.T @ h)
-        grad_b = one.sum(axis=0)
-        np.add.at(grad_b, noise, d.sum(axis=0))
-        back = (back * step).astype(np.float32)
-        for j in range(CONTEXT):
-            np.add.at(weights.inputs[j], c[:, j], back)
-        weights.outputs += step * grad_q
-        weights.bias += step * grad_b * 0.2
+        back = g[:, None] * q_t + d @ q_n
+        grad_q = self._scatter(t, g[:, None] * h, CLASSES) + self._scatter(noise, d.T @ h, CLASSES)
+        grad_b = np.bincount(t, weights=g, minlength=CLASSES) + np.bincount(noise, weights=d.sum(axis=0), minlength=CLASSES)
+        grad_in = np.stack([self._scatter(c[:, j], back, CLASSES + 1) for j in range(CONTEXT)])
+        for x, square, grad in zip((w.inputs, w.outputs, w.bias), self.squares, (grad_in, grad_q, grad_b.astype(np.float32))):
+            grad /= size
+            square += grad * grad
+            x += RATE * grad / np.sqrt(square)
+
+    def run(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+        drawn = rng.choice(CLASSES, size=(len(target) // BATCH + 1, NOISE), p=self.share)
+        for n, at in enumerate(range(0, len(target), BATCH)):
+            self.step(context[at : at + BATCH], target[at : at + BATCH], drawn[n])
 
 
 def _unpack(batch: pa.RecordBatch, row: int):
@@ -247,6 +256,7 @@ def _train(shared_var):
     def run(batches):
         counts, start = shared_var.value
         weights = Weights(start.inputs.copy(), start.outputs.copy(), start.bias.copy())
+        trainer = Trainer(weights)
         seen = 0
         for batch in batches:
             for row in range(batch.num_rows):
@@ -265,7 +275,7 @@ def _train(shared_var):
                     context = contexts(classes[base:high], cut)[own - base]
                     rng = np.random.default_rng(seen + 1)
                     mixed = rng.permutation(len(own))
-                    train_nce(weights, context[mixed], classes[own][mixed], start.bias, rng)
+                    trainer.run(context[mixed], classes[own][mixed], rng)
                     seen += len(own)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([random.SystemRandom().getrandbits(30)], pa.int64()), pa.array([float(seen)]), pa.array([weights.to_bytes()], pa.binary())], names=["ticket", "seen", "weights"])

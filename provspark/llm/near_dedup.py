@@ -243,31 +243,24 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
     needed = keyed.withColumnRenamed("doc_id", "v").join(F.broadcast(ids) if small else ids, "v", "left_semi")
     sequences = needed.mapInArrow(_sequences, "v long, seq binary").dropDuplicates(["v"])
     sequences = materialize(sequences, "sequences")
-    edges = None
-    labels = ids.select("v", F.col("v").alias("label"))
+    # a label is a vertex that the member is known to be connected with
     current = members.withColumn("label", F.col("v"))
-    tested = None
+    edges = spark.createDataFrame([], "a long, b long")
     leaders = 1
     while True:
         rank = [F.xxhash64(F.lit(n), "v") for n in range(leaders)]
-        lead = current.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.array(*[F.min_by(F.struct("v", "label"), r) for r in rank])).alias("leaders")
-        )
-        lead = materialize(lead.where(F.col("low") != F.col("high")).select("bucket", "leaders"), "leaders")
-        if lead.isEmpty():
-            return labels
-        meet = current.join(lead, "bucket").select("v", "label", F.explode("leaders").alias("l")).where(F.col("l.label") != F.col("label"))
-        pairs = meet.select(F.col("l.v").alias("a"), F.col("v").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label"), r) for r in rank])) if leaders > 1 else F.array(F.min_by(F.struct("v", "label"), rank[0]))
+        lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), found.alias("leaders"))
+        met = current.join(lead.where(F.col("low") != F.col("high")).select("bucket", "leaders"), "bucket")
+        met = materialize(met, "met")
+        pairs = met.select("v", "label", F.explode("leaders").alias("l")).where((F.col("l.label") != F.col("label")) & (F.col("l.v") != F.col("v")))
+        pairs = materialize(pairs.select(F.col("l.v").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            return connected_components(edges)
         links = materialize(_links(pairs, sequences), "links")
-        edges = links.select("a", "b") if edges is None else edges.unionByName(links.select("a", "b"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = connected_components(edges)
-        labels = materialize(ids.join(found, "v", "left").select("v", F.coalesce("label", "v").alias("label")), "classes")
+        edges = edges.unionByName(links.select("a", "b"))
         # leaders have met everyone in their buckets
-        left = current.select("bucket", "v").join(lead.select("bucket", F.explode("leaders.v").alias("v")), ["bucket", "v"], "left_anti")
-        left = left.join(lead.select("bucket"), "bucket", "left_semi")
-        current = materialize(left.join(labels, "v"), "members")
+        heard = links.groupBy("b").agg(F.min("a").alias("heard")).withColumnRenamed("b", "v")
+        left = met.where(~F.array_contains(F.transform("leaders", lambda x: x["v"]), F.col("v"))).select("bucket", "v", "label")
+        current = materialize(left.join(heard, "v", "left").select("bucket", "v", F.least("label", "heard").alias("label")), "members")
         leaders = min(64, 8 * leaders)
