@@ -30,12 +30,12 @@ UNDETERMINED = "und"
 class Settings:
     """Parameters; sample_rows bounds what the classifier is fitted on."""
 
-    sample_rows: int = 4000
-    sample_text_points: int = 20_000  # longer texts aren't put into the sample
+    sample_rows: int = 1600
+    sample_text_points: int = 6_000  # longer texts aren't put into the sample
     buckets: int = 1 << 15
     dimensions: int = 16
     grams: tuple = (2, 3, 4)
-    epochs: int = 12
+    epochs: int = 24
     batch: int = 32
     rate: float = 0.5
     crop: int = 64  # n-grams of a training crop: short texts are learned too
@@ -110,7 +110,7 @@ def gram_buckets(points: np.ndarray, offsets: np.ndarray, settings: Settings) ->
         h = h[inner]
         h ^= h >> _U(29)
         h *= _U(0xBF58476D1CE4E5B9)
-        ids = ((h >> _U(40)) % _U(settings.buckets)).astype(np.int64)
+        ids = ((h >> _U(40)) % _U(settings.buckets)).astype(np.int32)
         out.append((ids, np.concatenate([[0], np.cumsum(inner)])[np.minimum(offsets, m)], inner))
     return out, before[offsets[1:]] - before[offsets[:-1]]
 

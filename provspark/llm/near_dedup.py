@@ -9,8 +9,9 @@ expanded.
 
 Buckets are resolved by leaders: every member is aligned with a leader of its
 bucket, links join components, and as long as a bucket spans several components
-further leaders (more of them each round) are aligned with the members of other
-components.  So each pair of a bucket is either aligned or already connected,
+further leaders (more of them in later rounds) are aligned with the members of
+other components.  Large buckets are first rid of members with so many shingles
+of their own that no alignment could reach the similarity.  So each pair of a bucket is either aligned or already connected,
 without listing the pairs of a group.  Alignment runs on the shingle sequences
 inside the diagonal band that the similarity allows: with M the longest common
 subsequence, M / (|A| + |B| - M) >= 0.8 is a link.
@@ -37,6 +38,10 @@ SAMPLED = 4
 BROADCAST_IDS = 500_000
 #: Members that a copy of a leader's sequence serves.
 SERVED = 64
+#: Leaders of a bucket in the first rounds, and in each later one.
+LEADERS = (1, 2, 4, 16, 64)
+#: Buckets with more members are first rid of members that can't have a partner there.
+LARGE_BUCKET = 64
 _U = np.uint64
 
 
@@ -91,7 +96,7 @@ def _shingle_labels(data: np.ndarray, offsets: np.ndarray):
 
 def _sketch(batches):
     for whole in batches:
-        for batch in slices(whole, "text", 2 << 20):
+        for batch in slices(whole, "text"):
             data, offsets = text_bytes(batch.column("text"))
             words, values, cuts = _shingle_labels(data, offsets)
             k1, k2 = (k.astype(np.int64) for k in K.sequence_keys(words.hashes, words.offsets))
@@ -109,7 +114,7 @@ def _sketch(batches):
 
 def _sequences(batches):
     for whole in batches:
-        for batch in slices(whole, "text", 2 << 20):
+        for batch in slices(whole, "text"):
             _, values, cuts = _shingle_labels(*text_bytes(batch.column("text")))
             small = values.astype(np.uint32).tobytes()
             out = [small[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
@@ -229,13 +234,77 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("v"), F.first("bands").alias("bands"))
     contents = materialize(contents, "contents")
     banded = contents.select("v", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = materialize(banded.join(shared, "bucket"), "members")
     labels = _resolve(spark, members, keyed)
     classes = contents.select("k1", "k2", "v").join(labels, "v", "left").select("k1", "k2", F.coalesce("label", "v").alias("class_id"))
     return sketches.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
 
 
+def _deal_shingles(shards: int):
+    def run(batches):
+        for batch in batches:
+            parts = [np.unique(np.frombuffer(x, np.uint32)) for x in batch.column("seq").to_pylist()]
+            values = np.concatenate([np.zeros(0, np.uint32), *parts])
+            owners = np.repeat(batch.column("v").to_numpy(), [len(x) for x in parts])
+            shard = (values.astype(np.uint64) * np.uint64(shards)) >> np.uint64(32)
+            order = np.argsort(shard, kind="stable")
+            values, owners = values[order], owners[order]
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            used = np.flatnonzero(np.diff(cuts)).tolist()
+            raw = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()) for x in (values, owners)]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *raw], names=["shard", "shingles", "owners"])
+
+    return run
+
+
+def _lonely(table: pa.Table) -> pa.Table:
+    """How many of a shard's shingles each vertex has to itself."""
+    values = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()])
+    owners = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
+    _, first, counts = np.unique(values, return_index=True, return_counts=True)
+    v, n = np.unique(owners[first[counts == 1]], return_counts=True)
+    return pa.table({"v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def _lonely_counts(hot: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(v, size, own) of the vertices of hot: their shingles, and those no other of hot has."""
+    mine = materialize(sequences.join(hot, "v", "left_semi"), "hot-sequences")
+    total = mine.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
+    shards = max(16, -(-total // (8 << 20)))
+    dealt = mine.mapInArrow(_deal_shingles(shards), "shard int, shingles binary, owners binary")
+    lonely = dealt.groupBy("shard").applyInArrow(_lonely, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    counts = mine.select("v", (F.octet_length("seq") / 4).cast("int").alias("size")).join(lonely, "v", "left")
+    return counts.select("v", "size", F.coalesce("n", F.lit(0)).cast("int").alias("own"))
+
+
+def _may_match(size_a, own_a, size_b, own_b):
+    """Whether an alignment can reach the similarity: lonely shingles match nothing."""
+    most = F.least(size_a - own_a, size_b - own_b)
+    return (size_a == 0) | (most >= SIMILARITY * (size_a + size_b - most) - 1e-6)
+
+
+def _bounded(members: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(bucket, v, size, own): members of large buckets with their counts (else 0, 0).
+
+    Members that can't be similar to any size of text in their bucket are left
+    out.  A second pass sees which shingles that makes lonely.  All of it is exact.
+    """
+    small = members.where(F.col("n") <= LARGE_BUCKET).select("bucket", "v", F.lit(0).alias("size"), F.lit(0).alias("own"))
+    large = members.where(F.col("n") > LARGE_BUCKET).select("bucket", "v")
+    for _ in range(2):
+        counts = materialize(_lonely_counts(large.select("v").distinct(), sequences), "lonely")
+        if counts.isEmpty():
+            return materialize(small, "members")
+        counted = large.join(counts, "v")
+        least = counted.groupBy("bucket").agg(F.min("size").alias("least"))
+        most = F.col("size") - F.col("own")
+        possible = most >= SIMILARITY * (F.col("size") + F.greatest("least", most) - most) - 1e-6
+        kept = materialize(counted.join(least, "bucket").where(possible).select("bucket", "v", "size", "own"), "large-buckets")
+        large = kept.select("bucket", "v")
+    return kept.unionByName(small)
+
+
 def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
     """(v, label) of the vertices that some link reached."""
     ids = materialize(members.select("v").distinct(), "vertices")
@@ -243,24 +312,31 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
     needed = keyed.withColumnRenamed("doc_id", "v").join(F.broadcast(ids) if small else ids, "v", "left_semi")
     sequences = needed.mapInArrow(_sequences, "v long, seq binary").dropDuplicates(["v"])
     sequences = materialize(sequences, "sequences")
-    # a label is a vertex that the member is known to be connected with
-    current = members.withColumn("label", F.col("v"))
+    current = _bounded(members, sequences).withColumn("label", F.col("v"))
     edges = spark.createDataFrame([], "a long, b long")
-    leaders = 1
+    labels = spark.createDataFrame([], "v long, label long")
+    round_ = 0
     while True:
-        rank = [F.xxhash64(F.lit(n), "v") for n in range(leaders)]
-        found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label"), r) for r in rank])) if leaders > 1 else F.array(F.min_by(F.struct("v", "label"), rank[0]))
+        leaders = LEADERS[min(round_, len(LEADERS) - 1)]
+        round_ += 1
+        # the most central member leads first, then members in several random orders
+        member = F.struct("v", "label", "size", "own")
+        rank = [F.struct((F.col("own") / F.greatest("size", F.lit(1))).alias("share"), F.xxhash64("v").alias("h")), *[F.xxhash64(F.lit(n), "v") for n in range(1, leaders)]]
+        found = F.array_distinct(F.array(*[F.min_by(member, r) for r in rank]))
         lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), found.alias("leaders"))
         met = current.join(lead.where(F.col("low") != F.col("high")).select("bucket", "leaders"), "bucket")
         met = materialize(met, "met")
-        pairs = met.select("v", "label", F.explode("leaders").alias("l")).where((F.col("l.label") != F.col("label")) & (F.col("l.v") != F.col("v")))
-        pairs = materialize(pairs.select(F.col("l.v").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            return connected_components(edges)
-        links = materialize(_links(pairs, sequences), "links")
-        edges = edges.unionByName(links.select("a", "b"))
+        to_try = F.filter("leaders", lambda l: (l["label"] != F.col("label")) & (l["v"] != F.col("v")) & _may_match(l["size"], l["own"], F.col("size"), F.col("own")))
+        pairs = met.select("v", F.explode(F.transform(to_try, lambda l: l["v"])).alias("a"))
+        pairs = materialize(pairs.select("a", F.col("v").alias("b")).distinct(), "pairs")
         # leaders have met everyone in their buckets
-        heard = links.groupBy("b").agg(F.min("a").alias("heard")).withColumnRenamed("b", "v")
-        left = met.where(~F.array_contains(F.transform("leaders", lambda x: x["v"]), F.col("v"))).select("bucket", "v", "label")
-        current = materialize(left.join(heard, "v", "left").select("bucket", "v", F.least("label", "heard").alias("label")), "members")
-        leaders = min(64, 8 * leaders)
+        left = met.where(~F.array_contains(F.transform("leaders", lambda x: x["v"]), F.col("v"))).drop("leaders")
+        if not pairs.isEmpty():
+            links = materialize(_links(pairs, sequences), "links")
+            if not links.isEmpty():
+                edges = edges.unionByName(links.select("a", "b"))
+                labels = connected_components(edges)
+                left = left.drop("label").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        current = materialize(left.select("bucket", "v", "size", "own", "label"), "members")
+        if current.isEmpty():
+            return labels

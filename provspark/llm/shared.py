@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at once.  A longer single text is
 #: a slice of its own, so no text is ever cut.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
