@@ -1,9 +1,68 @@
-"""Corpus cleaning pipeline (stages are added as their operators land)."""
+"""Corpus cleaning: from the documents table to packed training sequences.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept; its result is written as Parquet and read again by the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provspark.llm import decontamination, language, line_dedup, near_dedup, packing
+from provspark.llm.queries import tokenizer_path
+from provspark.llm.shared import materialize, read_table
+
+#: Language scores and whole packings aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the language model rejects; a missing lang is filled in."""
+    model = language.fit(docs)
+    found = language.predict(docs, model, docs.columns).where(~F.col("rejected"))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep repeated lines in one document only; a document left empty goes."""
+    done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    done = done.where((F.col("n_dropped") == 0) | (F.length("kept_text") > 0))
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return done.withColumns({c: new[c] for c in new if c in docs.columns}).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of every class, once."""
+    classes = near_dedup.near_duplicates(docs)
+    keep = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_v")).distinct()
+    kept = docs.withColumn("_v", near_dedup.vertex()).join(keep, "_v", "left_semi")
+    return kept.dropDuplicates(["_v"]).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    found = decontamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where(F.col("n_hit") == 0).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -211,7 +211,7 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _kernel(tests_var, last: bool):
+def _kernel(tests_var, last: bool, keep: list):
     def run(batches):
         tests = tests_var.value
         for whole in batches:
@@ -232,7 +232,7 @@ def _kernel(tests_var, last: bool):
                     seen = np.unique(np.concatenate([tests.item_index[tests.item_offsets[w] : tests.item_offsets[w + 1]] for w in np.unique(window[own])]))
                     items[d] = sorted({*items[d], *(tests.item_ids[i] for i in seen)})
                 run_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                columns = {"doc_id": batch.column("doc_id")}
+                columns = {c: batch.column(c) for c in keep}
                 if last:
                     spans = [[] for _ in runs]
                     for d, own in enumerate(runs):
@@ -242,18 +242,18 @@ def _kernel(tests_var, last: bool):
                             spans[d] = [{"start": int(points[words.starts[base + r["start"]] - first]), "end": int(points[words.ends[base + r["end"] - 1] - first])} for r in own]
                     columns |= {"n_words": pa.array(words.counts, pa.int64()), "n_hit": pa.array([sum(r["end"] - r["start"] for r in own) for own in runs], pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, run_type)}
                 else:
-                    columns |= {"text": batch.column("text"), "runs": pa.array(runs, run_type), "items": pa.array(items, pa.list_(pa.string()))}
+                    columns |= {"text": batch.column("text")} | {"runs": pa.array(runs, run_type), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, keep: tuple = ("doc_id",)) -> DataFrame:
     """Occurrences of the benchmark's word windows in each document.
 
     docs needs doc_id and text, benchmark item_id and text; other columns, also
     ones with this result's names, are ignored.  Returns a row per row of docs:
-    doc_id, n_words, n_hit (words inside an occurrence), items (ids, sorted as
+    the columns in keep, n_words, n_hit (words inside an occurrence), items (ids, sorted as
     strings, with an occurring window), spans (merged removal spans in code
     points, end exclusive).  Null or empty text: no words, no hits.  Repeated
     rows are independent.  A benchmark without words: no hits.  Benchmark rows
@@ -262,16 +262,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.expr(f"cast(array() as {RUN})").alias("runs"), F.expr("cast(array() as array<string>)").alias("items"))
-    id_type = out.schema["doc_id"].dataType.simpleString()
+    keep = list(keep)
+    out = docs.select(*(c for c in keep if c != "text"), F.col("text").cast("string").alias("text"), F.expr(f"cast(array() as {RUN})").alias("runs"), F.expr("cast(array() as array<string>)").alias("items"))
+    fields = "".join(f"`{c}` {out.schema[c].dataType.simpleString()}, " for c in keep)
+    with_text = fields if "text" in keep else fields + "text string, "
     for n in range(blocks):
         block = benchmark.select("item_id", "text")
         if blocks > 1:
             block = block.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
         tests = spark.sparkContext.broadcast(test_windows([tuple(r) for r in block.collect()], window))
         last = n == blocks - 1
-        schema = f"doc_id {id_type}, n_words long, n_hit long, items array<string>, spans {RUN}" if last else f"doc_id {id_type}, text string, runs {RUN}, items array<string>"
-        out = out.mapInArrow(_kernel(tests, last), schema)
+        schema = f"{fields}n_words long, n_hit long, items array<string>, spans {RUN}" if last else f"{with_text}runs {RUN}, items array<string>"
+        out = out.mapInArrow(_kernel(tests, last, keep), schema)
     return out
 
 

@@ -214,7 +214,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return train([r["text"] for r in sample], [r["lang"] for r in sample], settings)
 
 
-def _kernel(model_var):
+def _kernel(model_var, keep):
     def run(batches):
         model = model_var.value
         names = np.array([*model.languages, UNDETERMINED], object)
@@ -228,8 +228,7 @@ def _kernel(model_var):
                     score = np.where(n_letters > 0, p.max(axis=1), 0.0)
                 rejected = (n_letters == 0) | (score < model.threshold)
                 new = [pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-                old = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in old), *new], names=[*old, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, "lang_pred", "score", "rejected"])
 
     return run
 
@@ -243,7 +242,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> Data
     model_var = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, rejected boolean"])
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(_kernel(model_var), schema)
+    rows = docs.select(*(c for c in keep if c != "text"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_kernel(model_var, keep), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

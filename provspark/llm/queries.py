@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, html_text, language, line_dedup, near_dedup, packing, suffix_dedup
+from . import chat_format, decontamination, fingerprint, html_text, language, line_dedup, lm_score, near_dedup, packing, suffix_dedup
 from .shared import read_table
 
 
@@ -47,18 +47,29 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.preference_query(read_table(spark, sf_dir, "conversations"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_line_dedup": op8_line_dedup,
-    "op6_decontamination": op6_decontamination,
+    "op9_preference_chat": op9_preference_chat,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
     "op8_line_dedup": line_dedup.ORACLE,
+    "op9_preference_chat": chat_format.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
 }
