@@ -132,24 +132,23 @@ def sections(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("start_line", "level")
     rows = rows.withColumn("ordinal", (F.row_number().over(w) - 1).cast("long")).withColumn("end_line", F.lead("start_line").over(w)).withColumn("end_line", F.coalesce("end_line", "n_lines"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # the nearest heading of each smaller level; the last of them is the parent
-    for level in range(1, 6):
-        rows = rows.withColumn(f"_l{level}", F.last(F.when(F.col("level") == level, F.col("ordinal")), ignorenulls=True).over(before))
-    nearest = [F.when((F.col("level") > n) & (F.col("level") > 0), F.col(f"_l{n}")) for n in range(1, 6)]
-    rows = rows.withColumn("parent", F.greatest(*nearest)).withColumn("heading_key", canonical_heading(F.col("heading")))
-    up = rows.select(F.col(key).alias("_k"), F.col("ordinal").alias("_o"), F.col("parent").alias("_p"), F.col("heading").alias("_h"), F.col("heading_key").alias("_hk"))
-    rows = rows.withColumn("heading_path", F.array("heading")).withColumn("keys", F.array("heading_key")).withColumn("_up", F.col("parent")).drop(*[f"_l{n}" for n in range(1, 6)])
-    for _ in range(5):  # at most six levels
-        rows = (
-            rows.join(up, (F.col(key) == F.col("_k")) & (F.col("_up") == F.col("_o")), "left")
-            .withColumn("heading_path", F.when(F.col("_o").isNotNull(), F.concat(F.array("_h"), "heading_path")).otherwise(F.col("heading_path")))
-            .withColumn("keys", F.when(F.col("_o").isNotNull(), F.concat(F.array("_hk"), "keys")).otherwise(F.col("keys")))
-            .withColumn("_up", F.col("_p"))
-            .drop("_k", "_o", "_p", "_h", "_hk")
-        )
+    rows = rows.withColumn("heading_key", canonical_heading(F.col("heading")))
+    # the nearest heading of each smaller level; it is an ancestor unless one of a
+    # still smaller level came after it, and the last of them is the parent
+    own = F.struct("ordinal", "heading", "heading_key")
+    nearest = {n: F.last(F.when(F.col("level") == n, own), ignorenulls=True).over(before) for n in range(1, 6)}
+    rows = rows.select("*", *[nearest[n].alias(f"_l{n}") for n in nearest])
+    above = []
+    for n in nearest:
+        latest = F.greatest(F.col("_l1.ordinal"), F.lit(-1), *[F.col(f"_l{m}.ordinal") for m in range(2, n + 1)])
+        above.append(F.when((F.col("level") > n) & (F.col(f"_l{n}.ordinal") == latest), F.col(f"_l{n}")))
+    rows = rows.withColumn("_above", F.filter(F.array(*above), lambda x: x.isNotNull()))
+    rows = rows.withColumn("parent", F.get(F.col("_above"), F.size("_above") - 1)["ordinal"])
+    rows = rows.withColumn("heading_path", F.concat(F.transform("_above", lambda x: x["heading"]), F.array("heading")))
+    rows = rows.withColumn("keys", F.concat(F.transform("_above", lambda x: x["heading_key"]), F.array("heading_key"))).drop("_above", *[f"_l{n}" for n in nearest])
     rows = rows.withColumn("heading_path_key", F.array_join("keys", "/"))
     again = Window.partitionBy(key, "heading_path_key").orderBy("ordinal")
-    rows = rows.withColumn("occurrence", F.row_number().over(again).cast("long")).drop("_up", "keys", "n_lines")
+    rows = rows.withColumn("occurrence", F.row_number().over(again).cast("long")).drop("keys", "n_lines")
     return rows.withColumn("id", section_id(F.col(key).cast("string"), F.col("heading_path_key"), F.col("occurrence")))
 
 
