@@ -164,6 +164,8 @@ class FMIndex:
 def _reduced(words: K.Words, tests: TestWindows) -> tuple[np.ndarray, np.ndarray]:
     """Symbols to index, with separator 1 after each run, and each one's word index."""
     v = tests.vocabulary
+    if not len(v) or not len(words.hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.searchsorted(v, words.hashes)
     at[at == len(v)] = 0
     known = v[at] == words.hashes
