@@ -7,13 +7,14 @@ order of the text; documents with an equal sample meet in a bucket.  Documents
 with equal word sequences are one vertex from the start, so copies are never
 expanded.
 
-Buckets are resolved by leaders: every member is aligned with a leader of its
-bucket, links join components, and as long as a bucket spans several components
-further leaders (more of them in later rounds) are aligned with the members of
-other components.  Large buckets are first rid of members with so many shingles
-of their own that no alignment could reach the similarity.  So each pair of a bucket is either aligned or already connected,
-without listing the pairs of a group.  Alignment runs on the shingle sequences
-inside the diagonal band that the similarity allows: with M the longest common
+Buckets are resolved in rounds.  First every member is aligned with a leader of
+its bucket, then with a few more, and links join components: a large group of near
+copies becomes one component without its pairs being listed.  In buckets that still
+span several components the remaining pairs are bounded by shingle profiles (512
+counters, whose minima are at least what two texts share), and those that could
+reach the similarity are aligned.  So each pair of a bucket is aligned, connected
+already, or proven too different.  Alignment runs on the shingle sequences inside
+the diagonal band that the similarity allows: with M the longest common
 subsequence, M / (|A| + |B| - M) >= 0.8 is a link.
 """
 
@@ -38,10 +39,11 @@ SAMPLED = 4
 BROADCAST_IDS = 500_000
 #: Members that a copy of a leader's sequence serves.
 SERVED = 64
-#: Leaders of a bucket in the first rounds, and in each later one.
-LEADERS = (1, 2, 4, 16, 64)
-#: Buckets with more members are first rid of members that can't have a partner there.
-LARGE_BUCKET = 64
+#: Leaders of a bucket in the rounds before the rest is decided pair by pair.
+LEADERS = (1, 4)
+#: Counters of a text's shingle profile, and members of a bucket that one task pairs.
+PROFILE = 512
+BLOCK = 1024
 _U = np.uint64
 
 
@@ -241,68 +243,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return sketches.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
 
 
-def _deal_shingles(shards: int):
-    def run(batches):
-        for batch in batches:
-            parts = [np.unique(np.frombuffer(x, np.uint32)) for x in batch.column("seq").to_pylist()]
-            values = np.concatenate([np.zeros(0, np.uint32), *parts])
-            owners = np.repeat(batch.column("v").to_numpy(), [len(x) for x in parts])
-            shard = (values.astype(np.uint64) * np.uint64(shards)) >> np.uint64(32)
-            order = np.argsort(shard, kind="stable")
-            values, owners = values[order], owners[order]
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            used = np.flatnonzero(np.diff(cuts)).tolist()
-            raw = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()) for x in (values, owners)]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *raw], names=["shard", "shingles", "owners"])
-
-    return run
-
-
-def _lonely(table: pa.Table) -> pa.Table:
-    """How many of a shard's shingles each vertex has to itself."""
-    values = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()])
-    owners = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
-    _, first, counts = np.unique(values, return_index=True, return_counts=True)
-    v, n = np.unique(owners[first[counts == 1]], return_counts=True)
-    return pa.table({"v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64())})
-
-
-def _lonely_counts(hot: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(v, size, own) of the vertices of hot: their shingles, and those no other of hot has."""
-    mine = materialize(sequences.join(hot, "v", "left_semi"), "hot-sequences")
-    total = mine.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
-    shards = max(16, -(-total // (8 << 20)))
-    dealt = mine.mapInArrow(_deal_shingles(shards), "shard int, shingles binary, owners binary")
-    lonely = dealt.groupBy("shard").applyInArrow(_lonely, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
-    counts = mine.select("v", (F.octet_length("seq") / 4).cast("int").alias("size")).join(lonely, "v", "left")
-    return counts.select("v", "size", F.coalesce("n", F.lit(0)).cast("int").alias("own"))
-
-
-def _may_match(size_a, own_a, size_b, own_b):
-    """Whether an alignment can reach the similarity: lonely shingles match nothing."""
-    most = F.least(size_a - own_a, size_b - own_b)
-    return (size_a == 0) | (most >= SIMILARITY * (size_a + size_b - most) - 1e-6)
-
-
-def _bounded(members: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(bucket, v, size, own): members of large buckets with their counts (else 0, 0).
-
-    Members that can't be similar to any size of text in their bucket are left
-    out.  A second pass sees which shingles that makes lonely.  All of it is exact.
+def _profiles(batches):
+    """Counts of the shingles by hash: their minima bound what two texts share."""
+    for batch in batches:
+        seqs = [np.frombuffer(x, np.uint32) for x in batch.column("seq").to_pylist()]
+        counts = [np.bincount((x.astype(np.uint64) * np.uint64(PROFILE) >> np.uint64(32)).astype(np.int64), minlength=PROFILE).astype(np.uint16).tobytes() for x in seqs]
+        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([len(x) for x in seqs], pa.int32()), pa.array(counts, pa.binary())], names=["v", "size", "profile"])
+
+
+def _bounded_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of a bucket's block with all its members that aren't connected yet and
+    whose profiles leave room for the similarity."""
+    v, label, size, own = (table.column(c).to_numpy() for c in ("v", "label", "size", "own"))
+    profile = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint16).reshape(len(v), PROFILE)
+    mine = np.flatnonzero(own)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(mine), step := max(1, 4096 // len(v))):
+        rows = mine[at : at + step]
+        least, most = np.minimum(size[rows, None], size), np.maximum(size[rows, None], size)
+        i, j = np.nonzero((least >= SIMILARITY * most - 1e-6) & (label[rows, None] != label) & ((v[rows, None] < v) | ~own[None, :].astype(bool)))
+        for k in range(0, len(i), 8192):
+            x, y = rows[i[k : k + 8192]], j[k : k + 8192]
+            shared = np.minimum(profile[x], profile[y]).sum(axis=1, dtype=np.int64)
+            ok = shared >= SIMILARITY * (size[x].astype(np.int64) + size[y] - shared) - 1e-6
+            out.append((v[x[ok]], v[y[ok]]))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*out) if out else ([], [])))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _remaining_pairs(met: DataFrame, sequences: DataFrame) -> DataFrame:
+    """All pairs of met(bucket, v, label, n) that an alignment has still to decide.
+
+    A bucket is one task's group up to BLOCK members; a larger one is dealt into
+    blocks, each of which meets the whole bucket.
     """
-    small = members.where(F.col("n") <= LARGE_BUCKET).select("bucket", "v", F.lit(0).alias("size"), F.lit(0).alias("own"))
-    large = members.where(F.col("n") > LARGE_BUCKET).select("bucket", "v")
-    for _ in range(2):
-        counts = materialize(_lonely_counts(large.select("v").distinct(), sequences), "lonely")
-        if counts.isEmpty():
-            return materialize(small, "members")
-        counted = large.join(counts, "v")
-        least = counted.groupBy("bucket").agg(F.min("size").alias("least"))
-        most = F.col("size") - F.col("own")
-        possible = most >= SIMILARITY * (F.col("size") + F.greatest("least", most) - most) - 1e-6
-        kept = materialize(counted.join(least, "bucket").where(possible).select("bucket", "v", "size", "own"), "large-buckets")
-        large = kept.select("bucket", "v")
-    return kept.unionByName(small)
+    profiles = sequences.mapInArrow(_profiles, "v long, size int, profile binary")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = met.select("bucket", "v", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("home"))
+    dealt = dealt.select("bucket", "v", "label", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = dealt.join(profiles, "v").select("bucket", "block", "v", "label", (F.col("home") == F.col("block")).cast("int").alias("own"), "size", "profile")
+    return rows.groupBy("bucket", "block").applyInArrow(_bounded_pairs, "a long, b long").distinct()
 
 
 def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -312,31 +292,23 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
     needed = keyed.withColumnRenamed("doc_id", "v").join(F.broadcast(ids) if small else ids, "v", "left_semi")
     sequences = needed.mapInArrow(_sequences, "v long, seq binary").dropDuplicates(["v"])
     sequences = materialize(sequences, "sequences")
-    current = _bounded(members, sequences).withColumn("label", F.col("v"))
+    current = members.select("bucket", "v", F.col("v").alias("label"))
     edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
-    round_ = 0
-    while True:
-        leaders = LEADERS[min(round_, len(LEADERS) - 1)]
-        round_ += 1
-        # the most central member leads first, then members in several random orders
-        member = F.struct("v", "label", "size", "own")
-        rank = [F.struct((F.col("own") / F.greatest("size", F.lit(1))).alias("share"), F.xxhash64("v").alias("h")), *[F.xxhash64(F.lit(n), "v") for n in range(1, leaders)]]
-        found = F.array_distinct(F.array(*[F.min_by(member, r) for r in rank]))
-        lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), found.alias("leaders"))
-        met = current.join(lead.where(F.col("low") != F.col("high")).select("bucket", "leaders"), "bucket")
-        met = materialize(met, "met")
-        to_try = F.filter("leaders", lambda l: (l["label"] != F.col("label")) & (l["v"] != F.col("v")) & _may_match(l["size"], l["own"], F.col("size"), F.col("own")))
-        pairs = met.select("v", F.explode(F.transform(to_try, lambda l: l["v"])).alias("a"))
-        pairs = materialize(pairs.select("a", F.col("v").alias("b")).distinct(), "pairs")
-        # leaders have met everyone in their buckets
-        left = met.where(~F.array_contains(F.transform("leaders", lambda x: x["v"]), F.col("v"))).drop("leaders")
-        if not pairs.isEmpty():
-            links = materialize(_links(pairs, sequences), "links")
-            if not links.isEmpty():
-                edges = edges.unionByName(links.select("a", "b"))
-                labels = connected_components(edges)
-                left = left.drop("label").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        current = materialize(left.select("bucket", "v", "size", "own", "label"), "members")
-        if current.isEmpty():
-            return labels
+    for leaders in (*LEADERS, 0):
+        rank = [F.xxhash64(F.lit(n), "v") for n in range(max(1, leaders))]
+        found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label"), r) for r in rank]))
+        lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), found.alias("leaders"))
+        met = materialize(current.join(lead.where(F.col("low") != F.col("high")).select("bucket", "n", "leaders"), "bucket"), "met")
+        if leaders:
+            to_try = F.filter("leaders", lambda l: (l["label"] != F.col("label")) & (l["v"] != F.col("v")))
+            pairs = met.select("v", F.explode(F.transform(to_try, lambda l: l["v"])).alias("a")).select("a", F.col("v").alias("b")).distinct()
+        else:
+            pairs = _remaining_pairs(met, sequences)
+        links = materialize(_links(materialize(pairs, "pairs"), sequences), "links")
+        current = met.select("bucket", "v", "label")
+        if not links.isEmpty():
+            edges = edges.unionByName(links.select("a", "b"))
+            labels = connected_components(edges)
+            current = current.drop("label").join(labels, "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
+    return labels

@@ -61,8 +61,8 @@ def test_classes_match_brute_force(spark):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    """A bucket beyond LARGE_BUCKET: bounds and leaders lose no link."""
-    monkeypatch.setattr(N, "LARGE_BUCKET", 8)
+    """Buckets of several blocks: bounds and leaders lose no link."""
+    monkeypatch.setattr(N, "BLOCK", 8)
     rng = random.Random(1)
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
     rows = []
