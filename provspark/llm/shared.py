@@ -14,7 +14,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at once.  A longer single text is
 #: a slice of its own, so no text is ever cut.
@@ -82,8 +81,3 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 
 def list_array(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-
-
-def row_key(text: str = "text", doc_id: str = "doc_id"):
-    """Tells rows apart that share a doc_id: (doc_id, hash of the text)."""
-    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"))
