@@ -247,6 +247,30 @@ def test_passages_edges(spark):
     assert {tuple(r) for r in S.repeated_passages(frame(spark, [(1, same), (None, same)])).collect()} == {(1, 0, 60), (None, 0, 60)}
 
 
+def test_passages_left_of_a_frequent_phrase(spark, monkeypatch):
+    """Two documents in 600 share 60 words that end in a phrase which all hold."""
+    rng = random.Random(5)
+    prose = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    phrase = prose(30)
+    rows = [(i, f"{prose(30)} {phrase} {prose(30)}") for i in range(600)]
+    for a, b in ((7, 411), (90, 91), (200, 599)):
+        before = prose(30)
+        rows[a], rows[b] = ((i, f"{before} {phrase} {prose(30)}") for i in (a, b))
+    expected = brute_passages(rows)
+    assert len(expected) == 6
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        assert {tuple(r) for r in S.repeated_passages(frame(spark, rows)).collect()} == expected
+        monkeypatch.setattr(S, "LARGE", 100)
+        assert {tuple(r) for r in S.repeated_passages(frame(spark, rows)).collect()} == expected
+        rows = corpus(120, 17) + [(10_000 + i, " ".join(["echo"] * 170) + f" tail{i}") for i in range(3)]
+        assert {tuple(r) for r in S.repeated_passages(frame(spark, rows)).collect()} == brute_passages(rows)
+        monkeypatch.setattr(S, "LARGE", 0)
+        assert {tuple(r) for r in S.repeated_passages(frame(spark, rows)).collect()} == brute_passages(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def brute_lines(rows):
     key = lambda line: line.strip(" \t\n\x0b\f\r").translate(UPPER)
     holders = defaultdict(set)
