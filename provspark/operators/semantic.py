@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     """In double precision."""
@@ -31,3 +36,47 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None
 
     scored = vectors.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col("q"), F.col("embedding"))).drop("q")
     return top_k(scored, k, tiebreak or ["vec_id"])
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    """A list column as rows of length one; zero rows stay zero."""
+    if not len(column):
+        return np.zeros((0, 0))
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
+def _nearest(k: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                queries, vectors = (batch.column(c).slice(i, 1).flatten() for c in ("queries", "vectors"))
+                score = np.round(_unit(queries.field("q")) @ _unit(vectors.field("embedding")).T, 6)
+                ids = vectors.field("vec_id").to_numpy()
+                by_id = np.argsort(ids)
+                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
+                row = np.repeat(np.arange(len(best)), best.shape[1])
+                columns = [queries.field("query_id").take(pa.array(row)), pa.array(ids[best.ravel()]), pa.array(score[row, best.ravel()])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def search_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank as of :func:`search`, for query tables that grow with the vectors.
+
+    Blocks of queries meet blocks of vectors in one product each; nothing is
+    broadcast on purpose, and the k best of every pair of blocks are ranked.
+    """
+
+    def blocks(df: DataFrame, size: int, key: str, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // size))
+        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias(name)).drop("block")
+
+    pairs = blocks(queries.select("query_id", "q"), QUERY_BLOCK, "query_id", "queries").crossJoin(blocks(vectors.select("vec_id", "embedding"), VECTOR_BLOCK, "vec_id", "vectors"))
+    types = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString())
+    # few rows a batch: a row holds two blocks
+    best = pairs.mapInArrow(_nearest(k), f"query_id {types[0]}, vec_id {types[1]}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")

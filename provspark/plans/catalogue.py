@@ -181,8 +181,18 @@ def _index(spark, sf_dir):
     return lexical.build_postings(_windows(spark, sf_dir), ["doc_id", "ordinal"], ["path", "authority", "priority"])
 
 
-def _query_terms(spark, sf_dir):
-    return V.queries(spark, sf_dir).select("query_id", F.explode("terms").alias("term"))
+def _query_terms(spark, sf_dir, whole=False):
+    return V.queries(spark, sf_dir, whole).select("query_id", F.explode("terms").alias("term"))
+
+
+def _whole(f):
+    """Adds the query over all tokens of the benchmark texts, for which there is no SQL, beside the one over the first five."""
+
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, whole=True)
+
+    QUERIES[f"{f.__name__}_whole"] = run
+    return f
 
 
 _BM25_VIEWS = ("v_docs", "v_windows", "v_terms", "v_query_terms")
@@ -210,14 +220,16 @@ _TOP = "SELECT query_id, doc_id, ordinal, round(score, 6) AS score, rank FROM (S
 
 
 @query(_bm25_sql(_TOP.format(where="")))
-def bm25_topk_batch(spark, sf_dir):
-    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir))
+@_whole
+def bm25_topk_batch(spark, sf_dir, whole=False):
+    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole))
     return lexical.top_k(hits, 10, ["path", "ordinal"]).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_bm25_sql(_TOP.format(where=" WHERE authority >= 3")))
-def bm25_filtered_topk(spark, sf_dir):
-    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir), FilterSet(authority_floor=3).predicate())
+@_whole
+def bm25_filtered_topk(spark, sf_dir, whole=False):
+    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole), FilterSet(authority_floor=3).predicate())
     return lexical.top_k(hits, 10, ["path", "ordinal"]).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"), "rank")
 
 
@@ -227,9 +239,10 @@ def bm25_filtered_topk(spark, sf_dir):
    SELECT query_id, doc_id, ordinal, path, authority, priority, score, 'bm25' AS channel FROM bm
    UNION ALL SELECT q.query_id, doc_id, ordinal, path, authority, priority, 2.0, 'exact' FROM v_windows w JOIN (SELECT item_id AS query_id, string_split(text, '.')[1] AS term FROM benchmark) q ON contains(w.chunk, q.term))
   GROUP BY ALL)) WHERE rank <= 10"""))
-def lexical_union_boosted(spark, sf_dir):
+@_whole
+def lexical_union_boosted(spark, sf_dir, whole=False):
     """BM25 rows and rows with the whole phrase, which adds 2 to the score."""
-    bm = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir)).withColumn("channel", F.lit("bm25"))
+    bm = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole)).withColumn("channel", F.lit("bm25"))
     q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", r"\."), F.lit(0)).alias("term"))
     exact = _windows(spark, sf_dir).join(F.broadcast(q), F.contains("chunk", "term")).withColumn("score", F.lit(2.0)).withColumn("channel", F.lit("exact"))
     both = bm.unionByName(exact.select(bm.columns)).groupBy("query_id", "doc_id", "ordinal", "path", "authority", "priority").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_list("channel")), ",").alias("channels"))
@@ -256,6 +269,20 @@ def cosine_label_filtered(spark, sf_dir):
     return semantic.search(q, e.where(F.col("label").isin(1, 2)), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def cosine_topk_whole(spark, sf_dir):
+    """Every row whose id is divisible by 20 as a query, in blocks against all rows."""
+    e = V.embeddings(spark, sf_dir)
+    return semantic.search_blocks(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e, 10)
+
+
+@query()
+def cosine_label_filtered_whole(spark, sf_dir):
+    e = V.embeddings(spark, sf_dir)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return semantic.search_blocks(q, e.where(F.col("label").isin(1, 2)), 10)
+
+
 @query(_bm25_sql("""SELECT query_id, doc_id, ordinal, round(score, 9) AS score, channels, rank FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(score / 0.02, 0) DESC, authority DESC, priority DESC, round(score, 9) DESC, doc_id, ordinal) AS rank FROM (
  SELECT query_id, doc_id, ordinal, authority, priority, sum(1.0::DOUBLE / (60 + rank)) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM (
@@ -263,9 +290,10 @@ def cosine_label_filtered(spark, sf_dir):
   UNION ALL SELECT query_id, doc_id, ordinal, authority, priority, rank, 'structural' FROM (
    SELECT q.query_id, w.*, row_number() OVER (PARTITION BY q.query_id ORDER BY w.path, w.ordinal) AS rank FROM v_windows w JOIN (SELECT item_id AS query_id, string_split(text, '.')[1] AS term FROM benchmark) q ON contains(w.chunk, q.term)) WHERE rank <= 20)
  GROUP BY query_id, doc_id, ordinal, authority, priority)) WHERE rank <= 10"""))
-def rrf_fusion(spark, sf_dir):
+@_whole
+def rrf_fusion(spark, sf_dir, whole=False):
     key = ["doc_id", "ordinal", "authority", "priority"]
-    bm = lexical.top_k(lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir)), 20, ["path", "ordinal"]).withColumn("channel", F.lit("bm25"))
+    bm = lexical.top_k(lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole)), 20, ["path", "ordinal"]).withColumn("channel", F.lit("bm25"))
     exact = exact_substring_search(spark, sf_dir).join(V.docs(spark, sf_dir).select("doc_id", "authority", "priority"), "doc_id").withColumn("channel", F.lit("structural"))
     ranked = bm.select("query_id", "channel", "rank", *key).unionByName(exact.select("query_id", "channel", "rank", *key))
     fused = fusion.reciprocal_ranks(ranked, key)
@@ -273,8 +301,9 @@ def rrf_fusion(spark, sf_dir):
 
 
 @query(_bm25_sql("""SELECT query_id, doc_id, ordinal, in_group FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 6) DESC, ordinal) AS in_group FROM bm) WHERE in_group <= 3"""))
-def span_cap_per_section(spark, sf_dir):
-    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir))
+@_whole
+def span_cap_per_section(spark, sf_dir, whole=False):
+    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole))
     return fusion.span_cap(hits, ["query_id", "doc_id"], 3, [F.round("score", 6).desc(), "ordinal"]).select("query_id", "doc_id", "ordinal", "in_group")
 
 
@@ -385,18 +414,20 @@ def fingerprint(spark, sf_dir):
  SELECT c.query_id, min(h.rank) AS first FROM (SELECT item_id AS query_id FROM benchmark) c LEFT JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, ordinal) AS rank FROM bm) WHERE rank <= 10) h
   ON h.query_id = c.query_id AND EXISTS (SELECT 1 FROM v_docs d JOIN benchmark b ON b.item_id = c.query_id WHERE d.doc_id = h.doc_id AND contains(d.text, string_split(b.text, '.')[1])) GROUP BY c.query_id)"""))
-def eval_recall_mrr(spark, sf_dir):
+@_whole
+def eval_recall_mrr(spark, sf_dir, whole=False):
     """How well BM25 finds a document that holds the item's first sentence."""
     q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", r"\."), F.lit(0)).alias("term"))
     expected = V.docs(spark, sf_dir).join(F.broadcast(q), F.contains("text", "term")).select("query_id", "doc_id").distinct()
-    hits = bm25_topk_batch(spark, sf_dir).join(expected, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    hits = bm25_topk_batch(spark, sf_dir, whole).join(expected, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
     return structural.retrieval_metrics(q.select("query_id").join(hits, "query_id", "left"))
 
 
 @query(_bm25_sql("""SELECT CAST((SELECT sum(length(text)) FROM v_docs) AS BIGINT) AS corpus_chars, CAST(sum(length(chunk)) AS BIGINT) AS returned_chars, round(1 - sum(length(chunk)) / (SELECT sum(length(text)) FROM v_docs)::DOUBLE, 6) AS compression FROM (
  SELECT DISTINCT h.doc_id, h.ordinal, w.chunk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, ordinal) AS rank FROM bm) h JOIN v_windows w ON w.doc_id = h.doc_id AND w.ordinal = h.ordinal WHERE rank <= 10)"""))
-def corpus_compression(spark, sf_dir):
-    found = bm25_topk_batch(spark, sf_dir).select("doc_id", "ordinal").distinct()
+@_whole
+def corpus_compression(spark, sf_dir, whole=False):
+    found = bm25_topk_batch(spark, sf_dir, whole).select("doc_id", "ordinal").distinct()
     returned = _windows(spark, sf_dir).join(found, ["doc_id", "ordinal"]).agg(F.sum(F.length("chunk")).alias("returned_chars"))
     corpus = V.docs(spark, sf_dir).agg(F.sum(F.length("text")).alias("corpus_chars"))
     return corpus.crossJoin(returned).withColumn("compression", F.round(1 - F.col("returned_chars") / F.col("corpus_chars"), 6))

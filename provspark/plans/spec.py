@@ -161,7 +161,7 @@ def hash_embedding_search(spark, sf_dir):
 def hybrid_search_batch(spark, sf_dir):
     """BM25 and hash embeddings over windows, fused and spread."""
     depth = 40
-    bm = lexical.top_k(lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir)), depth, ["path", "ordinal"]).withColumn("channel", F.lit("bm25"))
+    bm = lexical.top_k(lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole=True)), depth, ["path", "ordinal"]).withColumn("channel", F.lit("bm25"))
     near = semantic.search(_query_vectors(spark, sf_dir), _embedded(spark, sf_dir), depth, ["path", "ordinal"]).withColumn("channel", F.lit("semantic"))
     keys = ["query_id", "doc_id", "ordinal", "rank", "channel"]
     hits = bm.select(keys).unionByName(near.select(keys)).join(_windows(spark, sf_dir), ["doc_id", "ordinal"])

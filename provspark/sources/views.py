@@ -58,10 +58,11 @@ def tokens(text):
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, terms: the first five distinct tokens of each benchmark text."""
+def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """query_id, terms: the first five distinct tokens of each benchmark text, or all of them."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(tokens(F.col("text"))), 1, 5).alias("terms"))
+    terms = F.array_distinct(tokens(F.col("text")))
+    return b.select(F.col("item_id").alias("query_id"), (terms if whole else F.slice(terms, 1, 5)).alias("terms"))
 
 
 #: The same views as DuckDB common table expressions.

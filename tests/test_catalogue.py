@@ -2,9 +2,11 @@
 
 import math
 import os
+import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from provspark.plans import catalogue, spec  # noqa: F401
@@ -45,6 +47,46 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def brute_cosine(rows, allowed):
+    v = np.array([r["embedding"] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    out = set()
+    for i, r in enumerate(rows):
+        if r["vec_id"] % 20 == 0:
+            best = sorted((-round(float(s), 6), o["vec_id"]) for s, o in zip(v @ v[i], rows) if o["label"] in allowed)[:10]
+            out |= {(r["vec_id"], b, round(-s, 5), n + 1) for n, (s, b) in enumerate(best)}
+    return out
+
+
+def test_cosine_of_every_twentieth_row(spark, monkeypatch):
+    from provspark.operators import semantic
+
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(semantic, "VECTOR_BLOCK", 90)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    for name, allowed in (("cosine_topk_whole", {r["label"] for r in rows}), ("cosine_label_filtered_whole", {1, 2})):
+        got = {(r["query_id"], r["vec_id"], round(r["score"], 5), r["rank"]) for r in catalogue.QUERIES[name](spark, SF).collect()}
+        assert got == brute_cosine(rows, allowed)
+
+
+def test_bm25_of_all_tokens(spark, duck):
+    token = re.compile(r"[\w.@:-]+")
+    windows = [Counter(r["ts"]) for r in catalogue._windows(spark, SF).select(catalogue.V.tokens(catalogue.F.col("chunk")).alias("ts")).collect()]
+    mean = sum(sum(w.values()) for w in windows) / len(windows)
+    df = Counter(t for w in windows for t in w)
+    got = {(r["query_id"], r["rank"]): r["score"] for r in catalogue.QUERIES["bm25_topk_batch_whole"](spark, SF).collect()}
+    expected = {}
+    for item, text in duck.execute("SELECT item_id, text FROM benchmark").fetchall():
+        terms = set(token.findall(text.lower()))
+        scores = []
+        for ts in windows:
+            n = sum(ts.values())
+            if hit := [t for t in terms if t in ts]:
+                scores.append(sum(max(math.log((len(windows) - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * ts[t] * 2.2 / (ts[t] + 1.2 * (0.25 + 0.75 * n / mean)) for t in hit))
+        expected |= {(item, k + 1): s for k, s in enumerate(sorted(scores, reverse=True)[:10])}
+    assert got == pytest.approx(expected, abs=2e-6)
+
+
 def test_result_does_not_depend_on_partitions(spark):
     first = sorted(map(tuple, catalogue.bm25_topk_batch(spark, SF).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "7")
