@@ -138,8 +138,9 @@ def query_classes_all(spark, sf_dir):
 
 @query("""SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Za-z_][\\w.-]*@[0-9]+\\b'))) AS symbol FROM documents WHERE length(text) = strlen(text)""")
 def symbol_extract_versioned(spark, sf_dir):
-    d = V.docs(spark, sf_dir).where(F.length("text") == F.octet_length("text"))
-    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(SYMBOLS["versioned"]), F.lit(0)))).alias("symbol"))
+    """Over all documents; the SQL, whose classes are ASCII only, looks at ASCII ones."""
+    pattern = F.lit("(?U)" + SYMBOLS["versioned"])
+    return V.docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, F.lit(0)))).alias("symbol"))
 
 
 def _embedded(spark, sf_dir):

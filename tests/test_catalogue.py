@@ -87,6 +87,16 @@ def test_bm25_of_all_tokens(spark, duck):
     assert got == pytest.approx(expected, abs=2e-6)
 
 
+def test_versioned_symbols_of_all_documents(spark, tmp_path):
+    from provspark.functions.patterns import SYMBOLS
+
+    texts = ["net.remove@1 and net.remove@1", "café: net.remove@1, café_x@22 été@3", "señal v.w-x@4 日本@5 a日@6", "plain", "é", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'src1' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(map(tuple, spec.symbol_extract_versioned(spark, str(tmp_path)).collect()))
+    assert got == Counter((i, s) for i, t in enumerate(texts) for s in set(re.findall(SYMBOLS["versioned"], t or "")))
+    assert {i for i, _ in got} == {0, 1, 2}
+
+
 def test_result_does_not_depend_on_partitions(spark):
     first = sorted(map(tuple, catalogue.bm25_topk_batch(spark, SF).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "7")
