@@ -58,7 +58,10 @@ def conflicts(items: DataFrame, limit: int = 10) -> DataFrame:
 
 def conflict_pairs(said: DataFrame, limit: int = 10) -> DataFrame:
     """said(item, family, polarity, subject, property, clause): conflicts, the first ``limit``."""
-    x, y = said.alias("x"), said.alias("y")
+    said = said.select("item", "family", "polarity", "subject", "property").distinct()
+    # the first pairs of a subject have their left item among the first of its polarity
+    order = Window.partitionBy("family", "subject", "property", "polarity").orderBy("item")
+    x, y = said.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit).alias("x"), said.alias("y")
     same = (F.col("x.family") == F.col("y.family")) & (F.col("x.subject") == F.col("y.subject")) & (F.col("x.property") == F.col("y.property"))
     pairs = x.join(y, same & (F.col("x.item") < F.col("y.item")) & (F.col("x.polarity") == -F.col("y.polarity")))
     columns = [F.col("x.item").alias("left_item"), F.col("y.item").alias("right_item"), F.col("x.family").alias("family"), F.col("x.subject").alias("subject"), F.col("x.property").alias("property")]

@@ -12,7 +12,7 @@ from ..operators.extract import assertions_of
 from ..sources import views as V
 from .catalogue import _SECTION_VIEWS, SHOWN, _index, _md_sections, _query_terms, _windows, query
 
-#: A small specification in Markdown: (path, authority, priority, text).
+#: A small specification in Markdown, which holds every construct: (path, authority, priority, text).
 SPEC = [
     (
         "spec/platform.md",
@@ -27,35 +27,40 @@ SPEC = [
 ]
 
 
-def _spec(spark):
+def _spec(spark, sf_dir):
+    """Sections of SPEC, of the Markdown of all conversations and of all documents."""
+    columns = ["doc_id", "authority", "priority", "text"]
     d = spark.createDataFrame(SPEC, "doc_id string, authority int, priority int, text string")
+    md = V.markdown(spark, sf_dir).select(F.col("path").alias("doc_id"), (F.col("conv_id") % 5).cast("int").alias("authority"), (F.col("conv_id") % 201 - 100).cast("int").alias("priority"), "text")
+    docs = V.docs(spark, sf_dir).select(F.col("path").alias("doc_id"), F.col("authority").cast("int").alias("authority"), F.col("priority").cast("int").alias("priority"), "text")
+    d = d.select(columns).unionByName(md).unionByName(docs)
     s = markdown.section_text(markdown.sections(d), d)
     return s.join(d.select("doc_id", F.col("doc_id").alias("path"), "authority", "priority"), "doc_id")
 
 
 @query()
 def spec_sections(spark, sf_dir):
-    return _spec(spark).select("path", "ordinal", "level", "heading", "parent", "start_line", "end_line", "id")
+    return _spec(spark, sf_dir).select("path", "ordinal", "level", "heading", "parent", "start_line", "end_line", "id")
 
 
 @query()
 def spec_windows(spark, sf_dir):
-    return markdown.chunks(_spec(spark)).select("path", "ordinal", "chunk_ordinal", "start", "end", "chunk_id")
+    return markdown.chunks(_spec(spark, sf_dir)).select("path", "ordinal", "chunk_ordinal", "start", "end", "chunk_id")
 
 
 @query()
 def graph_edges(spark, sf_dir):
-    return graph.resolve(graph.mentions(_spec(spark)), graph.declarations(_spec(spark)))
+    return graph.resolve(graph.mentions(_spec(spark, sf_dir)), graph.declarations(_spec(spark, sf_dir)))
 
 
 @query()
 def graph_symbols(spark, sf_dir):
-    return graph.symbols(_spec(spark))
+    return graph.symbols(_spec(spark, sf_dir))
 
 
 @query()
 def find_symbol(spark, sf_dir):
-    return graph.symbols(_spec(spark)).where(F.lower("symbol") == "runmanifest")
+    return graph.symbols(_spec(spark, sf_dir)).where(F.lower("symbol") == "runmanifest")
 
 
 @query(V.sql("""SELECT p.conv_id, 'PARENT_OF' AS edge_type, c.heading AS label, p.ordinal AS source, c.ordinal AS target FROM v_sections p JOIN v_sections c ON p.conv_id = c.conv_id AND p.level = 1 AND c.level = 2
@@ -92,7 +97,7 @@ def reference_resolution(spark, sf_dir):
 
 @query()
 def checkpoint_fields(spark, sf_dir):
-    return pack.checkpoints(_spec(spark)).select("doc_id", "checkpoint_id", "title", F.explode("fields").alias("field", "values")).select("doc_id", "checkpoint_id", "title", "field", F.array_join("values", " | ").alias("values"))
+    return pack.checkpoints(_spec(spark, sf_dir)).select("doc_id", "checkpoint_id", "title", F.explode("fields").alias("field", "values")).select("doc_id", "checkpoint_id", "title", "field", F.array_join("values", " | ").alias("values"))
 
 
 @query("""SELECT checkpoint_id, count(*) AS n, min(doc_id) AS doc_id, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status FROM (
@@ -106,12 +111,12 @@ def checkpoint_lookup_tie(spark, sf_dir):
 
 @query()
 def conflict_pairs(spark, sf_dir):
-    return pack.conflicts(_spec(spark).select(F.concat("path", F.lit("#"), F.col("ordinal").cast("string")).alias("item"), "heading", "source_text"))
+    return pack.conflicts(_spec(spark, sf_dir).select(F.concat("path", F.lit("#"), F.col("ordinal").cast("string")).alias("item"), "heading", "source_text"))
 
 
 @query()
 def assertion_extract(spark, sf_dir):
-    return _spec(spark).select("path", "ordinal", F.explode(assertions_of("heading", "source_text")).alias("a")).select("path", "ordinal", "a.*")
+    return _spec(spark, sf_dir).select("path", "ordinal", F.explode(assertions_of("heading", "source_text")).alias("a")).select("path", "ordinal", "a.*")
 
 
 @query("""SELECT category, CAST(count(*) FILTER (WHERE required) AS BIGINT) AS required, CAST(count(*) FILTER (WHERE required AND selected) AS BIGINT) AS covered, CAST(count(*) FILTER (WHERE ambiguous) AS BIGINT) AS n_ambiguous, CAST(count(*) FILTER (WHERE selected) AS BIGINT) AS selected,

@@ -97,6 +97,38 @@ def test_versioned_symbols_of_all_documents(spark, tmp_path):
     assert {i for i, _ in got} == {0, 1, 2}
 
 
+def test_spec_queries_read_the_tables(spark, tmp_path):
+    texts = ["# Storage\n## CP-77 - Custom\nDependencies: CP-14\nThe cache must keep entries.\n", "no heading, class FooBarTimeout\n", "# Alpha\nThe cache must not keep entries.\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'src1' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 0, "user", "see CP-77"), (5, 1, "assistant", "raise QuotaError")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    own = {f"docs/src1/{i}.md" for i in range(3)} | {"conversations/5.md"}
+    assert {r["path"] for r in run("spec_sections")} == own | {p for p, *_ in spec.SPEC}
+    assert own <= {r["path"] for r in run("spec_windows")}
+    assert {"CP-77", "FooBarTimeout", "QuotaError"} <= {r["symbol"] for r in run("graph_symbols")}
+    edges = {(r["edge_type"], r["label"], r["status"]) for r in run("graph_edges")}
+    assert {("REFERENCES", "CP-77", "RESOLVED"), ("DEPENDS_ON", "CP-14", "RESOLVED")} <= edges
+    assert ("DEPENDS_ON", "CP-14") in {(r["edge_type"], r["label"]) for r in run("dependencies")}
+    assert "CP-77" in {r["checkpoint_id"] for r in run("checkpoint_fields")}
+    said = {(f"{r['path']}#{r['ordinal']}", r["family"], r["subject"], r["property"], r["polarity"]) for r in run("assertion_extract")}
+    pairs = sorted({(x[0], y[0], *x[1:4]) for x in said for y in said if x[0] < y[0] and x[1:4] == y[1:4] and x[4] == -y[4]})
+    assert [tuple(r) for r in run("conflict_pairs")] == pairs[:10]
+    assert any(a.startswith("docs/") for a, *_ in pairs)
+
+
+def test_first_conflicts_of_a_large_subject(spark):
+    import random
+
+    from provspark.operators import pack
+
+    rng = random.Random(2)
+    rows = sorted({(f"i{rng.randrange(300):03}", "modal", rng.choice([-1, 1]), f"s{rng.randrange(3)}", "p") for _ in range(500)})
+    rows = [r for r in rows if r[2] == 1 or r[0] > "i200" or r[0] < "i004"]
+    brute = sorted({(x[0], y[0], x[1], x[3], x[4]) for x in rows for y in rows if x[0] < y[0] and (x[1], *x[3:]) == (y[1], *y[3:]) and x[2] == -y[2]})
+    got = pack.conflict_pairs(spark.createDataFrame(rows, "item string, family string, polarity int, subject string, property string")).collect()
+    assert [tuple(r) for r in got] == brute[:10]
+
+
 def test_result_does_not_depend_on_partitions(spark):
     first = sorted(map(tuple, catalogue.bm25_topk_batch(spark, SF).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "7")
