@@ -1,8 +1,10 @@
 """numpy kernels over the UTF-8 buffer of an Arrow string column.
 
 Words are runs of bytes, found with table look-ups, and are represented by
-64-bit polynomial hashes that come from one running sum, so the cost per byte
-is a few vector operations and no Python object is made per word.
+64-bit hashes: the sum of a pseudo-random number for each byte at its place in
+the word, taken from one running sum.  So the cost per byte is a few vector
+operations and no Python object is made per word; and as the numbers have no
+structure, no pattern of bytes makes two words collide.
 """
 
 from __future__ import annotations
@@ -12,8 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 
 U64 = np.uint64
-_P = U64(0x9E3779B97F4A7C15 | 1)
-_P_INV = U64(pow(int(_P), -1, 1 << 64))
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -27,22 +27,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd multiplier and of its inverse, as far as asked for."""
+#: Places of a word whose numbers are in a table; those beyond are computed.
+_PLACES = 64
+with np.errstate(over="ignore"):
+    _numbers = mix(mix(np.arange(_PLACES * 257, dtype=U64) + U64(0x51ED2701)) ^ U64(0x2545F4914F6CDD1D))
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, U64)
-        self.down = np.ones(1, U64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, _P)]))
-            self.down = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, _P_INV)]))
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
+def _byte_numbers(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each byte code at its place."""
+    at = place * 257 + code
+    out = _numbers[np.minimum(at, len(_numbers) - 1)]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        out[far] = mix(mix(at[far].astype(U64) + U64(0x51ED2701)) ^ U64(0x2545F4914F6CDD1D))
+    return out
 
 
 def _table(separators) -> np.ndarray:
@@ -89,11 +87,13 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Word
     edges = np.flatnonzero(change)
     runs = inside[edges[:-1]]
     starts, ends = edges[:-1][runs], edges[1:][runs]
-    up, down = _powers.get(n)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(code.astype(U64) * up, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * _GOLD)
+    size = ends - starts
+    before = np.cumsum(size) - size
+    letters = code[inside]
+    place = np.arange(len(letters)) - np.repeat(before, size)
+    total = np.zeros(len(letters) + 1, U64)
+    np.cumsum(_byte_numbers(letters, place), out=total[1:])
+    hashes = mix(total[before + size] - total[before] + size.astype(U64) * _GOLD)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
@@ -133,16 +133,15 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sequence_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each segment's whole sequence."""
+    """Two 64-bit hashes of each segment's whole sequence: sums over elements at their places."""
     n = len(hashes)
-    up, down = _powers.get(n + 1)
+    size = np.diff(offsets)
+    place = (np.arange(n) - np.repeat(offsets[:-1], size)).astype(U64)
     out = []
     for salt in (U64(0), U64(0xA5A5A5A5DEADBEEF)):
-        total = np.empty(n + 1, U64)
-        total[0] = 0
-        np.cumsum(mix(hashes ^ salt) * up[:n], out=total[1:])
-        size = np.diff(offsets).astype(U64)
-        out.append(mix((total[offsets[1:]] - total[offsets[:-1]]) * down[offsets[:-1]] + size * _GOLD + salt))
+        total = np.zeros(n + 1, U64)
+        np.cumsum(mix(mix(hashes ^ salt) + place * _GOLD), out=total[1:])
+        out.append(mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(U64) * _GOLD + salt))
     return out[0], out[1]
 
 

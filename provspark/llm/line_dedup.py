@@ -4,8 +4,8 @@ Hashes of long lines are range-partitioned and sorted by document (descending)
 and position inside each partition; a streaming window over that order sees the
 first occurrence of a key and counts its documents.  A key is dealt over
 ``SALTS`` ranges by its documents, and what the ranges found is merged by a
-partial aggregate, so a line that a third of all documents share is no one
-task's work.  What comes back per document is not text but its keep bitmap,
+partial aggregate; the frequent keys, which are few, come back to the lines by a
+broadcast.  So a line that a third of all documents share is no one task's work.  What comes back per document is not text but its keep bitmap,
 run-length coded.
 """
 
@@ -18,6 +18,8 @@ from .shared import materialize
 
 #: Ranges that one key may be dealt over.
 SALTS = 256
+#: Keys with more than this part of all lines are joined by a broadcast; there can't be more such keys.
+HOT_KEYS = 10_000
 MIN_POINTS = 20
 MIN_DOCUMENTS = 3
 
@@ -58,14 +60,15 @@ def keep_bitmaps(docs: DataFrame, min_points: int = MIN_POINTS, min_documents: i
     streamed = salted.repartitionByRange("h1", "h2", "salt").select(
         "h1", "h2", "doc_id", ((F.row_number().over(ordered) == 1) | ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(ordered))).alias("first")
     )
-    repeated = (
-        streamed.where("first")
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_documents)
-        .select("h1", "h2", "keeper")
-    )
-    dropped = lines.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    repeated = streamed.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("keeper"))
+    repeated = materialize(repeated.where(F.col("n") >= min_documents).select("h1", "h2", "rows", "keeper"), "repeated-lines")
+    # fewer than HOT_KEYS keys can hold more than their share of all lines: those are broadcast, the rest is even enough to shuffle
+    share = F.lit(lines.count() // HOT_KEYS + 1)
+    hot = repeated.where(F.col("rows") > share).select("h1", "h2", F.col("keeper").alias("hot_keeper"), F.lit(True).alias("hot"))
+    split = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+    often = split.where("hot").select("doc_id", "text_hash", "pos", F.col("hot_keeper").alias("keeper"))
+    other = split.where("hot is null").join(repeated.where(F.col("rows") <= share), ["h1", "h2"]).select("doc_id", "text_hash", "pos", "keeper")
+    dropped = often.unionByName(other).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gathered = dropped.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     p = F.col("p")
     starts = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1))

@@ -3,23 +3,27 @@
 A document is the sequence of its words (``[0-9a-z]`` and all beyond ASCII, A-Z
 lower-cased) and of its five-word shingles.  Each of ``BANDS`` hash functions
 samples the ``SAMPLED`` least occurrence-labelled shingles and keeps them in the
-order of the text; documents with an equal sample meet in a bucket.  Documents
-with equal word sequences are one vertex from the start, so copies are never
-expanded.
+order of the text; documents with an equal sample meet in a bucket.  Short texts
+(up to ``SHORT`` shingles), whose bands would miss too often, meet by a prefix
+filter instead, which misses nothing: two texts of the similarity share one of
+the first fifth of their shingles in any common order.  Documents with equal word
+sequences are one vertex from the start, so copies are never expanded.
 
 Buckets are resolved in rounds.  First every member is aligned with a leader of
 its bucket, then with a few more, and links join components: a large group of near
 copies becomes one component without its pairs being listed.  In buckets that still
 span several components the remaining pairs are bounded by shingle profiles (512
 counters, whose minima are at least what two texts share), and those that could
-reach the similarity are aligned.  So each pair of a bucket is aligned, connected
-already, or proven too different.  Alignment runs on the shingle sequences inside
-the diagonal band that the similarity allows: with M the longest common
-subsequence, M / (|A| + |B| - M) >= 0.8 is a link.
+reach the similarity are aligned.  Members of buckets that are too large to pair
+are dealt anew by the prefix filter, frequent shingles last.  So each pair of a
+bucket is aligned, connected already, or proven too different.  Alignment runs on
+the shingle sequences inside the diagonal band that the similarity allows: with M
+the longest common subsequence, M / (|A| + |B| - M) >= 0.8 is a link.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from hashlib import blake2b
 
 import numpy as np
@@ -29,21 +33,27 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import list_array, materialize, slices, text_bytes
+from .shared import drop_table, list_array, mark, materialize, release, slices, text_bytes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 SAMPLED = 4
-#: Vertex ids are broadcast up to this many (8 bytes each); beyond, texts are joined by a shuffle.
+#: Shingles up to which a text meets others by the prefix filter; a little beyond, it has bands too.
+SHORT = 40
+#: Row keys are broadcast up to this many (8 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Members that a copy of a leader's sequence serves.
 SERVED = 64
-#: Leaders of a bucket in the rounds before the rest is decided pair by pair.
-LEADERS = (1, 4)
-#: Counters of a text's shingle profile, and members of a bucket that one task pairs.
+#: First and last leader of the rounds before the rest is decided pair by pair.
+LEADERS = ((0, 1), (1, 5))
+#: Counters of a text's shingle profile, and members of a block that one task pairs with another.
 PROFILE = 512
 BLOCK = 1024
+#: At most this many frequent shingles are put last by the prefix filter of large buckets (8 bytes each, broadcast).
+FREQUENT = 50_000
+#: Edits from which a lower bound is tried before the exact alignment.
+MANY_EDITS = 2_000
 _U = np.uint64
 
 
@@ -90,37 +100,81 @@ def order_minhash(labels: np.ndarray, offsets: np.ndarray, bands: int = BANDS, s
     return keys, chosen
 
 
+def prefix_keys(labels: np.ndarray, offsets: np.ndarray, chosen: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first labelled shingles of the chosen documents in a common order, and how many each has.
+
+    With at least 0.8 of either text in common, at most a fifth of a text's
+    shingles are not shared, so one more than a fifth holds a shared one.
+    ``last`` (sorted) are shingles that come after all others.
+    """
+    sizes = np.diff(offsets)[chosen]
+    where = np.arange(int(sizes.sum())) + np.repeat(offsets[:-1][chosen] - (np.cumsum(sizes) - sizes), sizes)
+    own, values = np.repeat(np.arange(len(chosen)), sizes), labels[where]
+    if last is not None and len(last):
+        late = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values
+        order = np.lexsort((values, late, own))
+    else:
+        order = np.lexsort((values, own))
+    counts = sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(np.int64) + 1
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return values[order[place < np.repeat(counts, sizes)]], counts
+
+
 def _shingle_labels(data: np.ndarray, offsets: np.ndarray):
     words = K.find_words(data, offsets, K.ALNUM)
     values, _, cuts = K.shingles(words, WORDS)
     return words, values, cuts
 
 
+def _labelled(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    occurrence = K.occurrence_labels(values, K.segment_ids(cuts)).astype(_U)
+    return K.mix(values + occurrence * _U(0x9E3779B97F4A7C15))
+
+
+def _content_keys(words: K.Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each word sequence; for each text's bytes where it has no words."""
+    k1, k2 = (k.astype(np.int64) for k in K.sequence_keys(words.hashes, words.offsets))
+    for d in np.flatnonzero(words.counts == 0):
+        digest = blake2b(data[offsets[d] : offsets[d + 1]].tobytes(), digest_size=16).digest()
+        k1[d], k2[d] = np.frombuffer(digest, np.int64)
+    return k1, k2
+
+
+def bucket_keys(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bucket keys of the documents, and how many each has."""
+    labels, sizes = _labelled(values, cuts), np.diff(cuts)
+    keys, chosen = order_minhash(labels, cuts)
+    banded = sizes[chosen] > SHORT
+    short = np.flatnonzero((sizes >= SAMPLED) & (sizes <= 1.25 * SHORT))
+    prefix, counts = prefix_keys(labels, cuts, short)
+    document = np.concatenate([np.repeat(chosen[banded], BANDS), np.repeat(short, counts)])
+    flat = np.concatenate([keys[banded].ravel(), K.mix(prefix ^ _U(0x5851F42D4C957F2D))])
+    order = np.argsort(document, kind="stable")
+    return flat[order], np.bincount(document, minlength=len(sizes))
+
+
 def _sketch(batches):
     for whole in batches:
         for batch in slices(whole, "text"):
             data, offsets = text_bytes(batch.column("text"))
             words, values, cuts = _shingle_labels(data, offsets)
-            k1, k2 = (k.astype(np.int64) for k in K.sequence_keys(words.hashes, words.offsets))
-            for d in np.flatnonzero(words.counts == 0):
-                digest = blake2b(data[offsets[d] : offsets[d + 1]].tobytes(), digest_size=16).digest()
-                k1[d], k2[d] = np.frombuffer(digest, np.int64)
-            occurrence = K.occurrence_labels(values, K.segment_ids(cuts)).astype(_U)
-            labels = K.mix(values + occurrence * _U(0x9E3779B97F4A7C15))
-            keys, chosen = order_minhash(labels, cuts)
-            sizes = np.zeros(batch.num_rows, np.int64)
-            sizes[chosen] = BANDS
-            bands = list_array(pa.array(keys.ravel().view(np.int64)), np.concatenate([[0], np.cumsum(sizes)]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1), pa.array(k2), bands], names=["doc_id", "k1", "k2", "bands"])
+            k1, k2 = _content_keys(words, data, offsets)
+            keys, counts = bucket_keys(values, cuts)
+            buckets = list_array(pa.array(keys.view(np.int64)), np.concatenate([[0], np.cumsum(counts)]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(k1), pa.array(k2), pa.array(np.diff(cuts).astype(np.int32)), buckets], names=["doc_id", "row_key", "k1", "k2", "size", "buckets"]
+            )
 
 
 def _sequences(batches):
     for whole in batches:
         for batch in slices(whole, "text"):
-            _, values, cuts = _shingle_labels(*text_bytes(batch.column("text")))
+            data, offsets = text_bytes(batch.column("text"))
+            words, values, cuts = _shingle_labels(data, offsets)
+            k1, k2 = _content_keys(words, data, offsets)
             small = values.astype(np.uint32).tobytes()
             out = [small[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(out, pa.binary())], names=["v", "seq"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(out, pa.binary())], names=["k1", "k2", "seq"])
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray, need: int) -> int:
@@ -174,8 +228,23 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, need: int) -> int:
     return -1
 
 
+def ordered_common(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the longest common subsequence: the longest run in order of the values that both have once."""
+    once = lambda x: (lambda v, i, n: (v[n == 1], i[n == 1]))(*np.unique(x, return_index=True, return_counts=True))
+    (va, ia), (vb, ib) = once(a), once(b)
+    _, x, y = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    tails: list[int] = []
+    for at in ib[y][np.argsort(ia[x])].tolist():
+        n = bisect_left(tails, at)
+        if n == len(tails):
+            tails.append(at)
+        else:
+            tails[n] = at
+    return len(tails)
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
-    """Alignment similarity if it reaches the threshold, else 0."""
+    """Alignment similarity (of very long texts a lower bound) if it reaches the threshold, else 0."""
     total = len(a) + len(b)
     if not total:
         return 1.0
@@ -189,6 +258,8 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
     hit = np.bincount(at[values[at] == b], minlength=len(values))
     if np.minimum(hit, counts).sum() < need:
         return 0.0
+    if total - 2 * need > MANY_EDITS and (common := ordered_common(a, b)) >= need:
+        return common / (total - common)
     common = common_subsequence(a, b, need)
     return common / (total - common) if common >= need else 0.0
 
@@ -202,68 +273,88 @@ def _align(batches):
 
 
 def _links(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Aligned pairs that reach the similarity; a is the leader.
+    """Those of pairs(a, b, salts) that reach the similarity; a is the leader.
 
-    A leader's sequence is copied once per SERVED members, so a leader of a huge
-    group is no one task's work.
+    A leader's sequence is copied once per SERVED members of its bucket, so a
+    leader of a huge group is no one task's work.
     """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("salts"))
-    leaders = salts.join(sequences.select(F.col("v").alias("a"), F.col("seq").alias("seq_a")), "a")
-    leaders = leaders.select("a", "seq_a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    members = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    members = members.join(sequences.select(F.col("v").alias("b"), F.col("seq").alias("seq_b")), "b")
-    both = members.join(leaders, ["a", "salt"]).select("a", "b", "seq_a", "seq_b")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    leaders = salted.select("a", "salts", "salt").distinct().join(sequences.select(F.col("v").alias("a"), F.col("seq").alias("seq_a")), "a")
+    members = salted.join(sequences.select(F.col("v").alias("b"), F.col("seq").alias("seq_b")), "b")
+    both = members.join(leaders, ["a", "salts", "salt"]).select("a", "b", "seq_a", "seq_b")
     return both.mapInArrow(_align, "a long, b long, similarity double")
 
 
-def vertex():
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """A hash that rows share only if they are equal in doc_id and text."""
+    return F.xxhash64(F.col(doc_id), F.col(text).cast("string"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id of every row of docs(doc_id, text); other columns are ignored.
+    """doc_id, class_id, class_key and row_key of every row of docs(doc_id, text);
+    other columns are ignored, doc_id is of any type that has an order.
 
     class_id is the least doc_id of the documents that are connected by links
     (alignment similarity of at least 0.8) or have equal word sequences.  Null
     text is empty; texts without words are alike if their bytes are.  Rows that
-    repeat a doc_id get one row each; a null doc_id takes part under a hash of
-    its text.
+    repeat a doc_id are documents of their own, each with its text's class.  A
+    null doc_id takes part; class_id is null only if no document of the class
+    has an id, and class_key (a hash) tells all classes apart.  row_key is
+    :func:`row_key`.  Word sequences are told apart by 128 bits, the vertices of
+    links by 64.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = texts.select(vertex().alias("doc_id"), "text")
-    sketches = materialize(keyed.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, bands array<long>"), "sketches")
-    contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("v"), F.first("bands").alias("bands"))
-    contents = materialize(contents, "contents")
-    banded = contents.select("v", F.explode("bands").alias("bucket"))
+    begin = mark(spark)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row_key", row_key())
+    sketches = materialize(keyed.mapInArrow(_sketch, f"doc_id {id_type}, row_key long, k1 long, k2 long, size int, buckets array<long>"), "sketches")
+    vertex = F.xxhash64("k1", "k2")
+    contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    contents = materialize(contents.withColumn("v", vertex), "contents")
+    banded = contents.select("v", "row_key", "size", F.explode("buckets").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = materialize(banded.join(shared, "bucket"), "members")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "v", "size", "row_key"), "members")
     labels = _resolve(spark, members, keyed)
-    classes = contents.select("k1", "k2", "v").join(labels, "v", "left").select("k1", "k2", F.coalesce("label", "v").alias("class_id"))
-    return sketches.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
+    linked = contents.select("v", "least").join(labels, "v")
+    least = linked.groupBy("label").agg(F.min("least").alias("class_id"))
+    named = materialize(labels.join(least, "label").select("v", F.col("label").alias("class_key"), "class_id"), "classes")
+    classes = contents.select("k1", "k2", "v", "least").join(named.withColumn("in_class", F.lit(True)), "v", "left")
+    classes = classes.select("k1", "k2", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("class_key", "v").alias("class_key"))
+    release(spark, begin, (sketches, contents, named))
+    return sketches.select("doc_id", "row_key", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id", "class_key", "row_key")
+
+
+def _profile(seq: bytes) -> bytes:
+    """Counts of the shingles by hash; four bytes a counter where two don't do."""
+    x = np.frombuffer(seq, np.uint32).astype(np.uint64)
+    counts = np.bincount((x * np.uint64(PROFILE) >> np.uint64(32)).astype(np.int64), minlength=PROFILE)
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32).tobytes()
 
 
 def _profiles(batches):
-    """Counts of the shingles by hash: their minima bound what two texts share."""
+    """Shingle profiles: the minima of two bound what the texts share."""
     for batch in batches:
-        seqs = [np.frombuffer(x, np.uint32) for x in batch.column("seq").to_pylist()]
-        counts = [np.bincount((x.astype(np.uint64) * np.uint64(PROFILE) >> np.uint64(32)).astype(np.int64), minlength=PROFILE).astype(np.uint16).tobytes() for x in seqs]
-        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([len(x) for x in seqs], pa.int32()), pa.array(counts, pa.binary())], names=["v", "size", "profile"])
+        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([_profile(x) for x in batch.column("seq").to_pylist()], pa.binary())], names=["v", "profile"])
 
 
 def _bounded_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's block with all its members that aren't connected yet and
-    whose profiles leave room for the similarity."""
-    v, label, size, own = (table.column(c).to_numpy() for c in ("v", "label", "size", "own"))
-    profile = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint16).reshape(len(v), PROFILE)
-    mine = np.flatnonzero(own)
+    """Pairs between two blocks of a bucket (or in one) that aren't connected yet
+    and whose sizes and profiles leave room for the similarity."""
+    v, label, size, home = (table.column(c).to_numpy() for c in ("v", "label", "size", "home"))
+    raw = [np.frombuffer(x, np.uint16 if len(x) == 2 * PROFILE else np.uint32) for x in table.column("profile").to_pylist()]
+    profile = np.stack(raw)
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    mine, others = np.flatnonzero(home == low), np.flatnonzero(home == high)
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(mine), step := max(1, 4096 // len(v))):
+    for at in range(0, len(mine), step := max(1, 4096 // max(1, len(others)))):
         rows = mine[at : at + step]
-        least, most = np.minimum(size[rows, None], size), np.maximum(size[rows, None], size)
-        i, j = np.nonzero((least >= SIMILARITY * most - 1e-6) & (label[rows, None] != label) & ((v[rows, None] < v) | ~own[None, :].astype(bool)))
+        least, most = np.minimum(size[rows, None], size[others]), np.maximum(size[rows, None], size[others])
+        ok = (least >= SIMILARITY * most - 1e-6) & (label[rows, None] != label[others])
+        if low == high:
+            ok &= v[rows, None] < v[others]
+        i, j = np.nonzero(ok)
         for k in range(0, len(i), 8192):
-            x, y = rows[i[k : k + 8192]], j[k : k + 8192]
+            x, y = rows[i[k : k + 8192]], others[j[k : k + 8192]]
             shared = np.minimum(profile[x], profile[y]).sum(axis=1, dtype=np.int64)
             ok = shared >= SIMILARITY * (size[x].astype(np.int64) + size[y] - shared) - 1e-6
             out.append((v[x[ok]], v[y[ok]]))
@@ -271,44 +362,97 @@ def _bounded_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _remaining_pairs(met: DataFrame, sequences: DataFrame) -> DataFrame:
-    """All pairs of met(bucket, v, label, n) that an alignment has still to decide.
+def _block_pairs(met: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs of met(bucket, v, label, size, n) that an alignment has still to decide.
 
     A bucket is one task's group up to BLOCK members; a larger one is dealt into
-    blocks, each of which meets the whole bucket.
+    blocks, and a group is a pair of blocks.
     """
-    profiles = sequences.mapInArrow(_profiles, "v long, size int, profile binary")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = met.select("bucket", "v", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("home"))
-    dealt = dealt.select("bucket", "v", "label", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = dealt.join(profiles, "v").select("bucket", "block", "v", "label", (F.col("home") == F.col("block")).cast("int").alias("own"), "size", "profile")
-    return rows.groupBy("bucket", "block").applyInArrow(_bounded_pairs, "a long, b long").distinct()
+    dealt = met.select("bucket", "v", "label", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("home"))
+    dealt = dealt.select("bucket", "v", "label", "size", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = dealt.select("bucket", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "v", "label", "size", "home").join(profiles, "v")
+    return rows.groupBy("bucket", "low", "high").applyInArrow(_bounded_pairs, "a long, b long")
+
+
+def _label_counts(batches):
+    """The labelled shingles of each sequence, one list a row."""
+    for batch in batches:
+        seqs = [np.frombuffer(x, np.uint32).astype(_U) for x in batch.column("seq").to_pylist()]
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in seqs])]).astype(np.int64)
+        labels = _labelled(np.concatenate([np.zeros(0, _U), *seqs]), cuts)
+        yield pa.RecordBatch.from_arrays([list_array(pa.array(labels.view(np.int64)), cuts)], names=["shingles"])
+
+
+def _prefixes(frequent):
+    def run(batches):
+        last = frequent.value
+        for batch in batches:
+            seqs = [np.frombuffer(x, np.uint32).astype(_U) for x in batch.column("seq").to_pylist()]
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in seqs])]).astype(np.int64)
+            keys, counts = prefix_keys(_labelled(np.concatenate([np.zeros(0, _U), *seqs]), cuts), cuts, np.arange(len(seqs)), last)
+            yield pa.RecordBatch.from_arrays([batch.column("v"), list_array(pa.array(keys.view(np.int64)), np.concatenate([[0], np.cumsum(counts)]))], names=["v", "shingles"])
+
+    return run
+
+
+def _prefix_groups(large: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(bucket, v, label, size, n): members of large buckets dealt anew by a prefix filter.
+
+    Any two of the similarity share a group.  Shingles that many hold come last
+    in the filter's order, so what fills the large buckets fills no group here.
+    """
+    spark = large.sparkSession
+    vertices = materialize(large.select("v", "label", "size").distinct(), "large")
+    own = materialize(sequences.join(vertices.select("v"), "v", "left_semi"), "large-sequences")
+    total = vertices.agg(F.sum("size")).first()[0] or 0
+    counted = own.select("seq").mapInArrow(_label_counts, "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    # no more than FREQUENT shingles can be in more than their share of all
+    often = counted.where(F.col("n") > max(2, -(-total // FREQUENT))).select("s").toArrow().column("s").to_numpy()
+    last = spark.sparkContext.broadcast(np.sort(often.astype(np.int64).view(_U)))
+    keyed = own.mapInArrow(_prefixes(last), "v long, shingles array<long>").select("v", F.explode("shingles").alias("bucket"))
+    keyed = materialize(keyed.join(vertices, "v"), "prefixes")
+    span = keyed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
+    return keyed.join(span.select("bucket", "n"), "bucket")
+
+
+def _remaining_pairs(met: DataFrame, sequences: DataFrame) -> DataFrame:
+    profiles = sequences.select("v", "seq").mapInArrow(_profiles, "v long, profile binary")
+    pairs = _block_pairs(met.where(F.col("n") <= BLOCK).select("bucket", "v", "label", "size", "n"), profiles)
+    large = met.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_block_pairs(_prefix_groups(large, sequences), profiles))
+    return pairs.distinct().withColumn("salts", F.lit(16))
 
 
 def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
     """(v, label) of the vertices that some link reached."""
-    ids = materialize(members.select("v").distinct(), "vertices")
+    ids = materialize(members.select("row_key").distinct(), "row-keys")
     small = ids.count() <= BROADCAST_IDS
-    needed = keyed.withColumnRenamed("doc_id", "v").join(F.broadcast(ids) if small else ids, "v", "left_semi")
-    sequences = needed.mapInArrow(_sequences, "v long, seq binary").dropDuplicates(["v"])
-    sequences = materialize(sequences, "sequences")
-    current = members.select("bucket", "v", F.col("v").alias("label"))
+    needed = keyed.join(F.broadcast(ids) if small else ids, "row_key", "left_semi")
+    sequences = needed.select("text").mapInArrow(_sequences, "k1 long, k2 long, seq binary").withColumn("v", F.xxhash64("k1", "k2"))
+    sequences = materialize(sequences.select("v", "seq").dropDuplicates(["v"]), "sequences")
+    current = members.select("bucket", "v", "size", F.col("v").alias("label"))
     edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
-    for leaders in (*LEADERS, 0):
-        rank = [F.xxhash64(F.lit(n), "v") for n in range(max(1, leaders))]
-        found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label"), r) for r in rank]))
+    for first, last in (*LEADERS, (0, 0)):
+        rank = [F.xxhash64(F.lit(n), "v") for n in range(first, max(last, first + 1))]
+        found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label", "size"), r) for r in rank]))
         lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), found.alias("leaders"))
         met = materialize(current.join(lead.where(F.col("low") != F.col("high")).select("bucket", "n", "leaders"), "bucket"), "met")
-        if leaders:
-            to_try = F.filter("leaders", lambda l: (l["label"] != F.col("label")) & (l["v"] != F.col("v")))
-            pairs = met.select("v", F.explode(F.transform(to_try, lambda l: l["v"])).alias("a")).select("a", F.col("v").alias("b")).distinct()
+        if last:
+            fits = lambda x: F.least(x["size"], F.col("size")) >= SIMILARITY * F.greatest(x["size"], F.col("size")) - 1e-6
+            to_try = F.filter("leaders", lambda x: (x["label"] != F.col("label")) & (x["v"] != F.col("v")) & fits(x))
+            pairs = met.select("v", "n", F.explode(F.transform(to_try, lambda x: x["v"])).alias("a"))
+            pairs = pairs.groupBy("a", F.col("v").alias("b")).agg(F.ceil(F.max("n") / SERVED).cast("int").alias("salts"))
         else:
             pairs = _remaining_pairs(met, sequences)
         links = materialize(_links(materialize(pairs, "pairs"), sequences), "links")
-        current = met.select("bucket", "v", "label")
+        current = met.select("bucket", "v", "size", "label")
         if not links.isEmpty():
             edges = edges.unionByName(links.select("a", "b"))
-            labels = connected_components(edges)
-            current = current.drop("label").join(labels, "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
+            old, labels = labels, connected_components(edges)
+            if old.inputFiles():
+                drop_table(old)
+            current = current.drop("label").join(labels, "v", "left").select("bucket", "v", "size", F.coalesce("label", "v").alias("label"))
     return labels

@@ -101,3 +101,103 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 30)] + [(1, 5), (5, 3), (40, 2)], "a long, b long")
     got = {r["v"]: r["label"] for r in connected_components(edges).collect()}
     assert got == {**{i: 10 for i in range(10, 31)}, 1: 1, 5: 1, 3: 1, 40: 2, 2: 2}
+
+
+def test_two_texts_under_one_id(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows = [(1, " ".join(base)), (1, "quite another text without any likeness to the first"), (2, " ".join(base) + " more"), ("x", "z")][:3]
+    got = sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1)]
+    keys = {r["class_key"] for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert len(keys) == 2
+
+
+def test_ids_of_any_type(spark):
+    text = "a b c d e f g h i j k l m n"
+    df = spark.createDataFrame([("b", text), ("a", text), (None, text + " o"), (None, "alone here")], "doc_id string, text string")
+    got = [(r["doc_id"], r["class_id"]) for r in N.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([("b", "a"), ("a", "a"), (None, "a"), (None, None)], key=str)
+
+
+def test_short_texts_miss_nothing(spark):
+    """8 words against the same with one more: similarity 0.8 exactly, where bands miss 1 in 90."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        w = [f"s{rng.randrange(10**7)}" for _ in range(8)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "end"] if i % 2 else ["begin", *w]))]
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(300))
+
+
+def test_prefix_groups_of_large_buckets(spark, monkeypatch):
+    """A common passage fills buckets with documents that are not alike; a few pairs among them are."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = random.Random(6)
+    prose = lambda k: [f"p{rng.randrange(10**6)}" for _ in range(k)]
+    passage, rows = prose(60), []
+    for i in range(80):
+        rows.append((i, " ".join(prose(22) + passage + prose(22))))
+    for i in range(0, 80, 9):
+        w = rows[i][1].split()
+        w[3] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+    from pyspark.sql import functions as F
+
+    large = spark.createDataFrame([(1, r, r, 100) for r in range(3)], "bucket long, v long, label long, size int")
+    seq = lambda x: np.array(x, np.uint32).tobytes()
+    common = list(range(50))
+    sequences = spark.createDataFrame([(0, seq([*common, *range(100, 150)])), (1, seq([*common, *range(100, 149), 7_000])), (2, seq([*common, *range(300, 350)]))], "v long, seq binary")
+    groups = N._prefix_groups(large, sequences).groupBy("bucket").agg(F.collect_set("v").alias("vs")).collect()
+    assert any({0, 1} <= set(g["vs"]) for g in groups)
+
+
+def test_profiles_of_long_repetitive_texts():
+    """66,000 against 65,500 equal shingles: counters must not wrap."""
+    import pyarrow as pa
+
+    a, b = np.full(66_000, 5, np.uint32), np.full(65_500, 5, np.uint32)
+    batch = pa.record_batch({"v": pa.array([1, 2]), "seq": pa.array([a.tobytes(), b.tobytes()], pa.binary())})
+    profiles = pa.Table.from_batches(N._profiles([batch]))
+    table = pa.table({"low": [0, 0], "high": [0, 0], "v": [1, 2], "label": [1, 2], "size": [66_000, 65_500], "home": [0, 0], "profile": profiles.column("profile")})
+    assert N._bounded_pairs(table).num_rows == 1
+    assert N.similar(a, b) > 0.99
+
+
+def test_long_texts_by_a_lower_bound():
+    rng = np.random.default_rng(1)
+    a = rng.permutation(200_000).astype(np.uint32)
+    b = np.delete(a, rng.integers(0, len(a), 15_000))
+    assert N.similar(a, b) >= 0.8
+    small = a[:400]
+    assert N.ordered_common(small, np.delete(small, [5, 90])) == lcs(small.tolist(), np.delete(small, [5, 90]).tolist())
+
+
+def test_words_of_one_pattern_differ():
+    """Thue-Morse words over two letters collide under every polynomial hash modulo 2^64."""
+    from provspark.llm import kernels as K
+
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    x, y = ("".join("ab"[b ^ f] for b in bits) for f in (0, 1))
+    data = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+    words = K.find_words(data, np.array([0, len(data)]), K.ALNUM)
+    assert words.hashes[0] != words.hashes[1] and words.hashes[0] == words.hashes[2]
+    values = np.array([3, 9], np.uint64)
+    one, two = (np.array([values[b ^ f] for b in bits]) for f in (0, 1))
+    keys = K.sequence_keys(np.concatenate([one, two, one]), np.array([0, 2048, 4096, 6144]))[0]
+    assert keys[0] != keys[1] and keys[0] == keys[2]
+
+
+def test_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from provspark.llm.shared import release
+
+    folder = os.path.join(spark.conf.get("spark.checkpoint.dir"), "provspark")
+    release(spark)
+    N.near_duplicates(frame(spark, corpus())).count()
+    assert len(os.listdir(folder)) == 3
+    release(spark)
+    assert os.listdir(folder) == []
