@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -40,6 +41,43 @@ def test_article_text():
     assert path == ">html>body>article"
 
 
+LABELLED = [
+    # (html, blocks of the article)
+    ("<div class='content no-sidebar'><h1>T</h1><p>Main text here.</p></div><footer>f</footer>", ["T", "Main text here."]),
+    ("<div class='site-main has-sidebar'><p>Main text here.</p></div><div class='sidebar'>side</div>", ["Main text here."]),
+    ("<div class='page nav-open'><p>Main text.</p></div><div class=site-footer>foot</div>", ["Main text."]),
+    ("<div class='wrapper header-fixed'><article><p>Main</p></article></div>", ["Main"]),
+    ("<div class='content-sidebar-wrap'><article><h1>H</h1><p>Main</p></article><div class=left-sidebar>s</div></div>", ["H", "Main"]),
+    ("<article><p>Before.</p><figure><img src=x><figcaption>A caption</figcaption></figure><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> inside.</p></article>", ["Before.", "A caption", "With x=1 inside."]),
+    ("<article><h1>Head</h1><p>Lead.</p><div class='story-body'><p>" + "Long story text. " * 30 + "</p></div></article>", ["Head", "Lead.", ("Long story text. " * 30).strip()]),
+    ("<div id=c><div class=a><p>First part of it.</p></div><div class=b><p>Second part.</p></div></div><div class=menu><a href=x>l</a></div>", ["First part of it.", "Second part."]),
+    ("<article><p>Short.</p></article><div id='comments'><article class='comment'><p>" + "A long reader comment. " * 40 + "</p></article></div>", ["Short."]),
+    ("<div class='cookie-notice'>We use cookies</div><main><p>Text &lt;b&gt; &amp;amp; &eacute;&#x41;</p><div class='ad-slot'>Buy</div><div class=related><article><p>Other</p></article></div></main>", ["Text <b> &amp; éA"]),
+    ("<nav>n</nav><p>Only paragraphs here.</p><p>And a second one.</p><div class=x><p>Third in a div.</p></div><form>f</form>", ["Only paragraphs here.", "And a second one.", "Third in a div."]),
+    ("<blockquote>" + "A quote that is long. " * 20 + "</blockquote><p>x</p>", None),
+]
+
+
+@pytest.mark.parametrize("source,blocks", LABELLED)
+def test_labelled_pages(source, blocks):
+    page = H.parse(f"<html><body>{source}</body></html>")
+    text, _ = H.extract(page, [p for p, _ in H.votes(page)][:1])
+    if blocks is not None:
+        assert text.split("\n\n") == blocks
+        assert H.extract(page, [])[0] == text
+    else:
+        assert "A quote that is long." in text
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "</span>" * 100_000, "<p><td>" + "<b>" * 100_000 + "<hr>" * 100_000, "<b>x" * 100_000 + "</i>" * 100_000, "<div class='ad'>" * 50_000 + "x" + "</div>" * 50_000, "<p>a " * 200_000, "&" * 1_000_000, "<" * 300_000, "<a " * 100_000])
+def test_odd_markup_takes_linear_time(source):
+    began = time.perf_counter()
+    page = H.parse(source)
+    H.votes(page)
+    H.extract(page, [])
+    assert time.perf_counter() - began < 15
+
+
 def test_pages(spark):
     plain = "<html><body><div class='post-12'><p>" + "long text here. " * 20 + "</p></div><div class='menu'>x</div>"
     rows = [(1, "http://H.example/a", PAGE, 1), (2, None, None, 2), (3, "no url", "", 3), (4, "http://h.example:80/b?c", PAGE, 4), (4, "http://h.example:80/b?c", PAGE, 4), (5, "https://p.example/1", plain, 0), (6, "https://p.example/2", plain.replace("12", "77"), 0), (7, "https://p.example/2", "<div>" * 3000 + "deep" + "</x>", 0)]
