@@ -9,12 +9,21 @@ blocks' counts up and answers each block in the block's own order.  A word is on
 entry per block however often it occurs, so frequent words are not skewed, and a
 shard holds a bounded number of entries.
 
-Model.  A log-bilinear model over word classes: the most frequent words are their
-own classes, all others fall into classes by their last two bytes, with add-one
-unigrams inside.  A linear map of the four preceding classes predicts the next
-class's vector.  All blocks train it by noise-contrastive estimation in numpy,
-starting from the class unigrams, and weights are averaged in a tree.  Scores are
-normalised over all classes by batched matrix products.
+Model.  A log-bilinear neural model.  Its vocabulary is every word of at least
+``LEAST_COUNT`` training occurrences, up to ``VOCABULARY`` words, the most
+frequent.  Linear maps of the vectors of the four words before predict a vector;
+its products with the words' output vectors give the next word.  For exact
+normalisation at a bounded cost, words are grouped into classes of neighbouring
+frequency ranks: the probability is that of the class times that of the word in
+its class, both from the predicted vector.  All other words, unseen ones too,
+fall into classes by their last two bytes with add-one unigrams inside.
+
+Training.  All training tokens train it once, by noise-contrastive estimation in
+numpy of both factors.  Documents are dealt by a hash to ``ROUNDS`` rounds and, in a
+round, to workers of about ``WORKER_TOKENS`` tokens; the workers of a round start
+from the same weights and their results are averaged.  So weights depend on the
+corpus only, not on its partitioning.  Scores are normalised log-probabilities
+from batched matrix products.
 """
 
 from __future__ import annotations
@@ -28,18 +37,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import materialize, slices, text_bytes
+from .shared import drop_table, mark, materialize, release, slices, text_bytes
 
 BLOCK_BYTES = 16 << 20
-SHARD_ENTRIES = 1_000_000
-TOP_WORDS = 192
+SHARD_ENTRIES = 200_000
+#: Most words of the model, and the occurrences that a word needs.  They bound the weights: 4.4 MB, broadcast.
+VOCABULARY = 1 << 15
+LEAST_COUNT = 8
+#: Words of a class; classes of words that aren't in the vocabulary.
+MEMBERS = 128
 TAIL_CLASSES = 64
-CLASSES = TOP_WORDS + TAIL_CLASSES
 CONTEXT = 4
 DIMENSIONS = 16
-NOISE = 32
+CLASS_NOISE, WORD_NOISE = 32, 8
 BATCH = 2048
-RATE = 0.1
+RATE, FIRST_SQUARE = 0.1, 1e-6
+ROUNDS = 4
+WORKER_TOKENS = 2_000_000
+#: Workers whose weights one task averages.
+AVERAGED = 8
+#: Tokens of a text that are scored at once.
+SCORED = 1 << 17
 _U = np.uint64
 #: The token that ends a text.
 END = _U(0xE4D0_F7E1_7000_0001)
@@ -47,32 +65,62 @@ END = _U(0xE4D0_F7E1_7000_0001)
 
 @dataclass
 class Counts:
-    """What all training tokens add up to."""
+    """What all training tokens add up to, and the vocabulary, most frequent words first."""
 
     tokens: int  # N
     words: int  # V
-    top: np.ndarray  # hashes of the most frequent words, sorted
+    top: np.ndarray  # hashes by rank
     top_counts: np.ndarray
-    tail_tokens: np.ndarray  # by tail class
+    tail_tokens: np.ndarray  # by tail class, without the vocabulary
     tail_words: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.top)
+        self.sorted = self.top[self.order]
+
+    @property
+    def size(self) -> int:
+        """Words of the vocabulary; the symbols after them are the tail classes, then "before the text"."""
+        return len(self.top)
+
+    @property
+    def symbols(self) -> int:
+        return self.size + TAIL_CLASSES
+
+    @property
+    def word_classes(self) -> int:
+        return -(-self.size // MEMBERS)
+
+    def classes_of(self, symbols: np.ndarray) -> np.ndarray:
+        return np.where(symbols < self.size, symbols // MEMBERS, symbols - self.size + self.word_classes)
+
 
 @dataclass
 class Weights:
-    """inputs: [context x (classes + 1) x dimensions]; the last class is "before the text"."""
+    """inputs [symbols + 1, d], maps [context, d, d], classes and words [.., d + 1] with
+    the bias last, and of each row the squares of its gradients so far."""
 
     inputs: np.ndarray
-    outputs: np.ndarray
-    bias: np.ndarray
+    maps: np.ndarray
+    classes: np.ndarray
+    words: np.ndarray
+    squares: list
+
+    @property
+    def parts(self) -> list:
+        return [self.inputs, self.maps, self.classes, self.words]
+
+    def copy(self) -> Weights:
+        return Weights(*(x.copy() for x in self.parts), [x.copy() for x in self.squares])
 
     def to_bytes(self) -> bytes:
-        return np.concatenate([self.inputs.ravel(), self.outputs.ravel(), self.bias]).astype(np.float32).tobytes()
+        return np.concatenate([x.ravel() for x in (*self.parts, *self.squares)]).astype(np.float32).tobytes()
 
-    @staticmethod
-    def from_array(flat: np.ndarray) -> Weights:
-        a = CONTEXT * (CLASSES + 1) * DIMENSIONS
-        b = a + CLASSES * DIMENSIONS
-        return Weights(flat[:a].reshape(CONTEXT, CLASSES + 1, DIMENSIONS).copy(), flat[a:b].reshape(CLASSES, DIMENSIONS).copy(), flat[b:].copy())
+    def like(self, flat: np.ndarray) -> Weights:
+        own = [*self.parts, *self.squares]
+        cuts = np.cumsum([x.size for x in own])
+        new = [x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(flat, cuts[:-1]), own)]
+        return Weights(*new[:4], new[4:])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -113,8 +161,8 @@ def _blocks(batches):
             distinct, tail, counts, tokens, offsets = _block(batch)
             n = pa.array([0, batch.num_rows], pa.int32())
             raw = [pa.array([x.tobytes()], pa.binary()) for x in (distinct, tail, counts, tokens, offsets)]
-            lists = [pa.ListArray.from_arrays(n, batch.column(c)) for c in ("doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays([pa.array([random.SystemRandom().getrandbits(62)]), pa.array([len(distinct)]), *lists, *raw], names=["block", "n_words", "doc_ids", "held", "words", "tail", "counts", "tokens", "offsets"])
+            lists = [pa.ListArray.from_arrays(n, batch.column(c)) for c in ("doc_id", "held_out", "row_key")]
+            yield pa.RecordBatch.from_arrays([pa.array([random.SystemRandom().getrandbits(62)]), pa.array([len(distinct)]), *lists, *raw], names=["block", "n_words", "doc_ids", "held", "row_keys", "words", "tail", "counts", "tokens", "offsets"])
 
 
 def _deal(shards: int):
@@ -132,6 +180,11 @@ def _deal(shards: int):
     return run
 
 
+def count_bucket(counts: np.ndarray) -> np.ndarray:
+    """Sixteen buckets for each power of two."""
+    return np.floor(16 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
 def _add_up(table: pa.Table) -> pa.Table:
     """Counts of a shard's words in each block's order; one row without a block sums up the shard."""
     shard = table.column("shard")[0].as_py()
@@ -143,108 +196,169 @@ def _add_up(table: pa.Table) -> pa.Table:
     total = np.bincount(where, weights=own, minlength=len(distinct)).astype(np.int64)
     cuts = np.cumsum([len(p) for p in parts])[:-1]
     answers = [a.tobytes() for a in np.split(total[where], cuts)]
-    best = np.lexsort((distinct, -total))[:TOP_WORDS]
-    best = best[total[best] > 0]
+    best = np.lexsort((distinct, -total))[:VOCABULARY]
+    best = best[total[best] >= LEAST_COUNT]
     known = total > 0
-    stats = np.concatenate([np.bincount(tail, weights=total, minlength=TAIL_CLASSES), np.bincount(tail[known], minlength=TAIL_CLASSES)]).astype(np.int64)
+    sums = {"tokens": np.bincount(tail, weights=total, minlength=TAIL_CLASSES), "words": np.bincount(tail[known], minlength=TAIL_CLASSES), "bucket": np.bincount(count_bucket(total[known]))}
+    listed = [{"kind": k, "at": int(i), "n": int(x[i])} for k, x in sums.items() for i in np.flatnonzero(x)]
     n = len(answers)
     return pa.table(
         {
             "shard": pa.array([shard] * (n + 1), pa.int32()),
             "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()),
-            "counts": pa.array([*answers, stats.tobytes()], pa.binary()),
+            "counts": pa.array([*answers, None], pa.binary()),
             "top": pa.array([None] * n + [distinct[best].tobytes() + total[best].tobytes() + tail[best].tobytes()], pa.binary()),
+            "sums": pa.array([None] * n + [listed], pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32()), ("n", pa.int64())]))),
         }
     )
 
 
-def gather_counts(summaries: list) -> Counts:
-    """summaries: (stats, top) of all shards."""
-    stats = np.zeros(2 * TAIL_CLASSES, np.int64)
-    words, counts, tails = [], [], []
-    for raw, top in summaries:
-        stats += np.frombuffer(raw, np.int64)
-        n = len(top) // 17
-        words.append(np.frombuffer(top[: 8 * n], _U))
-        counts.append(np.frombuffer(top[8 * n : 16 * n], np.int64))
-        tails.append(np.frombuffer(top[16 * n :], np.uint8))
-    words, counts, tails = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((words, _U), (counts, np.int64), (tails, np.uint8)))
-    best = np.lexsort((words, -counts))[:TOP_WORDS]
-    tokens, distinct = stats[:TAIL_CLASSES], stats[TAIL_CLASSES:]
+def least_bucket(words_by_bucket: dict[int, int]) -> int:
+    """The least bucket of counts such that no more than VOCABULARY words are in it or above."""
+    least, total = 1 << 20, 0
+    for bucket in sorted(words_by_bucket, reverse=True):
+        total += words_by_bucket[bucket]
+        if total > VOCABULARY:
+            break
+        least = bucket
+    return max(least, int(count_bucket(np.array([LEAST_COUNT]))[0]))
+
+
+def _vocabulary(least: int):
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column("top").to_pylist():
+                n = len(raw) // 17
+                words, counts, tail = np.frombuffer(raw[: 8 * n], np.int64), np.frombuffer(raw[8 * n : 16 * n], np.int64), np.frombuffer(raw[16 * n :], np.uint8)
+                keep = (counts >= LEAST_COUNT) & (count_bucket(counts) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(words[keep]), pa.array(counts[keep]), pa.array(tail[keep].astype(np.int32))], names=["word", "n", "tail"])
+
+    return run
+
+
+def gather_counts(added: DataFrame) -> Counts:
+    """Sums of all shards, and the vocabulary: about a thousand rows and at most VOCABULARY rows reach the driver."""
+    shards = added.where("block is null")
+    sums: dict[str, dict[int, int]] = {"tokens": {}, "words": {}, "bucket": {}}
+    for r in shards.select(F.explode("sums").alias("s")).groupBy("s.kind", "s.at").agg(F.sum("s.n").alias("n")).collect():
+        sums[r["kind"]][r["at"]] = r["n"]
+    found = shards.select("top").mapInArrow(_vocabulary(least_bucket(sums["bucket"])), "word long, n long, tail int").toArrow()
+    words, counts, tails = (found.column(c).to_numpy() for c in ("word", "n", "tail"))
+    words = words.astype(np.int64).view(_U)
+    tokens, distinct = (np.array([sums[k].get(i, 0) for i in range(TAIL_CLASSES)], np.int64) for k in ("tokens", "words"))
     n, v = int(tokens.sum()), int(distinct.sum())
-    tail_tokens = tokens - np.bincount(tails[best], weights=counts[best], minlength=TAIL_CLASSES).astype(np.int64)
-    tail_words = distinct - np.bincount(tails[best], minlength=TAIL_CLASSES)
-    order = np.argsort(words[best])
-    return Counts(n, v, words[best][order], counts[best][order], tail_tokens, tail_words)
+    tail_tokens = tokens - np.bincount(tails, weights=counts, minlength=TAIL_CLASSES).astype(np.int64)
+    order = np.lexsort((words, -counts))
+    return Counts(n, v, words[order], counts[order], tail_tokens, distinct - np.bincount(tails, minlength=TAIL_CLASSES))
 
 
-def word_classes(words: np.ndarray, tail: np.ndarray, counts: Counts) -> np.ndarray:
-    if not len(counts.top):
-        return TOP_WORDS + tail.astype(np.int64)
-    at = np.minimum(np.searchsorted(counts.top, words), len(counts.top) - 1)
-    return np.where(counts.top[at] == words, at, TOP_WORDS + tail.astype(np.int64))
+def symbols_of(words: np.ndarray, tail: np.ndarray, counts: Counts) -> np.ndarray:
+    if not counts.size:
+        return tail.astype(np.int64)
+    at = np.minimum(np.searchsorted(counts.sorted, words), counts.size - 1)
+    return np.where(counts.sorted[at] == words, counts.order[at], counts.size + tail.astype(np.int64))
 
 
 def start_weights(counts: Counts) -> Weights:
-    """Class unigrams as bias, small random vectors."""
+    """Biases are the unigrams, vectors small random ones."""
     rng = np.random.default_rng(11)
-    share = np.ones(CLASSES)
-    share[: len(counts.top_counts)] += counts.top_counts
-    share[TOP_WORDS:] += counts.tail_tokens
+    share = np.concatenate([counts.top_counts + 1.0, counts.tail_tokens + 1.0])
+    by_class = np.bincount(counts.classes_of(np.arange(counts.symbols)), weights=share)
     draw = lambda *shape: ((rng.random(shape) - 0.5) * 0.2).astype(np.float32)
-    return Weights(draw(CONTEXT, CLASSES + 1, DIMENSIONS), draw(CLASSES, DIMENSIONS), np.log(share / share.sum()).astype(np.float32))
+    with_bias = lambda n, p: np.concatenate([draw(n, DIMENSIONS), np.log(p)[:, None]], axis=1).astype(np.float32)
+    maps = np.tile(np.eye(DIMENSIONS, dtype=np.float32), (CONTEXT, 1, 1)) + draw(CONTEXT, DIMENSIONS, DIMENSIONS)
+    inside = share[: counts.size] / by_class[np.arange(counts.size) // MEMBERS]
+    parts = [draw(counts.symbols + 1, DIMENSIONS), maps, with_bias(len(by_class), by_class / by_class.sum()), with_bias(counts.size, inside)]
+    return Weights(*parts, [np.full(x.shape[:-1], FIRST_SQUARE, np.float32) for x in parts])
 
 
-def contexts(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """[tokens x CONTEXT]: the classes before each token, nearest first."""
-    at = np.arange(len(classes))
+def contexts(symbols: np.ndarray, offsets: np.ndarray, before: int) -> np.ndarray:
+    """[tokens x CONTEXT]: the symbols before each token, nearest first."""
+    at = np.arange(len(symbols))
     begin = np.repeat(offsets[:-1], np.diff(offsets))
-    out = np.full((len(classes), CONTEXT), CLASSES, np.int64)
+    out = np.full((len(symbols), CONTEXT), before, np.int64)
     for j in range(1, CONTEXT + 1):
         ok = at - j >= begin
-        out[ok, j - 1] = classes[at[ok] - j]
+        out[ok, j - 1] = symbols[at[ok] - j]
     return out
 
 
+def predicted(weights: Weights, context: np.ndarray) -> np.ndarray:
+    """[tokens x d + 1]: the predicted vectors, and a one for the bias."""
+    h = np.ones((len(context), DIMENSIONS + 1), np.float32)
+    h[:, :-1] = sum(weights.inputs[context[:, j]] @ weights.maps[j] for j in range(CONTEXT))
+    return h
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values; row numbers fit in 16 bits, which sort fast."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Trainer:
-    """Noise-contrastive estimation with per-weight (Adagrad) steps; noise is shared by a minibatch."""
-
-    def __init__(self, weights: Weights) -> None:
-        self.weights = weights
-        self.squares = [np.full(x.shape, 1e-6, np.float32) for x in (weights.inputs, weights.outputs, weights.bias)]
-        self.share = np.exp(weights.bias.astype(np.float64))
-        self.share /= self.share.sum()
-        self.log_kp = (np.log(self.share) + np.log(NOISE)).astype(np.float32)
-        self.lanes = np.arange(DIMENSIONS)
-
-    def _scatter(self, rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-        at = (rows[:, None] * DIMENSIONS + self.lanes).ravel()
-        return np.bincount(at, weights=values.ravel(), minlength=size * DIMENSIONS).reshape(size, DIMENSIONS).astype(np.float32)
-
-    def step(self, c: np.ndarray, t: np.ndarray, noise: np.ndarray) -> None:
-        w, size = self.weights, len(t)
-        h = w.inputs[0].take(c[:, 0], axis=0)
-        for j in range(1, CONTEXT):
-            h += w.inputs[j].take(c[:, j], axis=0)
-        q_t, q_n = w.outputs.take(t, axis=0), w.outputs.take(noise, axis=0)
-        good = np.einsum("ij,ij->i", h, q_t) + w.bias[t] - self.log_kp[t]
-        bad = h @ q_n.T
-        bad += w.bias[noise] - self.log_kp[noise]
-        g = 1 / (1 + np.exp(good))  # pull the data up
-        d = -1 / (1 + np.exp(-bad))  # push the noise down
-        back = g[:, None] * q_t + d @ q_n
-        grad_q = self._scatter(t, g[:, None] * h, CLASSES) + self._scatter(noise, d.T @ h, CLASSES)
-        grad_b = np.bincount(t, weights=g, minlength=CLASSES) + np.bincount(noise, weights=d.sum(axis=0), minlength=CLASSES)
-        grad_in = np.stack([self._scatter(c[:, j], back, CLASSES + 1) for j in range(CONTEXT)])
-        for x, square, grad in zip((w.inputs, w.outputs, w.bias), self.squares, (grad_in, grad_q, grad_b.astype(np.float32))):
-            grad /= size
-            square += grad * grad
-            x += RATE * grad / np.sqrt(square)
+    """Noise-contrastive estimation of classes and of words in their classes, with Adagrad steps by row."""
+
+    def __init__(self, weights: Weights, counts: Counts) -> None:
+        self.weights, self.counts = weights, counts
+        share = np.concatenate([counts.top_counts + 1.0, counts.tail_tokens + 1.0])
+        self.classes = counts.classes_of(np.arange(counts.symbols))
+        self.class_share = np.bincount(self.classes, weights=share) / share.sum()
+        self.class_noise = (np.log(self.class_share) + np.log(CLASS_NOISE)).astype(np.float32)
+        self.mass = np.concatenate([[0.0], np.cumsum(share[: counts.size])])
+        self.low = self.mass[np.minimum(np.arange(counts.word_classes) * MEMBERS, counts.size)]
+        self.high = self.mass[np.minimum((np.arange(counts.word_classes) + 1) * MEMBERS, counts.size)]
+        inside = share[: counts.size] / (self.high - self.low)[np.arange(counts.size) // MEMBERS] if counts.size else share[:0]
+        self.word_noise = (np.log(inside) + np.log(WORD_NOISE)).astype(np.float32)
+
+    def _move(self, part: int, rows, grad: np.ndarray, size: int) -> None:
+        grad = grad / np.float32(size)
+        x, square = self.weights.parts[part], self.weights.squares[part]
+        square[rows] += np.square(grad).mean(axis=-1)
+        x[rows] += RATE * grad / np.sqrt(square[rows])[..., None]
+
+    def step(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+        w, size, sigmoid = self.weights, len(target), lambda x: 1 / (1 + np.exp(-x))
+        e = w.inputs[context]
+        h = np.ones((size, DIMENSIONS + 1), np.float32)
+        h[:, :-1] = sum(e[:, j] @ w.maps[j] for j in range(CONTEXT))
+        # the class: noise is shared by the batch
+        own = self.classes[target]
+        noise = rng.choice(len(self.class_share), size=CLASS_NOISE, p=self.class_share)
+        q_own, q_noise = w.classes[own], w.classes[noise]
+        up = 1 - sigmoid(np.einsum("ij,ij->i", h, q_own) - self.class_noise[own])
+        down = -sigmoid(h @ q_noise.T - self.class_noise[noise])
+        back = up[:, None] * q_own + down @ q_noise
+        moves = [(2, *_row_sums(np.concatenate([own, noise]), np.concatenate([up[:, None] * h, down.T @ h])))]
+        # the word in its class: noise is shared by the batch's tokens of the class
+        inner = np.flatnonzero(target < self.counts.size)
+        if len(inner):
+            inner = inner[np.argsort(own[inner].astype(np.uint16), kind="stable")]
+            t, hi, c = target[inner], h[inner], own[inner]
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            present, where = c[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+            drawn = self.low[present][:, None] + (self.high - self.low)[present][:, None] * rng.random((len(present), WORD_NOISE))
+            other = np.clip(np.searchsorted(self.mass, drawn, "right") - 1, (present * MEMBERS)[:, None], np.minimum((present + 1) * MEMBERS, self.counts.size)[:, None] - 1)
+            q_t, q_o = w.words[t], w.words[other][where]
+            up = 1 - sigmoid(np.einsum("ij,ij->i", hi, q_t) - self.word_noise[t])
+            down = -sigmoid(np.matmul(q_o, hi[:, :, None])[:, :, 0] - self.word_noise[other][where])
+            back[inner] += up[:, None] * q_t + np.matmul(down[:, None, :], q_o)[:, 0]
+            moved = np.add.reduceat((down[:, :, None] * hi[:, None, :]).reshape(len(hi), -1), first, axis=0).reshape(-1, DIMENSIONS + 1)
+            rows, sums = _row_sums(t, up[:, None] * hi)
+            moves.append((3, *_row_sums(np.concatenate([rows, other.ravel()]), np.concatenate([sums, moved]))))
+        back = back[:, :-1]
+        grad_maps = np.stack([e[:, j].T @ back for j in range(CONTEXT)])
+        grad_inputs = np.stack([back @ w.maps[j].T for j in range(CONTEXT)], axis=1).reshape(-1, DIMENSIONS)
+        moves.append((0, *_row_sums(context.ravel(), grad_inputs)))
+        for part, rows, grad in moves:
+            self._move(part, rows, grad, size)
+        self._move(1, slice(None), grad_maps, size)
 
     def run(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        drawn = rng.choice(CLASSES, size=(len(target) // BATCH + 1, NOISE), p=self.share)
-        for n, at in enumerate(range(0, len(target), BATCH)):
-            self.step(context[at : at + BATCH], target[at : at + BATCH], drawn[n])
+        for at in range(0, len(target), BATCH):
+            self.step(context[at : at + BATCH], target[at : at + BATCH], rng)
 
 
 def _unpack(batch: pa.RecordBatch, row: int):
@@ -252,59 +366,114 @@ def _unpack(batch: pa.RecordBatch, row: int):
     return {c: np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in types.items()}
 
 
-def _train(shared_var):
+def _deal_documents(counts_var, this_round: int, workers: int):
     def run(batches):
-        counts, start = shared_var.value
-        weights = Weights(start.inputs.copy(), start.outputs.copy(), start.bias.copy())
-        trainer = Trainer(weights)
-        seen = 0
+        """The symbols of this round's training documents."""
+        counts = counts_var.value
         for batch in batches:
             for row in range(batch.num_rows):
-                b = _unpack(batch, row)
                 held = np.array(batch.column("held")[row].as_py(), bool)
-                classes = word_classes(b["words"], b["tail"], counts)[b["tokens"]]
-                sizes = np.diff(b["offsets"])
-                use = np.flatnonzero(np.repeat(~held, sizes))
-                for at in range(0, len(use), 1 << 18):
-                    own = use[at : at + (1 << 18)]
-                    low, high = int(own[0]), int(own[-1]) + 1
-                    first = int(np.searchsorted(b["offsets"], low, "right") - 1)
-                    base = int(b["offsets"][first])
-                    cut = np.minimum(b["offsets"][first:], high) - base
-                    cut = cut[: int(np.searchsorted(cut, high - base)) + 1]
-                    context = contexts(classes[base:high], cut)[own - base]
-                    rng = np.random.default_rng(seen + 1)
-                    mixed = rng.permutation(len(own))
-                    trainer.run(context[mixed], classes[own][mixed], rng)
-                    seen += len(own)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([random.SystemRandom().getrandbits(30)], pa.int64()), pa.array([float(seen)]), pa.array([weights.to_bytes()], pa.binary())], names=["ticket", "seen", "weights"])
+                keys = np.array(batch.column("row_keys")[row].as_py(), np.int64)
+                use = np.flatnonzero(~held & (keys.view(_U) % _U(ROUNDS) == _U(this_round)))
+                if not len(use):
+                    continue
+                b = _unpack(batch, row)
+                symbols = symbols_of(b["words"], b["tail"], counts).astype(np.uint16)
+                worker = (keys[use].view(_U) // _U(ROUNDS) % _U(workers)).astype(np.int64)
+                texts = [symbols[b["tokens"][b["offsets"][d] : b["offsets"][d + 1]]].tobytes() for d in use]
+                yield pa.RecordBatch.from_arrays([pa.array(worker), pa.array(keys[use]), pa.array(texts, pa.binary())], names=["worker", "row_key", "symbols"])
+
+    return run
+
+
+def train_worker(texts: list[np.ndarray], start: Weights, counts: Counts, seed: int) -> Weights:
+    """Weights after all tokens of the texts, about a quarter million at a time in random order."""
+    weights = start.copy()
+    trainer, rng = Trainer(weights, counts), np.random.default_rng(seed)
+    sizes = np.array([len(t) for t in texts])
+    group = np.cumsum(sizes) // (1 << 18)
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        symbols = np.concatenate([texts[i] for i in own]).astype(np.int64)
+        context = contexts(symbols, np.concatenate([[0], np.cumsum(sizes[own])]), counts.symbols)
+        mixed = rng.permutation(len(symbols))
+        trainer.run(context[mixed], symbols[mixed], rng)
+    return weights
+
+
+def _train(shared_var, this_round: int):
+    def run(table: pa.Table) -> pa.Table:
+        counts, start = shared_var.value
+        table = table.sort_by([("row_key", "ascending")])
+        worker = table.column("worker")[0].as_py()
+        texts = [np.frombuffer(x, np.uint16) for x in table.column("symbols").to_pylist()]
+        weights = train_worker(texts, start, counts, worker * ROUNDS + this_round)
+        return pa.table({"worker": [worker], "seen": [float(sum(map(len, texts)))], "weights": pa.array([weights.to_bytes()], pa.binary())})
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("worker", "ascending")])
     seen = np.array(table.column("seen").to_pylist())
-    flat = sum(np.frombuffer(w, np.float32) * (s / seen.sum()) for w, s in zip(table.column("weights").to_pylist(), seen))
-    return pa.table({"ticket": pa.array([table.column("ticket")[0].as_py()], pa.int64()), "seen": pa.array([float(seen.sum())]), "weights": pa.array([np.asarray(flat, np.float32).tobytes()], pa.binary())})
-
-
-def log_probabilities(weights: Weights, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Natural log of each token's class probability, normalised over all classes."""
-    out = np.empty(len(classes), np.float64)
-    context = contexts(classes, offsets)
-    outputs = np.ascontiguousarray(weights.outputs.T)
-    for at in range(0, len(classes), 1 << 13):
-        c, t = context[at : at + (1 << 13)], classes[at : at + (1 << 13)]
-        h = weights.inputs[0][c[:, 0]].copy()
-        for j in range(1, CONTEXT):
-            h += weights.inputs[j][c[:, j]]
-        z = h @ outputs
-        z += weights.bias
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(t)), t].astype(np.float64)
+    flat = sum(np.frombuffer(w, np.float32).astype(np.float64) * (s / seen.sum()) for w, s in zip(table.column("weights").to_pylist(), seen))
+    return pa.table({"worker": [table.column("worker")[0].as_py() // AVERAGED], "seen": [float(seen.sum())], "weights": pa.array([np.asarray(flat, np.float32).tobytes()], pa.binary())})
+
+
+def train(blocks: DataFrame, counts: Counts, worker_tokens: int = WORKER_TOKENS) -> Weights:
+    """The rounds; of each the driver gets one row, the averaged weights."""
+    spark, weights = blocks.sparkSession, start_weights(counts)
+    schema = "worker long, seen double, weights binary"
+    workers = max(1, -(-counts.tokens // (ROUNDS * worker_tokens)))
+    known = spark.sparkContext.broadcast(counts)
+    for n in range(ROUNDS if counts.tokens else 0):
+        dealt = blocks.select("held", "row_keys", "words", "tail", "tokens", "offsets").mapInArrow(_deal_documents(known, n, workers), "worker long, row_key long, symbols binary")
+        shared = spark.sparkContext.broadcast((counts, weights))
+        trained = materialize(dealt.groupBy("worker").applyInArrow(_train(shared, n), schema), "weights")
+        left = workers
+        while left > 1:
+            averaged = materialize(trained.groupBy(F.floor(F.col("worker") / AVERAGED).alias("g")).applyInArrow(_average, schema), "weights")
+            drop_table(trained)
+            trained, left = averaged, -(-left // AVERAGED)
+        row = trained.first()
+        drop_table(trained)
+        if row:
+            weights = weights.like(np.frombuffer(row["weights"], np.float32))
+        shared.unpersist()
+    return weights
+
+
+def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, step: int = 2048) -> np.ndarray:
+    """Log of the softmax of each row's target, by batched products."""
+    out = np.empty(len(h), np.float64)
+    turned = np.ascontiguousarray(outputs.T)
+    for at in range(0, len(h), step):
+        z = h[at : at + step] @ turned
+        own = z[np.arange(len(z)), target[at : at + step]].astype(np.float64)
+        top = z.max()
+        if top > 60:  # exp could overflow
+            high = z.max(axis=1, keepdims=True)
+            z -= high
+            own -= high[:, 0]
         np.exp(z, out=z)
-        out[at : at + (1 << 13)] = own - np.log(z.sum(axis=1, dtype=np.float64))
+        out[at : at + step] = own - np.log(z.sum(axis=1, dtype=np.float64))
+    return out
+
+
+def log_probabilities(weights: Weights, counts: Counts, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Natural log of each symbol's probability after those before it, normalised over all symbols."""
+    out = np.empty(len(symbols), np.float64)
+    context = contexts(symbols, offsets, counts.symbols)
+    for at in range(0, len(symbols), SCORED):
+        t, h = symbols[at : at + SCORED], predicted(weights, context[at : at + SCORED])
+        own = counts.classes_of(t)
+        part = _log_sums(h, weights.classes, own)
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(counts.word_classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[c] : cuts[c + 1]]
+            part[rows] += _log_sums(h[rows], weights.words[c * MEMBERS : (c + 1) * MEMBERS], t[rows] - c * MEMBERS)
+        out[at : at + SCORED] = part
     return out
 
 
@@ -317,12 +486,12 @@ def _score(shared_var):
                 b = _unpack(batch, row)
                 answers = sorted(batch.column("answers")[row].as_py(), key=lambda x: x["shard"])
                 c = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in answers])
-                kind = word_classes(b["words"], b["tail"], counts)
+                kind = symbols_of(b["words"], b["tail"], counts)
                 base = np.log10(c + 1.0) - unit
-                k = np.maximum(kind - TOP_WORDS, 0)
-                inside = np.where(kind < TOP_WORDS, 0.0, np.log10(c + 1.0) - np.log10(counts.tail_tokens[k] + counts.tail_words[k] + 1.0))
+                k = np.maximum(kind - counts.size, 0)
+                inside = np.where(kind < counts.size, 0.0, np.log10(c + 1.0) - np.log10(counts.tail_tokens[k] + counts.tail_words[k] + 1.0))
                 tokens, offsets = b["tokens"], b["offsets"]
-                model = log_probabilities(weights, kind[tokens], offsets) / np.log(10) + inside[tokens]
+                model = log_probabilities(weights, counts, kind[tokens], offsets) / np.log(10) + inside[tokens]
                 begin = offsets[:-1]
                 n = len(begin)
                 yield pa.RecordBatch.from_arrays(
@@ -341,42 +510,41 @@ def _score(shared_var):
     return run
 
 
+def make_blocks(docs: DataFrame) -> DataFrame:
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), held_out().alias("held_out"), F.xxhash64("doc_id", text).alias("row_key"))
+    schema = f"block long, n_words long, doc_ids array<{id_type}>, held array<boolean>, row_keys array<long>, words binary, tail binary, counts binary, tokens binary, offsets binary"
+    return materialize(rows.mapInArrow(_blocks, schema), "blocks")
+
+
+def count_words(blocks: DataFrame) -> DataFrame:
+    """Each block's answers from the shards, and a row without a block for each shard."""
+    entries = blocks.agg(F.sum("n_words")).first()[0] or 0
+    shards = max(4, -(-entries // SHARD_ENTRIES))
+    dealt = blocks.select("block", "words", "tail", "counts").mapInArrow(_deal(shards), "shard int, block long, words binary, tail binary, counts binary")
+    schema = "shard int, block long, counts binary, top binary, sums array<struct<kind:string,at:int,n:long>>"
+    return materialize(dealt.groupBy("shard").applyInArrow(_add_up, schema), "counts")
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     docs needs doc_id and text (null: empty, which is the end token alone); other
     columns are ignored.  Rows with crc32(doc_id) mod 7 = 2 are held out; a null
     doc_id is not.  Repeated rows count and are scored as often as they occur.
+    With nothing to learn from, all words are unseen ones of the tail classes.
     Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    begin = mark(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    schema = f"block long, n_words long, doc_ids array<{id_type}>, held array<boolean>, words binary, tail binary, counts binary, tokens binary, offsets binary"
-    blocks = materialize(rows.mapInArrow(_blocks, schema), "blocks")
-    entries = blocks.agg(F.sum("n_words")).first()[0] or 0
-    shards = max(16, -(-entries // SHARD_ENTRIES))
-    dealt = blocks.select("block", "words", "tail", "counts").mapInArrow(_deal(shards), "shard int, block long, words binary, tail binary, counts binary")
-    added = materialize(dealt.groupBy("shard").applyInArrow(_add_up, "shard int, block long, counts binary, top binary"), "counts")
-    counts = gather_counts([(bytes(r["counts"]), bytes(r["top"])) for r in added.where("block is null").select("counts", "top").toLocalIterator()])
-    start = start_weights(counts)
-    trained = blocks.select("held", "words", "tail", "tokens", "offsets").mapInArrow(_train(spark.sparkContext.broadcast((counts, start))), "ticket long, seen double, weights binary")
-    trained = materialize(trained, "weights")
-    n = trained.count()
-    while n > 64:  # average in a tree
-        groups = -(-n // 64)
-        trained = materialize(trained.groupBy((F.col("ticket") % groups).alias("g")).applyInArrow(_average_group, "ticket long, seen double, weights binary"), "weights")
-        n = trained.count()
-    parts = trained.collect()
-    weights = start
-    if parts:
-        total = sum(r["seen"] for r in parts)
-        weights = Weights.from_array(np.asarray(sum(np.frombuffer(r["weights"], np.float32) * (r["seen"] / total) for r in sorted(parts, key=lambda r: (r["seen"], bytes(r["weights"])))), np.float32))
+    blocks = make_blocks(docs)
+    added = count_words(blocks)
+    counts = gather_counts(added)
+    weights = train(blocks, counts)
+    release(spark, begin, (blocks, added))
     answers = added.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
     joined = blocks.select("block", "doc_ids", "held", "words", "tail", "tokens", "offsets").join(answers, "block")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return joined.mapInArrow(_score(spark.sparkContext.broadcast((counts, weights))), schema)
-
-
-def _average_group(table: pa.Table) -> pa.Table:
-    return _average(table.select(["ticket", "seen", "weights"]))

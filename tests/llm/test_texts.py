@@ -355,20 +355,83 @@ def test_scores_match_brute_force(spark):
     assert LM.score_documents(empty(spark)).count() == 0
 
 
-def test_class_probabilities_are_normalised_and_learned():
+def _counts(top, tail_tokens=None, tail_words=None):
+    z = np.zeros(LM.TAIL_CLASSES, np.int64)
+    tail_tokens, tail_words = (z if x is None else x for x in (tail_tokens, tail_words))
+    return LM.Counts(int(sum(top) + tail_tokens.sum()), len(top) + int(tail_words.sum()), np.arange(len(top), dtype=np.uint64) * 7 + 1, np.array(top), tail_tokens, tail_words)
+
+
+def test_probabilities_are_normalised_and_learned():
     rng = np.random.default_rng(0)
-    classes = np.tile(np.arange(8), 4000)  # the next class follows from the last
-    offsets = np.array([0, len(classes)])
-    counts = LM.Counts(len(classes), 8, np.arange(8, dtype=np.uint64), np.full(8, 4000), np.zeros(LM.TAIL_CLASSES, np.int64), np.zeros(LM.TAIL_CLASSES, np.int64))
+    symbols = np.tile(np.arange(200), 300)  # the next word follows from the last
+    offsets, counts = np.array([0, len(symbols)]), _counts([300] * 200)
     w = LM.start_weights(counts)
-    context = LM.contexts(classes, offsets)
-    total = sum(np.exp(LM.log_probabilities(w, np.concatenate([classes[:20], [c]]), np.array([0, 21]))[-1]) for c in range(LM.CLASSES))
-    assert abs(total - 1) < 1e-4
-    before = LM.log_probabilities(w, classes[:400], np.array([0, 400])).mean()
-    trainer = LM.Trainer(w)
+    last = lambda c: LM.log_probabilities(w, counts, np.concatenate([symbols[:20], [c]]), np.array([0, 21]))[-1]
+    assert abs(sum(np.exp(last(c)) for c in range(counts.symbols)) - 1) < 1e-4
+    before = LM.log_probabilities(w, counts, symbols[:400], np.array([0, 400])).mean()
+    trainer, context = LM.Trainer(w, counts), LM.contexts(symbols, offsets, counts.symbols)
     for _ in range(8):
-        trainer.run(context, classes, rng)
-    assert LM.log_probabilities(w, classes[:400], np.array([0, 400])).mean() > before + 1
+        trainer.run(context, symbols, rng)
+    assert abs(sum(np.exp(last(c)) for c in range(counts.symbols)) - 1) < 1e-4
+    assert LM.log_probabilities(w, counts, symbols[:400], np.array([0, 400])).mean() > before + 1
+
+
+def test_model_scores_match_brute_force(spark, monkeypatch):
+    """score, from the learned weights, word by word with plain softmaxes; the same for any partitioning."""
+    rows = corpus(120, 31)
+    df = frame(spark, rows)
+    blocks = LM.make_blocks(df)
+    counts = LM.gather_counts(LM.count_words(blocks))
+    weights = LM.train(blocks, counts, worker_tokens=900)
+    monkeypatch.setattr(LM, "train", lambda b, c: weights)
+    got = {r["doc_id"]: r["score"] for r in LM.score_documents(df).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: [*SPACED.findall((t or "").translate(UPPER)), None]
+    known = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    top = [w for w, n in known.items() if n >= LM.LEAST_COUNT]
+    assert counts.size == len(top) and sorted(counts.top_counts.tolist()) == sorted(known[w] for w in top)
+
+    def symbol_of(word):  # hashes and tail classes by the kernel, one word at a time
+        if word is None:
+            hashes, tail = np.array([LM.END]), np.array([0])
+        else:
+            found = LM._block(pa.record_batch({"text": pa.array([word]), "held_out": pa.array([False])}))
+            n = int(np.flatnonzero(found[0] != LM.END)[0])
+            hashes, tail = found[0][n : n + 1], found[1][n : n + 1]
+        return int(LM.symbols_of(hashes, tail, counts)[0])
+
+    symbol = {w: symbol_of(w) for i, t in rows for w in tokens(t)}
+    in_tail = Counter(symbol[w] for w in known if symbol[w] >= counts.size)
+    tail_tokens = Counter()
+    for w, n in known.items():
+        tail_tokens[symbol[w]] += n
+    for i, t in rows[::4] + rows[-14:]:
+        before, total = [counts.symbols] * 4, 0.0
+        for w in tokens(t)[:60] if len(tokens(t)) > 400 else tokens(t):
+            s = symbol[w]
+            h = sum(weights.inputs[before[j]] @ weights.maps[j] for j in range(4))
+            z = weights.classes[:, :-1] @ h + weights.classes[:, -1]
+            c = s // LM.MEMBERS if s < counts.size else s - counts.size + counts.word_classes
+            total += z[c] - math.log(sum(math.exp(x) for x in z))
+            if s < counts.size:
+                own = weights.words[c * LM.MEMBERS : (c + 1) * LM.MEMBERS]
+                z = own[:, :-1] @ h + own[:, -1]
+                total += z[s % LM.MEMBERS] - math.log(sum(math.exp(x) for x in z))
+            else:
+                total += math.log((known[w] + 1) / (tail_tokens[s] + in_tail[s] + 1))
+            before = [s, *before[:3]]
+        if len(tokens(t)) <= 400:
+            assert abs(got[i] - total / math.log(10)) < 1e-4 * max(1, -got[i]), i
+
+
+def test_weights_do_not_depend_on_the_partitioning(spark):
+    df = frame(spark, corpus(120, 37))
+    out = []
+    for n in (1, 5):
+        blocks = LM.make_blocks(df.repartition(n))
+        counts = LM.gather_counts(LM.count_words(blocks))
+        out.append(LM.train(blocks, counts, worker_tokens=700))
+    assert all(np.array_equal(x, y) for x, y in zip(out[0].parts, out[1].parts))
 
 
 def test_text_bytes_of_slices():
