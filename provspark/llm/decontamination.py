@@ -11,10 +11,11 @@ merges them to removal spans.  There is no shuffle: a document's result depends
 on that document and the benchmark alone.
 
 The benchmark is the only thing broadcast.  Its size is checked first: beyond
-``block_bytes`` of text it is dealt into blocks below that size, each of which
-is searched against all rows.
+``block_bytes`` of text it is dealt into blocks below that size, and one block
+after the other is searched against all rows.
 
-Words are compared by 64-bit hashes.
+Words are looked up by 64-bit hashes; the words of every occurrence are then
+compared letter by letter.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import slices, text_bytes
+from .shared import materialize, slices, text_bytes
 
 RUN = "array<struct<start:int,end:int>>"
 
@@ -41,6 +42,8 @@ class TestWindows:
     item_offsets: np.ndarray  # of the items of each window
     item_index: np.ndarray
     item_ids: list  # as strings
+    letters: np.ndarray  # the vocabulary's words one after the other, lower-cased
+    letter_offsets: np.ndarray
 
     @property
     def shortest(self) -> int:
@@ -52,7 +55,8 @@ def test_windows(items: list[tuple], window: int) -> TestWindows:
     items = [(str(i), t or "") for i, t in items if i is not None]
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
     words = K.find_words(data, offsets, K.ALNUM)
-    vocabulary = np.unique(words.hashes)
+    vocabulary, first_at = np.unique(words.hashes, return_index=True)
+    letters, letter_offsets = _letters(words, data, first_at)
     symbols = np.searchsorted(vocabulary, words.hashes).astype(np.int64) + 2
     ids = sorted({i for i, _ in items})
     place = {i: n for n, i in enumerate(ids)}
@@ -71,7 +75,35 @@ def test_windows(items: list[tuple], window: int) -> TestWindows:
         lists += [sorted(found[k]) for k in keys]
         first += len(keys)
     sizes = [len(x) for x in lists]
-    return TestWindows(vocabulary, groups, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([i for x in lists for i in x], np.int64), ids)
+    return TestWindows(vocabulary, groups, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([i for x in lists for i in x], np.int64), ids, letters, letter_offsets)
+
+
+def _letters(words: K.Words, data: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes of some words, and where each begins."""
+    size = words.ends[which] - words.starts[which]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offsets[-1]) + np.repeat(words.starts[which] - offsets[:-1], size)
+    return K.ALNUM[data[at]], offsets
+
+
+def equal_words(words: K.Words, data: np.ndarray, tests: TestWindows, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the words of each occurrence are the vocabulary's, letter by letter."""
+    inside = np.zeros(len(words.hashes) + 1, np.int64)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + length, -1)
+    which = np.flatnonzero(np.cumsum(inside)[:-1])
+    own, own_offsets = _letters(words, data, which)
+    symbol = np.searchsorted(tests.vocabulary, words.hashes[which])
+    size = np.diff(own_offsets)
+    same = size == np.diff(tests.letter_offsets)[symbol]
+    at = np.arange(len(own)) - np.repeat(own_offsets[:-1] - tests.letter_offsets[symbol], size)
+    wrong = np.repeat(~same, size)
+    wrong[~wrong] = own[~wrong] != tests.letters[at[~wrong]]
+    differs = np.concatenate([[0], np.cumsum(wrong)])
+    bad = np.zeros(len(words.hashes) + 1, np.int64)
+    bad[which + 1] = differs[own_offsets[1:]] > differs[own_offsets[:-1]]
+    bad = np.cumsum(bad)
+    return bad[start + length] == bad[start]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -222,6 +254,9 @@ def _kernel(tests_var, last: bool, keep: list):
                 words = K.find_words(data, offsets, K.ALNUM)
                 runs, items = batch.column("runs").to_pylist(), batch.column("items").to_pylist()
                 start, length, window = search_slice(words, tests)
+                if len(start):
+                    same = equal_words(words, data, tests, start, length)
+                    start, length, window = start[same], length[same], window[same]
                 document = np.searchsorted(words.offsets, start, "right") - 1
                 order = np.argsort(document, kind="stable")
                 cuts = np.searchsorted(document[order], np.arange(batch.num_rows + 1))
@@ -276,6 +311,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         last = n == blocks - 1
         schema = f"{fields}n_words long, n_hit long, items array<string>, spans {RUN}" if last else f"{with_text}runs {RUN}, items array<string>"
         out = out.mapInArrow(_kernel(tests, last, keep), schema)
+        if not last:  # no task holds two blocks
+            out = materialize(out, "benchmark-block")
+            tests.unpersist()
     return out
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import slices, text_bytes
@@ -28,14 +28,17 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters; sample_rows bounds what the classifier is fitted on."""
+    """Parameters; the first four bound what the classifier is fitted on."""
 
-    sample_rows: int = 1600
-    sample_text_points: int = 6_000  # longer texts aren't put into the sample
+    sample_rows: int = 1600  # dealt evenly to the languages
+    least_rows: int = 16  # of a language, however many languages there are
+    sample_text_points: int = 6_000  # code points of a sampled text; a longer one gives a crop at a hashed place
+    most_languages: int = 1000  # the most frequent ones are learned
     buckets: int = 1 << 15
     dimensions: int = 16
     grams: tuple = (2, 3, 4)
     epochs: int = 24
+    least_steps: int = 600  # a small sample takes more epochs
     batch: int = 32
     rate: float = 0.5
     crop: int = 64  # n-grams of a training crop: short texts are learned too
@@ -164,9 +167,10 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
     seen[ids] = True
     table[~seen] = 0  # an n-gram that was never seen says nothing
     out = np.zeros((settings.dimensions, n_out))
-    for epoch in range(settings.epochs):
+    epochs = max(settings.epochs, -(-settings.least_steps * settings.batch // max(1, len(fit))))
+    for epoch in range(epochs if len(fit) else 0):
         rng.shuffle(fit)
-        rate = settings.rate * (1 - epoch / settings.epochs)
+        rate = settings.rate * (1 - epoch / epochs)
         for at in range(0, len(fit), settings.batch):
             rows = fit[at : at + settings.batch]
             length = np.minimum(size[rows], settings.crop)
@@ -196,21 +200,27 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on a sample of docs(doc_id, text, lang) with equal shares by language.
 
-    Rows with a null text, lang or one longer than ``sample_text_points`` aren't
-    candidates.  The sample holds at most ``sample_rows`` rows, chosen by a hash
-    of doc_id and text, so it does not depend on the partitioning.
+    Rows with a null or empty text or a null lang are no candidates.  Of each
+    language the rows with the least hashes of doc_id and text are taken, so the
+    sample does not depend on the partitioning; of a text longer than
+    ``sample_text_points`` a crop is learned.  The sample holds at most
+    ``sample_rows`` rows, or ``least_rows`` of each language if that is more.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text").between(1, settings.sample_text_points)))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    rows = docs.where(F.col("lang").isNotNull() & (F.length(text) > 0)).select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_languages).collect()}
     if not counts:
         return train([], [], settings)
-    share = settings.sample_rows / len(counts)
-    ticket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, share / n) * 1_000_000) + 1)).otherwise(limit)
-    sample = rows.where(ticket < limit).select("doc_id", "text", "lang", ticket.alias("ticket"))
-    sample = sample.orderBy("ticket", "doc_id", "text").limit(settings.sample_rows).collect()
+    share = max(settings.least_rows, settings.sample_rows // len(counts))
+    # about twice the share passes the filter; the exact share is taken of that
+    limits = spark.createDataFrame([(k, min(1.0, (2.0 * share + 50) / n)) for k, n in counts.items()], "lang string, limit double")
+    ticket = F.xxhash64("doc_id", "text")
+    place = F.pmod(F.xxhash64(F.lit("crop"), "doc_id", "text"), F.greatest(F.length("text") - settings.sample_text_points, F.lit(0)) + 1).cast("int")
+    few = rows.withColumn("ticket", ticket).join(F.broadcast(limits), "lang").where(F.shiftrightunsigned("ticket", 11) / float(1 << 53) < F.col("limit"))
+    few = few.select("lang", "ticket", "doc_id", F.substring(F.col("text"), place + 1, F.lit(settings.sample_text_points)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("ticket", "doc_id", "text")
+    sample = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= share).orderBy("ticket", "doc_id", "text", "lang").collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample], settings)
 
 

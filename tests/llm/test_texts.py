@@ -110,6 +110,20 @@ def test_language_held_out_accuracy(spark):
     assert got[1002]["lang_pred"] in ("aa", "bb", "cc") and got[1003]["rejected"]
 
 
+def test_language_learns_from_long_texts_and_all_languages(spark):
+    """A language of long texts only is learned, and small languages beside a huge one."""
+    rows = [(i, t, lang) for i, t, lang in _languages(300) if lang != "cc"]
+    rows += [(1000 + i, "ß ö ä ü ß " * 2_000, "cc") for i in range(12)]
+    rows += [(2000 + i, "zzyy wwvv xxyy " * 3, "tiny") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, L.Settings(sample_rows=80))
+    assert model.languages == ["aa", "bb", "cc", "tiny"]
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+    again = L.fit(df.repartition(7), L.Settings(sample_rows=80))
+    assert np.array_equal(model.logits, again.logits)
+
+
 def test_language_with_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in L.language_query(df).collect()} == {"und"}
@@ -174,10 +188,33 @@ def test_packing_is_a_partition(spark):
     assert P.pack(empty(spark), tokenizer_path()).count() == 0
 
 
-def test_islands_migrate(spark, monkeypatch):
-    monkeypatch.setattr(P, "ISLAND_PIECES", 20)
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 1_000_000, "\n \t" * 200_000, "\xa0" * 100_000, "1" * 300_000])
+def test_encoder_takes_long_runs(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    assert P.encoder(tokenizer_path())([text]) == [t.encode(text, add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_genetic_search_beats_best_fit(seed):
+    """Per island: fewer bins than best-fit decreasing where that isn't optimal, and never more."""
+    rng = np.random.default_rng(seed)
+    hard = rng.integers(200, 500, 300).tolist()
+    triplets = [x for _ in range(60) for a in [int(rng.integers(380, 490))] for b in [int(rng.integers(250, (1000 - a) // 2))] for x in (a, b, 1000 - a - b)]
+    easy = rng.integers(1, 900, 700).tolist()
+    for sizes, gain in ((hard, 2), (triplets, 4), (easy, 0)):
+        seeded = P.Packing(sizes, 1000)
+        seeded.best_fit(list(range(len(sizes))))
+        best = P.evolve(sizes, [], 1000, seed)
+        assert sorted(i for b in best.bins for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) + f == 1000 and f >= 0 for b, f in zip(best.bins, best.free))
+        assert len(best.bins) <= len(seeded.bins) - gain and best.fitness() >= seeded.fitness()
+
+
+def test_islands_migrate(spark):
     rows = corpus(300, 11)
-    got = P.pack(frame(spark, rows), tokenizer_path()).toPandas()
+    got = P.pack(frame(spark, rows), tokenizer_path(), island_pieces=20).toPandas()
     assert (got.groupby("sequence_id").length.sum() <= 1024).all() and got.sequence_id.nunique() <= 1.03 * got.length.sum() / 1024 + 3
 
 
@@ -235,6 +272,17 @@ def test_contamination_matches_brute_force(spark, block_bytes):
         assert covered == r["n_hit"]
 
 
+def test_words_of_equal_hash_are_compared():
+    data = np.frombuffer(b"one two three four five", np.uint8)
+    tests = D.test_windows([(1, "Two three four")], 3)
+    words = D.K.find_words(data, np.array([0, len(data)]), D.K.ALNUM)
+    start, length, window = D.search_slice(words, tests)
+    assert start.tolist() == [1] and D.equal_words(words, data, tests, start, length).all()
+    changed = data.copy()
+    changed[9] = ord("x")  # another letter under the same hash
+    assert not D.equal_words(words, changed, tests, start, length).any()
+
+
 def test_contamination_edges(spark):
     rows, _ = _contaminated()
     none = spark.createDataFrame([], "item_id long, text string")
