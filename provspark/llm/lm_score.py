@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import drop_table, mark, materialize, release, slices, text_bytes
+from .shared import drop_table, mark, materialize, one_blas_thread, release, slices, text_bytes
 
 BLOCK_BYTES = 16 << 20
 SHARD_ENTRIES = 200_000
-#: Most words of the model, and the occurrences that a word needs.  They bound the weights: 4.4 MB, broadcast.
+#: Most words of the model, and the occurrences that a word needs.  They bound the weights: 4.7 MB, broadcast.
 VOCABULARY = 1 << 15
 LEAST_COUNT = 8
 #: Words of a class; classes of words that aren't in the vocabulary.
@@ -50,7 +50,7 @@ TAIL_CLASSES = 64
 CONTEXT = 4
 DIMENSIONS = 16
 CLASS_NOISE, WORD_NOISE = 32, 8
-BATCH = 2048
+BATCH = 4096
 RATE, FIRST_SQUARE = 0.1, 1e-6
 ROUNDS = 4
 WORKER_TOKENS = 2_000_000
@@ -283,10 +283,10 @@ def contexts(symbols: np.ndarray, offsets: np.ndarray, before: int) -> np.ndarra
     return out
 
 
-def predicted(weights: Weights, context: np.ndarray) -> np.ndarray:
-    """[tokens x d + 1]: the predicted vectors, and a one for the bias."""
+def predicted(mapped: list, context: np.ndarray) -> np.ndarray:
+    """[tokens x d + 1]: the predicted vectors, and a one for the bias; mapped are the inputs by place."""
     h = np.ones((len(context), DIMENSIONS + 1), np.float32)
-    h[:, :-1] = sum(weights.inputs[context[:, j]] @ weights.maps[j] for j in range(CONTEXT))
+    h[:, :-1] = sum(x[context[:, j]] for j, x in enumerate(mapped))
     return h
 
 
@@ -341,11 +341,19 @@ class Trainer:
             present, where = c[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
             drawn = self.low[present][:, None] + (self.high - self.low)[present][:, None] * rng.random((len(present), WORD_NOISE))
             other = np.clip(np.searchsorted(self.mass, drawn, "right") - 1, (present * MEMBERS)[:, None], np.minimum((present + 1) * MEMBERS, self.counts.size)[:, None] - 1)
-            q_t, q_o = w.words[t], w.words[other][where]
+            q_t, q_o, noise_o = w.words[t], w.words[other], self.word_noise[other]
+            groups = list(zip(first.tolist(), np.append(first[1:], len(t)).tolist()))
+            z = np.empty((len(t), WORD_NOISE), np.float32)
+            for n, (a, b) in enumerate(groups):
+                np.matmul(hi[a:b], q_o[n].T, out=z[a:b])
+            down = -sigmoid(z - noise_o[where])
             up = 1 - sigmoid(np.einsum("ij,ij->i", hi, q_t) - self.word_noise[t])
-            down = -sigmoid(np.matmul(q_o, hi[:, :, None])[:, :, 0] - self.word_noise[other][where])
-            back[inner] += up[:, None] * q_t + np.matmul(down[:, None, :], q_o)[:, 0]
-            moved = np.add.reduceat((down[:, :, None] * hi[:, None, :]).reshape(len(hi), -1), first, axis=0).reshape(-1, DIMENSIONS + 1)
+            pull, moved = up[:, None] * q_t, np.empty((len(groups), WORD_NOISE, DIMENSIONS + 1), np.float32)
+            for n, (a, b) in enumerate(groups):
+                pull[a:b] += down[a:b] @ q_o[n]
+                np.matmul(down[a:b].T, hi[a:b], out=moved[n])
+            back[inner] += pull
+            moved = moved.reshape(-1, DIMENSIONS + 1)
             rows, sums = _row_sums(t, up[:, None] * hi)
             moves.append((3, *_row_sums(np.concatenate([rows, other.ravel()]), np.concatenate([sums, moved]))))
         back = back[:, :-1]
@@ -403,6 +411,7 @@ def train_worker(texts: list[np.ndarray], start: Weights, counts: Counts, seed:
 
 def _train(shared_var, this_round: int):
     def run(table: pa.Table) -> pa.Table:
+        one_blas_thread()
         counts, start = shared_var.value
         table = table.sort_by([("row_key", "ascending")])
         worker = table.column("worker")[0].as_py()
@@ -443,7 +452,7 @@ def train(blocks: DataFrame, counts: Counts, worker_tokens: int = WORKER_TOKENS)
     return weights
 
 
-def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, step: int = 2048) -> np.ndarray:
+def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, step: int = 512) -> np.ndarray:
     """Log of the softmax of each row's target, by batched products."""
     out = np.empty(len(h), np.float64)
     turned = np.ascontiguousarray(outputs.T)
@@ -464,11 +473,12 @@ def log_probabilities(weights: Weights, counts: Counts, symbols: np.ndarray, off
     """Natural log of each symbol's probability after those before it, normalised over all symbols."""
     out = np.empty(len(symbols), np.float64)
     context = contexts(symbols, offsets, counts.symbols)
+    mapped = [weights.inputs @ m for m in weights.maps]
     for at in range(0, len(symbols), SCORED):
-        t, h = symbols[at : at + SCORED], predicted(weights, context[at : at + SCORED])
+        t, h = symbols[at : at + SCORED], predicted(mapped, context[at : at + SCORED])
         own = counts.classes_of(t)
         part = _log_sums(h, weights.classes, own)
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(own[order], np.arange(counts.word_classes + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[c] : cuts[c + 1]]
@@ -479,6 +489,7 @@ def log_probabilities(weights: Weights, counts: Counts, symbols: np.ndarray, off
 
 def _score(shared_var):
     def run(batches):
+        one_blas_thread()
         counts, weights = shared_var.value
         unit = np.log10(counts.tokens + counts.words + 1.0)
         for batch in batches:
