@@ -15,6 +15,7 @@ _IS = {n: re.compile(p) for n, p in P.SYMBOLS.items()}
 _FIELD, _LIST = re.compile(P.FIELD_LINE), re.compile(P.LIST_LINE)
 _MARKERS = [(family, polarity, re.compile(p)) for family, polarity, p in P.MARKERS]
 _IDENTIFIER = re.compile(P.IDENTIFIER)
+_DEPENDENCY, _MARK = re.compile(P.DEPENDENCY_LINE), re.compile(P.SECTION_MARK)
 
 
 def symbol_kind(symbol: str) -> str:
@@ -76,6 +77,35 @@ def checkpoint_fields(heading: str, body: str) -> list[dict]:
     return [{"field": k, "position": i, "value": v} for i, (k, v) in enumerate(found)]
 
 
+def dependency_texts(heading: str, text: str) -> list[str]:
+    """What a section names as dependencies: the rest of a field line, the list after an
+    empty one, or the whole body under a heading of that name."""
+    lines, out = re.split(r"\r\n|\r|\n", text), []
+    for n, line in enumerate(lines):
+        m = _DEPENDENCY.match(line)
+        if m and m[1].strip():
+            out.append(m[1])
+        elif m:
+            listed: list[str] = []
+            for x in lines[n + 1 :]:
+                if _LIST.match(x):
+                    listed.append(x)
+                elif listed:
+                    break
+            out.append("\n".join(listed))
+    if heading.strip().casefold() in ("dependency", "dependencies"):
+        out.append("\n".join(lines[1:]))
+    return [x for x in out if x.strip()]
+
+
+def dependency_labels(heading: str, text: str) -> list[str]:
+    """Checkpoints, section marks and symbols that a section depends on."""
+    found: set[str] = set()
+    for block in dependency_texts(heading, text):
+        found |= {m[0] for m in _MARK.finditer(block)} | {s["symbol"] for s in symbols(block)}
+    return sorted(found, key=str.casefold)
+
+
 def _clauses(text: str):
     """Clauses of prose lines: fences, headings and bullet labels are left out."""
     fenced = False
@@ -137,3 +167,8 @@ def fields_of(headings: pd.Series, texts: pd.Series) -> pd.Series:
 @F.pandas_udf(_struct(family=T.StringType, polarity=T.IntegerType, subject=T.StringType, property=T.StringType, clause=T.StringType))
 def assertions_of(headings: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([assertions(h or "", t or "") for h, t in zip(headings, texts)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def dependencies_of(headings: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([dependency_labels(h or "", t or "") for h, t in zip(headings, texts)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import canonical_heading
-from .extract import symbols_of
+from .extract import dependencies_of, symbols_of
 
 
 def parent_edges(sections: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def symbols(sections: DataFrame) -> DataFrame:
 
 
 def mentions(sections: DataFrame) -> DataFrame:
-    """(source, doc_id, edge_type, label, key): checkpoint and section marks, links, dependencies."""
+    """(source, doc_id, edge_type, label, key): checkpoint and section marks, links,
+    dependencies, and type names, which are edges only if another section owns them."""
     explode = lambda pattern: F.explode(F.array_distinct(F.regexp_extract_all("source_text", F.lit("(?U)" + pattern), F.lit(0))))
     base = sections.select(F.col("id").alias("source"), "doc_id", "heading", "source_text")
     upper = lambda rows, kind: rows.withColumn("edge_type", F.lit(kind))
@@ -38,11 +39,18 @@ def mentions(sections: DataFrame) -> DataFrame:
     dest, anchor = (F.regexp_extract_all("source_text", F.lit(P.LINK), F.lit(g)) for g in (1, 2))
     links = upper(base.select("source", "doc_id", "heading", F.explode(F.arrays_zip(dest.alias("d"), anchor.alias("a"))).alias("x")), "RELATED_SECTION")
     links = links.select("source", "doc_id", "heading", F.concat("x.d", F.lit("#"), "x.a").alias("label"), "edge_type", F.when(F.col("x.d") == "", F.concat(F.lit("slug:"), canonical_heading(F.col("x.a")))).otherwise(F.lit("none:")).alias("key"))
-    lines = F.filter(F.split("source_text", "\n", -1), lambda x: x.rlike(P.DEPENDENCY_LINE))
-    named = base.select("source", "doc_id", "heading", F.explode(lines).alias("line")).select("source", "doc_id", "heading", F.explode(F.regexp_extract_all(F.regexp_extract("line", P.DEPENDENCY_LINE, 1), F.lit(r"(?i)CP-\d+|[A-Za-z_][\w.@:-]*"), F.lit(0))).alias("label"))
-    depends = upper(named, "DEPENDS_ON").withColumn("key", F.when(F.col("label").rlike(r"(?i)^CP-\d+$"), F.concat(F.lit("cp:"), F.upper("label"))).otherwise(F.concat(F.lit("slug:"), canonical_heading(F.col("label")))))
+    named = base.select("source", "doc_id", "heading", F.explode(dependencies_of("heading", "source_text")).alias("label"))
+    marked = F.concat(F.lit("mark:"), F.lower(F.regexp_replace("label", r"\s", "")))
+    key = F.when(F.col("label").rlike(r"(?i)^CP-\d+$"), F.concat(F.lit("cp:"), F.upper("label"))).when(F.col("label").rlike("^" + P.SECTION_MARK + "$"), marked)
+    depends = upper(named, "DEPENDS_ON").withColumn("key", key.otherwise(F.concat(F.lit("sym:"), F.lower("label"))))
+    types = "^(?:" + "|".join(f"(?:{P.SYMBOLS[n]})" for n in ("camel", "error", "dotted")) + ")$"
+    used = base.select("source", "doc_id", "heading", F.explode(F.array_distinct(F.transform(symbols_of("source_text"), lambda s: s["symbol"]))).alias("label"))
+    uses = upper(used.where(F.col("label").rlike(types)), "USES_TYPE").withColumn("key", F.concat(F.lit("sym:"), F.lower("label")))
     columns = ["source", "doc_id", "edge_type", "label", "key"]
-    return cp.unionByName(mark).unionByName(links.select(cp.columns)).unionByName(depends.select(cp.columns)).select(columns).distinct()
+    every = cp.unionByName(mark)
+    for rows in (links, depends, uses):
+        every = every.unionByName(rows.select(cp.columns))
+    return every.select(columns).distinct()
 
 
 def declarations(sections: DataFrame) -> DataFrame:
@@ -52,7 +60,17 @@ def declarations(sections: DataFrame) -> DataFrame:
     cp = h.where(F.col("heading").rlike(r"(?i)^\s*CP-\d+")).select(F.concat(F.lit("cp:"), F.upper(F.regexp_extract("heading", r"(?i)CP-\d+", 0))).alias("key"), *keep)
     mark = h.select(F.explode(F.regexp_extract_all("heading", F.lit(P.SECTION_MARK), F.lit(0))).alias("m"), *keep).select(F.concat(F.lit("mark:"), F.lower(F.regexp_replace("m", r"\s", ""))).alias("key"), "target", "doc_id", "authority", "priority", "ordinal")
     slug = h.select(F.concat(F.lit("slug:"), canonical_heading(F.col("heading"))).alias("key"), *keep)
-    return cp.unionByName(mark).unionByName(slug)
+    return cp.unionByName(mark).unionByName(slug).unionByName(owners(sections))
+
+
+def owners(sections: DataFrame) -> DataFrame:
+    """(key, target, ...) of symbols: a section owns those of its heading and those it declares by a keyword."""
+    keep = [F.col("id").alias("target"), "doc_id", "authority", "priority", "ordinal"]
+    found = F.array_distinct(F.transform(symbols_of("source_text"), lambda s: s["symbol"]))
+    declared = F.transform(F.regexp_extract_all("source_text", F.lit(P.DECLARATION), F.lit(1)), F.lower)
+    rows = sections.select(*keep, "heading", declared.alias("declared"), F.explode(found).alias("symbol"))
+    own = rows.where(F.contains("heading", "symbol") | F.array_contains("declared", F.lower("symbol")))
+    return own.select(F.concat(F.lit("sym:"), F.lower("symbol")).alias("key"), "target", "doc_id", "authority", "priority", "ordinal").distinct()
 
 
 def resolve(mentioned: DataFrame, declared: DataFrame) -> DataFrame:
@@ -69,4 +87,5 @@ def resolve(mentioned: DataFrame, declared: DataFrame) -> DataFrame:
     found = first.groupBy("source", "edge_type", "label").agg(targets.alias("targets"))
     joined = mentioned.select("source", "edge_type", "label").distinct().join(found, ["source", "edge_type", "label"], "left")
     n = F.coalesce(F.size("targets"), F.lit(0))
+    joined = joined.where((F.col("edge_type") != "USES_TYPE") | (n > 0))
     return joined.select("source", "edge_type", "label", F.when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise("UNRESOLVED").alias("status"), F.array_join(F.coalesce("targets", F.array().cast("array<string>")), ",").alias("targets"))

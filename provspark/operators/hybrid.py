@@ -9,6 +9,8 @@ from .fusion import BUCKET, RRF_CONSTANT
 
 #: Spans of a section, documents' share of the first pass, token overlap of a near duplicate.
 PER_SECTION, PER_DOCUMENT, FIRST_PASS, NEAR = 3, 2, 6, 0.92
+#: What a heading equal to the query, terms in the heading (and each of them), and a checkpoint among them add.
+HEADING_BOOST, DIRECT_BOOST, TERM_BOOST, CHECKPOINT_BOOST = 4.0, 2.0, 0.1, 10.0
 CHANNELS = ("structural", "bm25", "semantic")
 
 
@@ -23,14 +25,15 @@ def fuse(hits: pd.DataFrame) -> pd.DataFrame:
     for h in order.itertuples(index=False):
         found = next((s for s in spans if _overlaps(s["hit"], h)), None)
         if found is None:
-            found = {"hit": h, "score": 0.0, "channels": []}
+            found = {"hit": h, "score": 0.0, "boost": 0.0, "channels": []}
             spans.append(found)
         elif found["channels"] == ["semantic"] and h.channel != "semantic":
             found["hit"] = h
-        found["score"] += 1.0 / (RRF_CONSTANT + h.rank) + h.boost
+        found["score"] += 1.0 / (RRF_CONSTANT + h.rank)
+        found["boost"] = max(found["boost"], h.boost)  # once a span, whatever its channels
         if h.channel not in found["channels"]:
             found["channels"].append(h.channel)
-    rows = [s["hit"]._asdict() | {"score": s["score"], "channels": ",".join(s["channels"])} for s in spans]
+    rows = [s["hit"]._asdict() | {"score": s["score"] + s["boost"], "channels": ",".join(s["channels"])} for s in spans]
     out = pd.DataFrame(rows)
     out["bucket"] = (out.score / BUCKET).round()
     return out.sort_values(["bucket", "authority", "priority", "score", "path", "section", "start"], ascending=[False, False, False, False, True, True, True], kind="stable")

@@ -26,6 +26,13 @@ def plan_identity(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(renamed).unionByName(fresh).unionByName(lost)
 
 
+def with_ids(plan: DataFrame, old: DataFrame, salt: str) -> DataFrame:
+    """path, doc_id, status: kept and renamed documents keep their id, others get an opaque new one."""
+    o = old.select(F.col("path").alias("old_path"), F.col("doc_id").alias("_id"))
+    fresh = F.concat(F.lit("doc-"), F.substring(F.sha2(F.concat_ws("|", F.lit(salt), "path"), 256), 1, 24))
+    return plan.where("path is not null").join(o, "old_path", "left").select("path", F.coalesce("_id", fresh).alias("doc_id"), "status")
+
+
 def diff_rows(old: DataFrame, new: DataFrame, key: list[str], content: str) -> DataFrame:
     """One row: added, removed, changed, unchanged of two keyed tables."""
     a = old.select(*key, F.col(content).alias("_old"), F.lit(True).alias("_in_old"))
@@ -41,7 +48,10 @@ def diff_rows(old: DataFrame, new: DataFrame, key: list[str], content: str) -> D
 
 
 def reuse_vectors(chunks: DataFrame, previous: DataFrame) -> DataFrame:
-    """chunks with the vector of previous whose id and hashes agree, else null (to be embedded)."""
+    """chunks with the vector of previous whose id and hashes agree, else null (to be embedded).
+
+    previous holds vectors of the current provider only.
+    """
     return chunks.join(previous.select("chunk_id", "source_sha", "embedding_sha", "vector"), ["chunk_id", "source_sha", "embedding_sha"], "left")
 
 

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import canonical_heading, chunk_id, section_id
 
+#: The sizes of a search window in estimated tokens.
 TARGET_TOKENS, MOST_TOKENS, OVERLAP_TOKENS = 320, 448, 48
-#: A cut at white space is taken only beyond this share of a window.
+#: Fixed value: a cut at white space is taken only beyond this share of a window.
 CUT_SHARE = 0.82
 
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -104,16 +105,36 @@ def headings(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("heading", T.StringType())])))
+def with_stops(found: list[tuple[int, int, str]]) -> list[dict]:
+    """Headings with stop: the index of the next heading of no greater level, or their number."""
+    out = [{"line": a, "level": b, "heading": c, "stop": len(found)} for a, b, c in found]
+    open_ones: list[int] = []
+    for n, (_, level, _) in enumerate(found):
+        while open_ones and found[open_ones[-1]][1] >= level:
+            out[open_ones.pop()]["stop"] = n
+        open_ones.append(n)
+    return out
+
+
+_HEADING = [("line", T.IntegerType()), ("level", T.IntegerType()), ("heading", T.StringType()), ("stop", T.IntegerType())]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _HEADING])))
 def scan_headings(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"line": a, "level": b, "heading": c} for a, b, c in headings(t or "")])
+    return texts.map(lambda t: with_stops(headings(t or "")))
+
+
+def lines_of(text: Column) -> Column:
+    """Lines with their ends; CR, LF and CRLF end a line, as in :func:`split_lines`, and an empty last line is kept."""
+    return F.split(text, r"(?<=\n)|(?<=\r)(?!\n)", -1)
 
 
-def line_starts(text: Column) -> Column:
-    """Code-point offsets of the lines of a text, and its length at the end (LF line ends)."""
-    sizes = F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1)
-    start = F.expr("cast(array(0) as array<bigint>)")
-    return F.aggregate(sizes, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def line_offsets(documents: DataFrame, key: list[str], lines: Column) -> DataFrame:
+    """key..., line, start, content: one row per line with its code-point offset, by a running sum."""
+    rows = documents.select(*key, F.posexplode(lines).alias("line", "content"))
+    before = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("content").cast("long") + 1).over(before), F.lit(0).cast("long"))
+    return rows.withColumn("start", start)
 
 
 def sections(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -121,14 +142,18 @@ def sections(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     preamble where there is text before the first.
 
     key, ordinal, level, heading, start_line, end_line (exclusive, from 0),
-    parent (ordinal or null), heading_path, heading_path_key, occurrence, id.
-    A section runs to the next heading of any level.
+    parent (ordinal or null), stop (ordinal after the last descendant, null for a
+    preamble), heading_path, heading_path_key, occurrence, id.  A section runs to
+    the next heading of any level.
     """
-    n_lines = F.size(F.split("text", "\n", -1)).cast("long")
+    n_lines = F.size(lines_of(F.col("text"))).cast("long")
     scanned = documents.select(key, n_lines.alias("n_lines"), scan_headings("text").alias("h"))
     first = F.when(F.size("h") > 0, F.get("h", F.lit(0))["line"])
-    preamble = F.when(first.isNull() | (first > 0), F.expr("array(struct(0 as line, 0 as level, '[preamble]' as heading))")).otherwise(F.expr("cast(array() as array<struct<line:int,level:int,heading:string>>)"))
-    rows = scanned.select(key, "n_lines", F.explode(F.concat(preamble, "h")).alias("x")).select(key, "n_lines", F.col("x.line").cast("long").alias("start_line"), F.col("x.level").cast("long").alias("level"), F.col("x.heading").alias("heading"))
+    preamble = F.when(first.isNull() | (first > 0), F.expr("array(struct(0 as line, 0 as level, '[preamble]' as heading, cast(null as int) as stop))")).otherwise(F.expr("cast(array() as array<struct<line:int,level:int,heading:string,stop:int>>)"))
+    # with a preamble, ordinals are one more than the headings' indexes
+    stop = (F.col("x.stop") + F.size("preamble")).cast("long").alias("stop")
+    rows = scanned.withColumn("preamble", preamble).select(key, "n_lines", "preamble", F.explode(F.concat("preamble", "h")).alias("x"))
+    rows = rows.select(key, "n_lines", F.col("x.line").cast("long").alias("start_line"), F.col("x.level").cast("long").alias("level"), F.col("x.heading").alias("heading"), stop)
     w = Window.partitionBy(key).orderBy("start_line", "level")
     rows = rows.withColumn("ordinal", (F.row_number().over(w) - 1).cast("long")).withColumn("end_line", F.lead("start_line").over(w)).withColumn("end_line", F.coalesce("end_line", "n_lines"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -153,21 +178,17 @@ def sections(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def section_text(sections_: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """sections with source_text: their lines, with the line end that separates them from the next."""
-    lines = F.split("text", "\n", -1)
-    body = F.array_join(F.slice(lines, (F.col("start_line") + 1).cast("int"), (F.col("end_line") - F.col("start_line")).cast("int")), "\n")
-    joined = sections_.join(documents.select(key, "text"), key)
-    return joined.withColumn("source_text", F.concat(body, F.when(F.col("end_line") < F.size(lines), F.lit("\n")).otherwise(""))).drop("text")
+    """sections with source_text: their lines with their ends, so all sections together are the document."""
+    joined = sections_.join(documents.select(key, lines_of(F.col("text")).alias("_lines")), key)
+    body = F.slice("_lines", (F.col("start_line") + 1).cast("int"), (F.col("end_line") - F.col("start_line")).cast("int"))
+    return joined.withColumn("source_text", F.array_join(body, "")).drop("_lines")
 
 
 def subtree(sections_: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, root, member): descendants are the interval up to the next heading of no greater level."""
-    a = sections_.select(F.col(key).alias("_k"), F.col("ordinal").alias("root"), F.col("level").alias("_l"))
-    b = sections_.select(key, F.col("ordinal").alias("member"), "level")
-    stop = a.join(b, (F.col("_k") == F.col(key)) & (F.col("member") > F.col("root")) & (F.col("level") <= F.col("_l"))).groupBy("_k", "root").agg(F.min("member").alias("stop"))
-    a = a.where("_l > 0").join(stop, ["_k", "root"], "left")
-    inside = (F.col("_k") == F.col(key)) & (F.col("member") > F.col("root")) & (F.col("stop").isNull() | (F.col("member") < F.col("stop")))
-    return a.join(b, inside).select(key, "root", "member")
+    inside = F.sequence(F.col("ordinal") + 1, F.col("stop") - 1)
+    rows = sections_.where((F.col("level") > 0) & (F.col("stop") > F.col("ordinal") + 1))
+    return rows.select(key, F.col("ordinal").alias("root"), F.explode(inside).alias("member"))
 
 
 def estimate(text: str) -> int:

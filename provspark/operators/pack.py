@@ -102,14 +102,17 @@ def serialized_tokens(pack: Pack) -> int:
 
 
 def fill(candidates: list[dict], budget: int) -> Pack:
-    """Greedy in the given order: required items as found, others also as an excerpt."""
+    """Greedy in the given order: required items as found, others also as an excerpt.
+
+    What a candidate has as ``extra`` is part of its item, and counts.
+    """
     pack = Pack()
     if serialized_tokens(pack) > budget:
         raise ContextBudgetTooSmall(f"the envelope takes {pack.tokens} tokens")
     for c in candidates:
         forms = [c["text"]] + ([c["excerpt"]] if not c["required"] and c.get("excerpt") else [])
         for text in forms:
-            trial = Pack([*pack.items, {"id": c["id"], "required": c["required"], "text": text}], list(pack.omitted))
+            trial = Pack([*pack.items, {"id": c["id"], "required": c["required"], "text": text} | c.get("extra", {})], list(pack.omitted))
             if serialized_tokens(trial) <= budget:
                 pack = trial
                 break
@@ -118,5 +121,15 @@ def fill(candidates: list[dict], budget: int) -> Pack:
                 raise ContextBudgetTooSmall(f"primary item {c['id']} does not fit")
             if c["required"]:
                 pack.omitted.append(c["id"])
-    serialized_tokens(pack)
+    # the names of what is left out take room too
+    while serialized_tokens(pack) > budget:
+        kept = [n for n, i in enumerate(pack.items) if n > 0]
+        if len(pack.omitted) > 1:
+            pack.omitted = [f"{len(pack.omitted)} required sections"]
+        elif kept:
+            out = pack.items.pop(next((n for n in reversed(kept) if not pack.items[n]["required"]), kept[-1]))
+            if out["required"]:
+                pack.omitted.append(out["id"])
+        else:
+            raise ContextBudgetTooSmall(f"the first item and the omissions take {pack.tokens} tokens")
     return pack

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Queries and vectors of a block.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+#: Query vectors that are broadcast at once.
+QUERIES = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,13 +31,44 @@ def cosine(a: Column, b: Column) -> Column:
 def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None = None) -> DataFrame:
     """queries(query_id, q), vectors(vec_id, embedding, ...): the k nearest of each query.
 
-    The query table is the one stated side that goes to every task; vectors are
-    scored where they are, and only the ranks are dealt by query.
+    Up to QUERIES query vectors are one matrix that every task holds: a batch of
+    vectors is scored by one product and sends on its k best of each query, with
+    ties, for the exact ranking.  Larger query tables are searched in parts of
+    that size.
     """
     from .lexical import top_k
 
-    scored = vectors.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col("q"), F.col("embedding"))).drop("q")
-    return top_k(scored, k, tiebreak or ["vec_id"])
+    spark = vectors.sparkSession
+    taken = queries.select("query_id", "q")
+    parts = max(1, -(-taken.count() // QUERIES))
+    fields = [f for f in vectors.schema if f.name not in ("embedding", "query_id", "score")]
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *columns, "score double"])
+    found = None
+    for n in range(parts):
+        part = taken.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == n) if parts > 1 else taken
+        own = part.toArrow().combine_chunks()
+        matrix = _unit(own.column("q").combine_chunks()) if own.num_rows else np.zeros((0, 0))
+        shared = spark.sparkContext.broadcast((own.column("query_id").combine_chunks(), matrix))
+        scored = vectors.select(*(f.name for f in fields), "embedding").mapInArrow(_best_of_batch(shared, k), schema)
+        found = scored if found is None else found.unionByName(scored)
+    return top_k(found, k, tiebreak or ["vec_id"])
+
+
+def _best_of_batch(shared, k: int):
+    def run(batches):
+        ids, matrix = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(matrix):
+                continue
+            score = matrix @ _unit(batch.column("embedding")).T
+            rounded = np.round(score, 6)
+            least = np.partition(rounded, -k, axis=1)[:, -k] if rounded.shape[1] > k else np.full(len(rounded), -np.inf)
+            row, at = np.nonzero(rounded >= least[:, None])
+            kept = batch.drop_columns(["embedding"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *kept.columns, pa.array(score[row, at])], names=["query_id", *kept.schema.names, "score"])
+
+    return run
 
 
 def _unit(column: pa.Array) -> np.ndarray:

@@ -81,9 +81,8 @@ def filter_heading_prefix(spark, sf_dir):
 @query(V.sql("""SELECT doc_id, CAST(i - 1 AS BIGINT) AS line, CAST(coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start_offset, CAST(length(ls[i]) AS BIGINT) AS n_chars
  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM v_docs))""", "v_docs"))
 def line_offsets(spark, sf_dir):
-    d = V.docs(spark, sf_dir).select("doc_id", F.split("text", "\n", -1).alias("ls"), markdown.line_starts(F.col("text")).alias("at"))
-    zipped = d.select("doc_id", F.posexplode(F.arrays_zip(F.slice("at", F.lit(1), F.size("ls")).alias("at"), F.transform("ls", lambda x: F.length(x)).alias("n"))).alias("line", "x"))
-    return zipped.select("doc_id", F.col("line").cast("long").alias("line"), F.col("x.at").cast("long").alias("start_offset"), F.col("x.n").cast("long").alias("n_chars"))
+    rows = markdown.line_offsets(V.docs(spark, sf_dir), ["doc_id"], F.split("text", "\n", -1))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.col("start").alias("start_offset"), F.length("content").cast("long").alias("n_chars"))
 
 
 @query(V.sql("""SELECT conv_id, ordinal, heading, start_line + 1 AS start_line, end_line, piece, sha256(piece) AS sha256 FROM (
@@ -252,37 +251,30 @@ def lexical_union_boosted(spark, sf_dir, whole=False):
 
 _COS = """SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
  SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 6) AS score
- FROM embeddings v, embeddings q WHERE q.vec_id < 20 {where})) WHERE rank <= 10"""
+ FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 {where})) WHERE rank <= 10"""
 
 
 @query(_COS.format(where=""))
 def cosine_topk_batch(spark, sf_dir):
     e = V.embeddings(spark, sf_dir)
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return semantic.search(q, e, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_COS.format(where="AND v.label IN (1, 2)"))
 def cosine_label_filtered(spark, sf_dir):
     e = V.embeddings(spark, sf_dir)
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return semantic.search(q, e.where(F.col("label").isin(1, 2)), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
-def cosine_topk_whole(spark, sf_dir):
-    """Every row whose id is divisible by 20 as a query, in blocks against all rows."""
+@query(_COS.format(where=""))
+def cosine_topk_blocks(spark, sf_dir):
+    """The same search for query tables that grow with the vectors: blocks against blocks."""
     e = V.embeddings(spark, sf_dir)
     return semantic.search_blocks(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e, 10)
 
 
-@query()
-def cosine_label_filtered_whole(spark, sf_dir):
-    e = V.embeddings(spark, sf_dir)
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return semantic.search_blocks(q, e.where(F.col("label").isin(1, 2)), 10)
-
-
 @query(_bm25_sql("""SELECT query_id, doc_id, ordinal, round(score, 9) AS score, channels, rank FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(score / 0.02, 0) DESC, authority DESC, priority DESC, round(score, 9) DESC, doc_id, ordinal) AS rank FROM (
  SELECT query_id, doc_id, ordinal, authority, priority, sum(1.0::DOUBLE / (60 + rank)) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM (

@@ -44,18 +44,19 @@ def _limit(a: dict) -> int:
 TOOLS = {
     "sync_workspace": lambda e, a: e.sync(),
     "index_workspace": lambda e, a: e.sync(),
-    "index_status": lambda e, a: e.status(),
+    "index_status": lambda e, a: e.report(),
     "list_documents": lambda e, a: e.store.table("documents").orderBy("path"),
     "document_outline": lambda e, a: e.outline(a["path"]),
     "get_section": lambda e, a: e.section(a["section_id"]),
     "get_lines": lambda e, a: e.lines(a["path"], int(a["first"]), int(a["last"])),
     "search": lambda e, a: e.search(_query(a), _limit(a), filters_from(a)),
     "search_exact": lambda e, a: e.search_exact(_query(a), _limit(a), filters_from(a)),
-    "find_symbol": lambda e, a: e.find_symbol(a["symbol"], _limit(a)),
+    "find_symbol": lambda e, a: e.find_symbol(a["symbol"], _limit(a), filters_from(a)),
     "get_references": lambda e, a: e.references(a["section_id"], bool(a.get("incoming"))),
     "get_dependencies": lambda e, a: e.dependencies(a["section_id"]),
-    "get_checkpoint": lambda e, a: e.checkpoint(a["checkpoint_id"]),
-    "get_context_pack": lambda e, a: e.context_pack(a["task"], int(a.get("budget", 7000)), filters_from(a)),
+    "get_checkpoint": lambda e, a: e.checkpoint(a["checkpoint_id"], a.get("document")),
+    "get_checkpoint_context": lambda e, a: e.checkpoint_context(a["checkpoint_id"], a.get("document"), int(a.get("budget", 15_000)), bool(a.get("strict"))),
+    "get_context_pack": lambda e, a: e.context_pack(a["task"], int(a.get("budget", 7000)), filters_from(a), bool(a.get("strict")), bool(a.get("require_semantic"))),
 }
 
 

@@ -1,6 +1,8 @@
 """Parsers, kernels and the engine on small texts."""
 
 import re
+import uuid
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -8,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from provspark import cli
-from provspark.engine import Engine, StaleIndex
+from provspark.engine import Engine, SemanticUnavailable, StaleIndex, open_engine
 from provspark.functions import classify, text
 from provspark.functions.embed import HashEmbedding
-from provspark.operators import extract, hybrid, identity, markdown, overlap, pack, semantic
+from provspark.operators import extract, hybrid, identity, markdown, overlap, pack, planner, semantic
 from provspark.operators.filters import FilterSet
 from provspark.plans.snapshot import IndexGenerationChanged, Store
 from provspark.sources import workspace as W
@@ -146,7 +148,9 @@ def test_engine(spark, tmp_path):
     e.init()
     e.add("a.md", 4)
     e.add("b.md")
-    assert e.sync()["added"] == 2 and e.sync() == {"generation": 1, "changed": 0, "unchanged": 2}
+    first = e.sync()
+    assert first["documents_added"] == 2 and first["embeddings_created"] == e.chunk_count() and first["index_generation"] == 1
+    assert e.sync() == {"index_generation": 1, "documents_unchanged": 2}
     sections = e.store.table("sections").orderBy("ordinal").collect()
     assert "".join(s["source_text"] for s in sections if s["path"] == "a.md") == DOC
     assert "".join(s["source_text"] for s in sections if s["path"] == "b.md").encode() == (tmp_path / "b.md").read_bytes()
@@ -159,7 +163,155 @@ def test_engine(spark, tmp_path):
     (tmp_path / "b.md").write_text("# New\n")
     with pytest.raises(StaleIndex):
         e.outline("b.md")
-    assert e.sync()["changed"] == 1 and e.outline("b.md").first()["heading"] == "New"
+    again = e.sync()
+    assert (again["documents_changed"], again["documents_unchanged"], again["index_generation"]) == (1, 1, 2)
+    assert e.outline("b.md").first()["heading"] == "New" and e.generation_log().count() == 2
+
+
+class Counting(HashEmbedding):
+    """Writes down what it is asked to embed."""
+
+    def __init__(self, folder, name="counting:1"):
+        super().__init__(16)
+        self.folder, self.identity = folder, name
+
+    def embed_documents(self, texts):
+        (self.folder / uuid.uuid4().hex).write_text("\n".join(texts))
+        return super().embed_documents(texts)
+
+
+def test_sync_is_incremental(spark, tmp_path):
+    root, seen = tmp_path / "w", tmp_path / "seen"
+    root.mkdir(), seen.mkdir()
+    for n in range(4):
+        (root / f"d{n}.md").write_text(f"# Document {n}\ntext number {n}\n## Part\nmore of {n}\n")
+    make = partial(Counting, seen)
+    e = Engine(spark, root, make)
+    e.init()
+    for n in range(4):
+        e.add(f"d{n}.md")
+
+    def asked():
+        found = sorted(p.read_text() for p in seen.iterdir())
+        [p.unlink() for p in seen.iterdir()]
+        return "\n".join(found)
+
+    e.sync()
+    assert asked().count("text number") == 4
+    before = {r["path"]: (r["doc_id"], r["id"]) for r in e.store.table("sections").where("level = 1").collect()}
+    (root / "d1.md").write_text("# Document 1\nanother text\n## Part\nmore of 1\n")
+    (root / "d2.md").rename(root / "moved.md")
+    e.rename("d2.md", "moved.md")
+    got = e.sync()
+    assert (got["documents_changed"], got["documents_renamed"], got["documents_unchanged"]) == (1, 1, 2)
+    assert (got["embeddings_created"], got["embeddings_retained"]) == (1, 7) and (got["sections_changed"], got["sections_unchanged"]) == (1, 7)
+    asked_now = asked()
+    assert "another text" in asked_now and "number" not in asked_now and "more of" not in asked_now
+    after = {r["path"]: (r["doc_id"], r["id"]) for r in e.store.table("sections").where("level = 1").collect()}
+    assert after["moved.md"] == before["d2.md"] and after["d1.md"] == before["d1.md"]  # ids survive a rename
+    assert e.report()["category"] == "CLEAN" and "semantic" in e.report()["channels"]
+    # another provider: nothing is mixed, all is embedded anew
+    other = Engine(spark, root, partial(Counting, seen, "counting:2"))
+    assert other.report()["category"] == "EMBEDDINGS_STALE"
+    with pytest.raises(SemanticUnavailable, match="IDENTITY_MISMATCH"):
+        other.search_semantic("text")
+    assert other.sync()["embeddings_created"] == 8 and other.report()["category"] == "CLEAN"
+    assert open_engine(spark, root, lambda: 1 / 0).search("another", 2).count() > 0
+    with pytest.raises(SemanticUnavailable, match="PROVIDER_UNAVAILABLE"):
+        open_engine(spark, root, lambda: 1 / 0, require_semantic=True)
+    (root / "d0.md").unlink()
+    assert other.report()["category"] == "MISSING_SOURCE"
+    (root / "d3.md").write_text("# x\n")
+    assert {r["category"] for r in other.report()["reasons"]} >= {"MISSING_SOURCE", "SOURCE_STALE"}
+
+
+def test_carriage_returns(spark):
+    text = "a\r# H\rtext\r\n\r## K\nx"
+    d = spark.createDataFrame([("d", text), ("e", "one\rtwo\r")], "doc_id string, text string")
+    rows = markdown.section_text(markdown.sections(d), d).orderBy("doc_id", "ordinal").collect()
+    assert [r["source_text"] for r in rows] == ["a\r", "# H\rtext\r\n\r", "## K\nx", "one\rtwo\r"]
+    got = [tuple(r) for r in markdown.subtree(markdown.sections(d)).collect()]
+    assert got == [("d", 1, 2)]
+
+
+PLATFORM = "# Platform\nOverview of it.\n## CP-7 - Queue\nGoal: bounded queue\nDependencies: CP-6, QueueModel\nVerify: run checks\n### Security\nThe queue must sign messages.\n### Tests\nround trip raises QueueTimeout\n## CP-6 - Store\nGoal: keep rows\n"
+MODELS = "# Models\n## QueueModel\nmodel QueueModel has fields.\n## Worker\nUses QueueModel often.\n## Architecture\nQueues are bounded in size.\n"
+POLICY = "# Retry policy\nThe queue must keep messages in order and bounded.\n# Archive notes\nOld queue ideas.\n"
+
+
+@pytest.fixture(scope="module")
+def planned(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("planned")
+    e = Engine(spark, root)
+    e.init()
+    for name, text, authority in (("platform.md", PLATFORM, 4), ("models.md", MODELS, 4), ("policy.md", POLICY, 4), ("notes.md", "# Notes\nCP-7 is discussed, see CP-99.\n", 1)):
+        (root / name).write_text(text)
+        e.add(name, authority)
+    e.sync()
+    return e
+
+
+def test_graph_of_types_and_dependencies(planned):
+    ids = {r["heading"]: r["id"] for r in planned.store.table("sections").collect()}
+    edges = {(r["source"], r["edge_type"], r["label"]): (r["status"], r["targets"]) for r in planned.store.table("edges").collect()}
+    queue = ids["CP-7 - Queue"]
+    assert edges[queue, "DEPENDS_ON", "CP-6"] == ("RESOLVED", ids["CP-6 - Store"])
+    assert edges[queue, "DEPENDS_ON", "QueueModel"] == ("RESOLVED", ids["QueueModel"])
+    assert edges[ids["Worker"], "USES_TYPE", "QueueModel"] == ("RESOLVED", ids["QueueModel"])
+    assert (ids["QueueModel"], "USES_TYPE", "QueueModel") not in edges and edges[ids["Notes"], "REFERENCES", "CP-99"][0] == "UNRESOLVED"
+    found = {r["label"]: r for r in planned.dependencies(queue).collect()}
+    assert found["CP-6"]["target"]["heading"] == "CP-6 - Store" and found["QueueModel"]["candidates"][0]["path"] == "models.md"
+    assert {r["source"] for r in planned.references(ids["QueueModel"], incoming=True).collect()} >= {queue, ids["Worker"]}
+    assert extract.dependency_labels("Dependencies", "Dependencies\n- CP-1\n- a::b") == ["a::b", "CP-1"]
+    assert extract.dependency_labels("x", "x\nDependencies:\n- CP-2\n- section 3\n\nCP-9") == ["CP-2", "section 3"]
+
+
+def test_lexical_boosts(planned):
+    rows = planned.search_lexical("QueueModel", 5).orderBy("rank").collect()
+    assert rows[0]["heading"] == "QueueModel" and rows[0]["matched_terms"] == ["QueueModel"]
+    assert planned.search_lexical("   ").count() == 0
+    top = planned.search("CP-7", 5).orderBy("rank").first()
+    assert top["score"] > 12  # the heading holds the checkpoint that was asked for
+
+
+def test_context_pack(planned):
+    p = planned.context_pack("Implement CP-7", 9000)
+    by_category = {c["category"]: c["status"] for c in p["coverage"]}
+    assert p["status"] == "COMPLETE" and p["items"][0]["required"] and "CP-7" in p["items"][0]["text"]
+    assert [by_category[c] for c in ("PRIMARY", "DEPENDENCIES", "SECURITY", "ACCEPTANCE", "ARCHITECTURE", "CHECKPOINT_DESCENDANTS")] == ["COVERED"] * 6
+    assert any(i["category"] == "explicit_dependency" and "CP-6" in i["text"] for i in p["items"])
+    small = planned.context_pack("Implement CP-7", 400)
+    assert small["status"] == "PARTIAL" and small["omissions"] and small["tokens"] <= 400
+    filtered = planned.context_pack("Implement CP-7", 9000, FilterSet(documents=frozenset({"platform.md"})))
+    assert any("filters" in o["reason"] for o in filtered["omissions"])
+    free = planned.context_pack("messages in order", 9000)
+    assert free["checkpoints"] == [] and any("in order" in i["text"] for i in free["items"])
+
+
+def test_strict_discovery(planned):
+    c = planner._checkpoint(planned, "CP-7", None)
+    found = planner.strict_discovery(planned, "Implement CP-7 bounded queue", [c], {s["id"] for s in c["sections"]})
+    by_heading = {d["section"]["heading"]: d for d in found}
+    assert by_heading["Retry policy"]["coverage"] == "NORMATIVE" and not by_heading["Retry policy"]["optional"]
+    assert by_heading["Architecture"]["category"] == "interface_or_model"
+    assert all(d["section"]["path"] != "notes.md" for d in found)
+    p = planned.context_pack("Implement CP-7 bounded queue", 9000, strict=True)
+    assert any("strict discovery" in i["reason"] for i in p["items"])
+
+
+def test_checkpoint_context(planned):
+    c = planned.checkpoint_context("cp-7")
+    assert c["errors"] == ["QueueTimeout"] and c["verify"] == ["run checks"] and "QueueModel" in c["interfaces"].values()
+    assert {e["label"] for e in c["dependencies"]} == {"CP-6", "QueueModel"} and c["security"] and c["context_pack"]["checkpoints"] == ["CP-7"]
+    with pytest.raises(ValueError):
+        planned.checkpoint_context("CP-1234")
+
+
+def test_discovery_signals():
+    found = planner.discovery_signals("Build it well", [{"title": "Queue title", "fields": {"goal": ["keep order"], "why": ["keep order"]}, "sections": [{"source_text": "# X\n- The queue must sign.\nplain line\n"}]}])
+    assert found == [("Build it well", "task"), ("Queue title", "checkpoint_title"), ("keep order", "goal"), ("The queue must sign.", "normative_requirement")]
+    assert planner.is_material(True, False, 1, -1, 1) and not planner.is_material(False, False, 1, 0.5, 1) and planner.is_material(False, False, 0, 0.53, 2)
+    assert planner.match_excerpt("a\n" * 900 + "needle here\n" + "b\n" * 900, "the needle").count("needle") == 1
 
 
 def test_store_refuses_a_second_writer(spark, tmp_path):
@@ -168,7 +320,12 @@ def test_store_refuses_a_second_writer(spark, tmp_path):
     assert store.commit({"t": df}, {}, 0) == 1
     with pytest.raises(IndexGenerationChanged):
         store.commit({"t": df}, {}, 0)
-    assert store.table("t").count() == 3
+    one, two = store.writer(1), store.writer(1)
+    one.write("t", spark.range(5)), two.write("t", spark.range(7))
+    assert two.commit({}) == 2
+    with pytest.raises(IndexGenerationChanged):
+        one.commit({})
+    assert store.table("t").count() == 7 and store.table("t", 1).count() == 3 and store.prune(1) == 1
 
 
 def test_cli_arguments():
