@@ -30,7 +30,7 @@ from .shared import materialize, slices
 
 CAPACITY = 1024
 END_ID = 2
-ISLAND_PIECES = 2048
+ISLAND_PIECES = 8192
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
