@@ -64,7 +64,7 @@ def test_cosine_of_every_twentieth_row(spark, monkeypatch):
     monkeypatch.setattr(semantic, "QUERY_BLOCK", 7)
     monkeypatch.setattr(semantic, "VECTOR_BLOCK", 90)
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
-    for name, allowed in (("cosine_topk_whole", {r["label"] for r in rows}), ("cosine_label_filtered_whole", {1, 2})):
+    for name, allowed in (("cosine_topk_batch", {r["label"] for r in rows}), ("cosine_topk_blocks", {r["label"] for r in rows}), ("cosine_label_filtered", {1, 2})):
         got = {(r["query_id"], r["vec_id"], round(r["score"], 5), r["rank"]) for r in catalogue.QUERIES[name](spark, SF).collect()}
         assert got == brute_cosine(rows, allowed)
 
