@@ -141,6 +141,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _grams_in_order(texts: list[str], settings: Settings, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of all n-grams by text and place, and how many each text has; a few texts at a time."""
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(texts), step):
+        points, offsets = code_points(*text_bytes(pa.array(texts[at : at + step], pa.large_string())))
+        grams, _ = gram_buckets(points, offsets, settings)
+        place = np.concatenate([np.flatnonzero(inner) for _, _, inner in grams])
+        parts.append(np.concatenate([i for i, _, _ in grams])[np.argsort(place, kind="stable")])
+        sizes.append(sum(np.diff(c) for _, c, _ in grams))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
 def train(texts: list[str], labels: list[str], settings: Settings = Settings()) -> Model:
     """Stochastic gradient descent over random crops of the texts' n-grams."""
     languages = sorted(set(labels))
@@ -149,13 +161,8 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
     if not languages:
         return Model([], np.zeros((settings.buckets, 0), np.float32), 1.0, 0.0, settings)
     y = np.array([languages.index(x) for x in labels])
-    points, offsets = code_points(*text_bytes(pa.array(texts, pa.large_string())))
-    grams, _ = gram_buckets(points, offsets, settings)
-    row = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(c)) for _, c, _ in grams])
-    order = np.argsort(np.concatenate([np.flatnonzero(inner) for _, _, inner in grams]), kind="stable")
-    row, ids = row[order], np.concatenate([i for i, _, _ in grams])[order]
-    cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-    size = np.diff(cuts)
+    ids, size = _grams_in_order(texts, settings)
+    cuts = np.concatenate([[0], np.cumsum(size)])
     usable = np.flatnonzero(size > 0)
     rng.shuffle(usable)
     held = usable[: len(usable) // 5] if len(usable) >= 50 else usable
@@ -185,7 +192,7 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
             out -= rate * (mean.T @ p) / len(rows) * 8
             np.subtract.at(table, own, rate * back[seg])
     logits = (table @ out).astype(np.float32)
-    z = _sums(logits[ids], cuts)[held] / np.maximum(size[held], 1)[:, None]
+    z = np.array([logits[ids[cuts[i] : cuts[i + 1]]].mean(axis=0, dtype=np.float64) for i in held]).reshape(len(held), n_out)
     grid = np.geomspace(0.5, 5, 40)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-300)).mean() if len(held) else 0 for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
