@@ -9,8 +9,9 @@ filter instead, which misses nothing: two texts of the similarity share one of
 the first fifth of their shingles in any common order.  Documents with equal word
 sequences are one vertex from the start, so copies are never expanded.
 
-Buckets are resolved in rounds.  First every member is aligned with a leader of
-its bucket, then with a few more, and links join components: a large group of near
+Buckets are resolved in rounds.  First every document is aligned with a single one
+of its buckets' leaders, then every member with the leader of its bucket, then with
+a few more, and links join components: a large group of near
 copies becomes one component without its pairs being listed.  In buckets that still
 span several components the remaining pairs are bounded by shingle profiles (512
 counters, whose minima are at least what two texts share), and those that could
@@ -45,8 +46,9 @@ SHORT = 40
 BROADCAST_IDS = 500_000
 #: Members that a copy of a leader's sequence serves.
 SERVED = 64
-#: First and last leader of the rounds before the rest is decided pair by pair.
-LEADERS = ((0, 1), (1, 5))
+#: First and last leader of the rounds before the rest is decided pair by pair, and whether a
+#: document tries the least of its buckets' leaders only.
+LEADERS = ((0, 1, True), (0, 1, False), (1, 5, False))
 #: Counters of a text's shingle profile, and members of a block that one task pairs with another.
 PROFILE = 512
 BLOCK = 1024
@@ -435,7 +437,7 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
     current = members.select("bucket", "v", "size", F.col("v").alias("label"))
     edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
-    for first, last in (*LEADERS, (0, 0)):
+    for first, last, single in (*LEADERS, (0, 0, False)):
         rank = [F.xxhash64(F.lit(n), "v") for n in range(first, max(last, first + 1))]
         found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label", "size"), r) for r in rank]))
         lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), found.alias("leaders"))
@@ -444,6 +446,9 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
             fits = lambda x: F.least(x["size"], F.col("size")) >= SIMILARITY * F.greatest(x["size"], F.col("size")) - 1e-6
             to_try = F.filter("leaders", lambda x: (x["label"] != F.col("label")) & (x["v"] != F.col("v")) & fits(x))
             pairs = met.select("v", "n", F.explode(F.transform(to_try, lambda x: x["v"])).alias("a"))
+            if single:  # a member of a large group is in many of its buckets
+                least = F.min_by(F.struct("a", "n"), F.struct(F.xxhash64(F.lit(first), "a"), "n"))
+                pairs = pairs.groupBy("v").agg(least.alias("x")).select("v", "x.n", "x.a")
             pairs = pairs.groupBy("a", F.col("v").alias("b")).agg(F.ceil(F.max("n") / SERVED).cast("int").alias("salts"))
         else:
             pairs = _remaining_pairs(met, sequences)
