@@ -393,7 +393,8 @@ def _prefixes(frequent):
             seqs = [np.frombuffer(x, np.uint32).astype(_U) for x in batch.column("seq").to_pylist()]
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in seqs])]).astype(np.int64)
             keys, counts = prefix_keys(_labelled(np.concatenate([np.zeros(0, _U), *seqs]), cuts), cuts, np.arange(len(seqs)), last)
-            yield pa.RecordBatch.from_arrays([batch.column("v"), list_array(pa.array(keys.view(np.int64)), np.concatenate([[0], np.cumsum(counts)]))], names=["v", "shingles"])
+            lists = list_array(pa.array(keys.view(np.int64)), np.concatenate([[0], np.cumsum(counts)]))
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("label"), batch.column("size"), lists], names=["v", "label", "size", "shingles"])
 
     return run
 
@@ -406,14 +407,14 @@ def _prefix_groups(large: DataFrame, sequences: DataFrame) -> DataFrame:
     """
     spark = large.sparkSession
     vertices = materialize(large.select("v", "label", "size").distinct(), "large")
-    own = materialize(sequences.join(vertices.select("v"), "v", "left_semi"), "large-sequences")
+    own = materialize(sequences.join(vertices, "v").select("v", "label", "size", "seq"), "large-sequences")
     total = vertices.agg(F.sum("size")).first()[0] or 0
     counted = own.select("seq").mapInArrow(_label_counts, "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     # no more than FREQUENT shingles can be in more than their share of all
     often = counted.where(F.col("n") > max(2, -(-total // FREQUENT))).select("s").toArrow().column("s").to_numpy()
     last = spark.sparkContext.broadcast(np.sort(often.astype(np.int64).view(_U)))
-    keyed = own.mapInArrow(_prefixes(last), "v long, shingles array<long>").select("v", F.explode("shingles").alias("bucket"))
-    keyed = materialize(keyed.join(vertices, "v"), "prefixes")
+    keyed = own.mapInArrow(_prefixes(last), "v long, label long, size int, shingles array<long>")
+    keyed = materialize(keyed.select("v", "label", "size", F.explode("shingles").alias("bucket")), "prefixes")
     span = keyed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
     return keyed.join(span.select("bucket", "n"), "bucket")
 
