@@ -8,6 +8,7 @@ it.  Tables that no result reads any more are deleted as soon as possible.
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -30,8 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         sc = spark.sparkContext
         configured = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not configured:
+    if not configured and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not configured:  # one machine: driver and executors are one process
+        configured = tempfile.mkdtemp(prefix="provspark-")
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
