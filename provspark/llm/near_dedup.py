@@ -10,12 +10,14 @@ the first fifth of their shingles in any common order.  Documents with equal wor
 sequences are one vertex from the start, so copies are never expanded.
 
 Buckets are resolved in rounds.  First every document is aligned with a single one
-of its buckets' leaders, then every member with the leader of its bucket, then with
-a few more, and links join components: a large group of near
+of its buckets' leaders, then every member with the leader of its bucket, and links
+join components: a large group of near
 copies becomes one component without its pairs being listed.  In buckets that still
 span several components the remaining pairs are bounded by shingle profiles (512
 counters, whose minima are at least what two texts share), and those that could
-reach the similarity are aligned.  Members of buckets that are too large to pair
+reach the similarity are aligned: first a spanning forest of the strongest bounds,
+which is linear in a bucket, then all that its links left unconnected.  Members of
+buckets that are too large to pair
 are dealt anew by the prefix filter, frequent shingles last.  So each pair of a
 bucket is aligned, connected already, or proven too different.  Alignment runs on
 the shingle sequences inside the diagonal band that the similarity allows: with M
@@ -48,7 +50,9 @@ BROADCAST_IDS = 500_000
 SERVED = 64
 #: First and last leader of the rounds before the rest is decided pair by pair, and whether a
 #: document tries the least of its buckets' leaders only.
-LEADERS = ((0, 1, True), (0, 1, False), (1, 5, False))
+LEADERS = ((0, 1, True), (0, 1, False))
+#: Rounds in which a bucket's components are aligned along a spanning forest, before all pairs that remain.
+FORESTS = 1
 #: Counters of a text's shingle profile, and members of a block that one task pairs with another.
 PROFILE = 512
 BLOCK = 1024
@@ -339,15 +343,41 @@ def _profiles(batches):
         yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([_profile(x) for x in batch.column("seq").to_pylist()], pa.binary())], names=["v", "profile"])
 
 
-def _bounded_pairs(table: pa.Table) -> pa.Table:
+def spanning_forest(a: np.ndarray, b: np.ndarray, strength: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Indexes of edges (a, b) that connect the components as all edges do, the strongest ones.
+
+    a and b index ``component``; each pass takes the best edge of every component.
+    """
+    _, own = np.unique(component, return_inverse=True)
+    order = np.argsort(-strength, kind="stable")
+    chosen = [np.zeros(0, np.int64)]
+    while True:
+        order = order[own[a[order]] != own[b[order]]]
+        if not len(order):
+            return np.unique(np.concatenate(chosen))
+        x, y = own[a[order]], own[b[order]]
+        here, at = np.unique(np.stack([x, y], axis=1).ravel(), return_index=True)
+        best = at // 2
+        chosen.append(order[best])
+        parent = np.arange(own.max() + 1)
+        parent[here] = x[best] + y[best] - here
+        roots = (parent[parent] == np.arange(len(parent))) & (np.arange(len(parent)) < parent)
+        parent[roots] = np.flatnonzero(roots)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        own = parent[own]
+
+
+def _bounded_pairs(table: pa.Table, forest: bool = False) -> pa.Table:
     """Pairs between two blocks of a bucket (or in one) that aren't connected yet
-    and whose sizes and profiles leave room for the similarity."""
+    and whose sizes and profiles leave room for the similarity; a spanning forest
+    of them if asked for."""
     v, label, size, home = (table.column(c).to_numpy() for c in ("v", "label", "size", "home"))
     raw = [np.frombuffer(x, np.uint16 if len(x) == 2 * PROFILE else np.uint32) for x in table.column("profile").to_pylist()]
     profile = np.stack(raw)
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     mine, others = np.flatnonzero(home == low), np.flatnonzero(home == high)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(mine), step := max(1, 4096 // max(1, len(others)))):
         rows = mine[at : at + step]
         least, most = np.minimum(size[rows, None], size[others]), np.maximum(size[rows, None], size[others])
@@ -358,13 +388,26 @@ def _bounded_pairs(table: pa.Table) -> pa.Table:
         for k in range(0, len(i), 8192):
             x, y = rows[i[k : k + 8192]], others[j[k : k + 8192]]
             shared = np.minimum(profile[x], profile[y]).sum(axis=1, dtype=np.int64)
-            ok = shared >= SIMILARITY * (size[x].astype(np.int64) + size[y] - shared) - 1e-6
-            out.append((v[x[ok]], v[y[ok]]))
-    a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*out) if out else ([], [])))
+            union = size[x].astype(np.int64) + size[y] - shared
+            ok = shared >= SIMILARITY * union - 1e-6
+            out.append((x[ok], y[ok], shared[ok] / np.maximum(union[ok], 1)))
+    x, y = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
+    if forest:
+        kept = spanning_forest(x, y, np.concatenate([np.zeros(0), *(o[2] for o in out)]), label)
+        x, y = x[kept], y[kept]
+    a, b = v[x], v[y]
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _block_pairs(met: DataFrame, profiles: DataFrame) -> DataFrame:
+def _all_pairs(table: pa.Table) -> pa.Table:
+    return _bounded_pairs(table, False)
+
+
+def _forest_pairs(table: pa.Table) -> pa.Table:
+    return _bounded_pairs(table, True)
+
+
+def _block_pairs(met: DataFrame, profiles: DataFrame, forest: bool) -> DataFrame:
     """Pairs of met(bucket, v, label, size, n) that an alignment has still to decide.
 
     A bucket is one task's group up to BLOCK members; a larger one is dealt into
@@ -374,7 +417,7 @@ def _block_pairs(met: DataFrame, profiles: DataFrame) -> DataFrame:
     dealt = met.select("bucket", "v", "label", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("home"))
     dealt = dealt.select("bucket", "v", "label", "size", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = dealt.select("bucket", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "v", "label", "size", "home").join(profiles, "v")
-    return rows.groupBy("bucket", "low", "high").applyInArrow(_bounded_pairs, "a long, b long")
+    return rows.groupBy("bucket", "low", "high").applyInArrow(_forest_pairs if forest else _all_pairs, "a long, b long")
 
 
 def _label_counts(batches):
@@ -419,12 +462,12 @@ def _prefix_groups(large: DataFrame, sequences: DataFrame) -> DataFrame:
     return keyed.join(span.select("bucket", "n"), "bucket")
 
 
-def _remaining_pairs(met: DataFrame, sequences: DataFrame) -> DataFrame:
+def _remaining_pairs(met: DataFrame, sequences: DataFrame, forest: bool) -> DataFrame:
     profiles = sequences.select("v", "seq").mapInArrow(_profiles, "v long, profile binary")
-    pairs = _block_pairs(met.where(F.col("n") <= BLOCK).select("bucket", "v", "label", "size", "n"), profiles)
+    pairs = _block_pairs(met.where(F.col("n") <= BLOCK).select("bucket", "v", "label", "size", "n"), profiles, forest)
     large = met.where(F.col("n") > BLOCK)
     if not large.isEmpty():
-        pairs = pairs.unionByName(_block_pairs(_prefix_groups(large, sequences), profiles))
+        pairs = pairs.unionByName(_block_pairs(_prefix_groups(large, sequences), profiles, forest))
     return pairs.distinct().withColumn("salts", F.lit(16))
 
 
@@ -438,8 +481,9 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
     current = members.select("bucket", "v", "size", F.col("v").alias("label"))
     edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
-    for first, last, single in (*LEADERS, (0, 0, False)):
-        rank = [F.xxhash64(F.lit(n), "v") for n in range(first, max(last, first + 1))]
+    rounds = (*LEADERS, *[(0, 0, False)] * (FORESTS + 1))
+    for n, (first, last, single) in enumerate(rounds):
+        rank = [F.xxhash64(F.lit(k), "v") for k in range(first, max(last, first + 1))]
         found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label", "size"), r) for r in rank]))
         lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), found.alias("leaders"))
         met = materialize(current.join(lead.where(F.col("low") != F.col("high")).select("bucket", "n", "leaders"), "bucket"), "met")
@@ -452,7 +496,7 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
                 pairs = pairs.groupBy("v").agg(least.alias("x")).select("v", "x.n", "x.a")
             pairs = pairs.groupBy("a", F.col("v").alias("b")).agg(F.ceil(F.max("n") / SERVED).cast("int").alias("salts"))
         else:
-            pairs = _remaining_pairs(met, sequences)
+            pairs = _remaining_pairs(met, sequences, forest=n + 1 < len(rounds))
         links = materialize(_links(materialize(pairs, "pairs"), sequences), "links")
         current = met.select("bucket", "v", "size", "label")
         if not links.isEmpty():

@@ -201,3 +201,20 @@ def test_tables_are_deleted(spark, tmp_path):
     assert len(os.listdir(folder)) == 3
     release(spark)
     assert os.listdir(folder) == []
+
+
+def test_spanning_forest_connects_what_all_edges_connect():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (2, 1), (30, 20), (40, 400)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        component, strength = rng.integers(0, n, n), rng.integers(0, 5, m) / 5
+        kept = N.spanning_forest(a, b, strength, component)
+
+        def components(edges):
+            own = component.copy()
+            for i in edges:
+                own[own == own[a[i]]] = own[b[i]]
+            return len(np.unique(own))
+
+        assert components(kept) == components(range(m))
+        assert len(kept) == len(np.unique(component)) - components(range(m))
