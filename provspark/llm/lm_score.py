@@ -452,20 +452,21 @@ def train(blocks: DataFrame, counts: Counts, worker_tokens: int = WORKER_TOKENS)
     return weights
 
 
-def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, step: int = 512) -> np.ndarray:
-    """Log of the softmax of each row's target, by batched products."""
+def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, step: int = 128) -> np.ndarray:
+    """Log of the softmax of each row's target, by batched products that stay in the cache."""
     out = np.empty(len(h), np.float64)
-    turned = np.ascontiguousarray(outputs.T)
+    turned, ones = np.ascontiguousarray(outputs.T), np.ones(len(outputs), np.float32)
+    # no product is beyond the product of the longest vectors, so exp can't overflow
+    bounded = np.einsum("ij,ij->i", h, h).max(initial=0) * np.einsum("ij,ij->i", outputs, outputs).max(initial=0) < 60.0**2
     for at in range(0, len(h), step):
         z = h[at : at + step] @ turned
         own = z[np.arange(len(z)), target[at : at + step]].astype(np.float64)
-        top = z.max()
-        if top > 60:  # exp could overflow
+        if not bounded:
             high = z.max(axis=1, keepdims=True)
             z -= high
             own -= high[:, 0]
         np.exp(z, out=z)
-        out[at : at + step] = own - np.log(z.sum(axis=1, dtype=np.float64))
+        out[at : at + step] = own - np.log((z @ ones).astype(np.float64))
     return out
 
 
