@@ -1,6 +1,6 @@
 """Language-model scores of documents: add-one unigrams, and a log-bilinear model.
 
-Blocks.  Each task turns about 16 MB of text into one row: the block's distinct
+Blocks.  Each task turns about 8 MB of text into one row: the block's distinct
 words as sorted 64-bit hashes with their training counts, and the documents'
 tokens as indexes among them.  Blocks are written once.
 
@@ -24,6 +24,9 @@ round, to workers of about ``WORKER_TOKENS`` tokens; the workers of a round star
 from the same weights and their results are averaged.  So weights depend on the
 corpus only, not on its partitioning.  Scores are normalised log-probabilities
 from batched matrix products.
+
+Memory.  A task holds one block at a time, and of its tokens' contexts and scores
+one slice, so what it needs doesn't grow with the corpus or with its partitions.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import drop_table, mark, materialize, one_blas_thread, release, slices, text_bytes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_ENTRIES = 200_000
 #: Most words of the model, and the occurrences that a word needs.  They bound the weights: 4.7 MB, broadcast.
 VOCABULARY = 1 << 15
@@ -57,7 +60,9 @@ WORKER_TOKENS = 2_000_000
 #: Workers whose weights one task averages.
 AVERAGED = 8
 #: Tokens of a text that are scored at once.
-SCORED = 1 << 17
+SCORED = 1 << 16
+#: Blocks are written in row groups of about this many bytes, so neither their writer nor a reader holds many.
+ROW_GROUP = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _U = np.uint64
 #: The token that ends a text.
 END = _U(0xE4D0_F7E1_7000_0001)
@@ -272,11 +277,11 @@ def start_weights(counts: Counts) -> Weights:
     return Weights(*parts, [np.full(x.shape[:-1], FIRST_SQUARE, np.float32) for x in parts])
 
 
-def contexts(symbols: np.ndarray, offsets: np.ndarray, before: int) -> np.ndarray:
-    """[tokens x CONTEXT]: the symbols before each token, nearest first."""
-    at = np.arange(len(symbols))
-    begin = np.repeat(offsets[:-1], np.diff(offsets))
-    out = np.full((len(symbols), CONTEXT), before, np.int64)
+def contexts(symbols: np.ndarray, offsets: np.ndarray, before: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """[tokens x CONTEXT]: the symbols before each token from start to stop, nearest first."""
+    at = np.arange(start, len(symbols) if stop is None else min(stop, len(symbols)))
+    begin = np.repeat(offsets[:-1], np.diff(np.clip(offsets, start, start + len(at))))
+    out = np.full((len(at), CONTEXT), before, np.int64)
     for j in range(1, CONTEXT + 1):
         ok = at - j >= begin
         out[ok, j - 1] = symbols[at[ok] - j]
@@ -369,9 +374,10 @@ class Trainer:
             self.step(context[at : at + BATCH], target[at : at + BATCH], rng)
 
 
-def _unpack(batch: pa.RecordBatch, row: int):
+def _unpack(batch: pa.RecordBatch | pa.Table, row: int):
+    """A block's arrays, without copies."""
     types = {"words": _U, "tail": np.uint8, "tokens": np.uint32, "offsets": np.int64}
-    return {c: np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in types.items()}
+    return {c: np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in types.items()}
 
 
 def _deal_documents(counts_var, this_round: int, workers: int):
@@ -473,10 +479,10 @@ def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, step: int
 def log_probabilities(weights: Weights, counts: Counts, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Natural log of each symbol's probability after those before it, normalised over all symbols."""
     out = np.empty(len(symbols), np.float64)
-    context = contexts(symbols, offsets, counts.symbols)
     mapped = [weights.inputs @ m for m in weights.maps]
     for at in range(0, len(symbols), SCORED):
-        t, h = symbols[at : at + SCORED], predicted(mapped, context[at : at + SCORED])
+        t = symbols[at : at + SCORED].astype(np.int64)
+        h = predicted(mapped, contexts(symbols, offsets, counts.symbols, at, at + SCORED))
         own = counts.classes_of(t)
         part = _log_sums(h, weights.classes, own)
         order = np.argsort(own.astype(np.uint16), kind="stable")
@@ -489,35 +495,33 @@ def log_probabilities(weights: Weights, counts: Counts, symbols: np.ndarray, off
 
 
 def _score(shared_var):
-    def run(batches):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        """The scores of one block's documents; answers are its shards' counts."""
         one_blas_thread()
         counts, weights = shared_var.value
         unit = np.log10(counts.tokens + counts.words + 1.0)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                b = _unpack(batch, row)
-                answers = sorted(batch.column("answers")[row].as_py(), key=lambda x: x["shard"])
-                c = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in answers])
-                kind = symbols_of(b["words"], b["tail"], counts)
-                base = np.log10(c + 1.0) - unit
-                k = np.maximum(kind - counts.size, 0)
-                inside = np.where(kind < counts.size, 0.0, np.log10(c + 1.0) - np.log10(counts.tail_tokens[k] + counts.tail_words[k] + 1.0))
-                tokens, offsets = b["tokens"], b["offsets"]
-                model = log_probabilities(weights, counts, kind[tokens], offsets) / np.log(10) + inside[tokens]
-                begin = offsets[:-1]
-                n = len(begin)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_ids").slice(row, 1).flatten(),
-                        batch.column("held").slice(row, 1).flatten(),
-                        pa.array(np.diff(offsets)),
-                        pa.array(np.add.reduceat((c > 0)[tokens].astype(np.int64), begin)),
-                        pa.array(np.full(n, counts.tokens, np.int64)),
-                        pa.array(np.add.reduceat(base[tokens], begin)),
-                        pa.array(np.add.reduceat(model, begin)),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        b = _unpack(block, 0)
+        c = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in answers.sort_by("shard").column("counts")])
+        kind = symbols_of(b["words"], b["tail"], counts)
+        k = np.maximum(kind - counts.size, 0)
+        inside = np.where(kind < counts.size, 0.0, np.log10(c + 1.0) - np.log10(counts.tail_tokens[k] + counts.tail_words[k] + 1.0))
+        tokens, offsets = b["tokens"], b["offsets"]
+        begin = offsets[:-1]
+        added = lambda x: np.add.reduceat(x, begin)
+        model = log_probabilities(weights, counts, kind.astype(np.uint16)[tokens], offsets)
+        model /= np.log(10)
+        model += inside[tokens]
+        return pa.table(
+            {
+                "doc_id": block.column("doc_ids").combine_chunks().flatten(),
+                "held_out": block.column("held").combine_chunks().flatten(),
+                "n_tokens": pa.array(np.diff(offsets)),
+                "n_known": pa.array(added((c > 0).astype(np.int64)[tokens])),
+                "train_tokens": pa.array(np.full(len(begin), counts.tokens, np.int64)),
+                "base_score": pa.array(added((np.log10(c + 1.0) - unit)[tokens])),
+                "score": pa.array(added(model)),
+            }
+        )
 
     return run
 
@@ -527,7 +531,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"), held_out().alias("held_out"), F.xxhash64("doc_id", text).alias("row_key"))
     schema = f"block long, n_words long, doc_ids array<{id_type}>, held array<boolean>, row_keys array<long>, words binary, tail binary, counts binary, tokens binary, offsets binary"
-    return materialize(rows.mapInArrow(_blocks, schema), "blocks")
+    return materialize(rows.mapInArrow(_blocks, schema), "blocks", ROW_GROUP)
 
 
 def count_words(blocks: DataFrame) -> DataFrame:
@@ -556,7 +560,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = gather_counts(added)
     weights = train(blocks, counts)
     release(spark, begin, (blocks, added))
-    answers = added.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
-    joined = blocks.select("block", "doc_ids", "held", "words", "tail", "tokens", "offsets").join(answers, "block")
+    answers = added.where("block is not null").select("block", "shard", "counts")
+    scored = blocks.select("block", "doc_ids", "held", "words", "tail", "tokens", "offsets")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined.mapInArrow(_score(spark.sparkContext.broadcast((counts, weights))), schema)
+    # a group is one block: joined rows would be sent to Python many blocks at once
+    return scored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(spark.sparkContext.broadcast((counts, weights))), schema)

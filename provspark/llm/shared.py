@@ -43,11 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back; options are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/provspark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -490,3 +490,24 @@ def test_text_bytes_of_slices():
     assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 0, 2]
     batch = pa.record_batch({"text": a})
     assert [b.num_rows for b in slices(batch, "text", 3)] == [3, 1, 1]
+
+
+def test_scoring_holds_one_slice_of_a_block(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    tail = np.full(LM.TAIL_CLASSES, 5, np.int64)
+    counts = LM.Counts(10_000, 400, np.arange(300, dtype=np.uint64) * 7 + 1, np.arange(300, 0, -1) + 9, tail, tail // 2)
+    weights = LM.start_weights(counts)
+    symbols = rng.integers(0, counts.symbols, 1 << 20).astype(np.uint16)
+    offsets = np.concatenate([[0], np.sort(rng.choice(np.arange(1, len(symbols)), 3000, replace=False)), [len(symbols)]])
+    tracemalloc.start()
+    LM.log_probabilities(weights, counts, symbols, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # 8 MB are the result's; contexts of the whole block alone took 32 MB and as much to make them
+    few, cuts = symbols[:900], np.array([0, 1, 2, 250, 251, 900])
+    whole = LM.log_probabilities(weights, counts, few, cuts)
+    assert (LM.contexts(few, cuts, 9999, 248, 256) == LM.contexts(few, cuts, 9999)[248:256]).all()
+    monkeypatch.setattr(LM, "SCORED", 7)
+    assert LM.log_probabilities(weights, counts, few, cuts) == pytest.approx(whole, abs=1e-5)
