@@ -7,15 +7,15 @@ it.  Tables that no result reads any more are deleted as soon as possible.
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.blas import one_blas_thread  # noqa: F401
+
 #: Bytes of text that a numpy kernel works on at once.  A longer single text is
 #: a slice of its own, so no text is ever cut.
 SLICE_BYTES = 1 << 20
@@ -114,17 +114,3 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 
 def list_array(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-
-
-def one_blas_thread() -> None:
-    """Let numpy's products run in the task's own thread.
-
-    Tasks are what a cluster runs in parallel; a second thread of the small
-    products here only spins on another task's core.
-    """
-    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
-        library = ctypes.CDLL(str(path))
-        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
-            if hasattr(library, name):
-                getattr(library, name)(1)
-                break

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,26 +19,69 @@ def overlapping_pairs(spans: DataFrame, group: str, order: str) -> DataFrame:
     )
 
 
+#: Counters of how many sets hold an item, by its hash; pairs that the driver holds at most (16 bytes each).
+COUNTERS = 1 << 20
+MOST_PAIRS = 1_000_000
+
+
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+
+def _count(batches):
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_counter(batch.column("hashes").flatten().to_numpy()), minlength=COUNTERS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
+
+
+def _rarest(shared, threshold: float):
+    def run(batches):
+        """The items of each set that one of them must be in any similar set, rarest first; those of one set alone don't count."""
+        counts = shared.value
+        for batch in batches:
+            n = pc.list_value_length(batch.column("hashes")).to_numpy().astype(np.int64)
+            hashes = batch.column("hashes").flatten().to_numpy()
+            own, often = np.repeat(np.arange(len(n)), n), counts[_counter(hashes)]
+            order = np.lexsort((hashes, often, own))
+            keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+            at = order[(place < np.repeat(keep, n)) & (often[order] > 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), batch.column("k").take(pa.array(own[at])), pa.array(n[own[at]].astype(np.int32))], names=["item", "k", "n"])
+
+    return run
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of sets(id, items: array of distinct strings) with Jaccard >= threshold.
 
     Exact by prefix filtering: two sets that similar share one of their rarest
-    n - ceil(threshold * n) + 1 items, so only those are joined.  Sets that are
-    equal are one representative until the end; hence copies aren't joined.
+    n - ceil(threshold * n) + 1 items, so only those are joined, as 64-bit hashes;
+    any common order will do, and the one taken counts items by hash.  The items
+    themselves are read again for the pairs found and compared as strings.  Sets
+    that are equal stand behind their least id; hence copies aren't joined.  Sets
+    are told apart by 64 bits until then.
     """
-    keyed = sets.where(F.size("items") > 0).withColumn("set_key", F.sha2(F.array_join(F.array_sort("items"), "\u0001"), 256))
-    classes = keyed.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("items").alias("items"))
-    n = F.size("items")
-    df = classes.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    weighed = classes.select("rep", n.alias("n"), F.explode("items").alias("item")).join(df, "item")
-    rarest = Window.partitionBy("rep").orderBy("df", "item")
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = weighed.withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= keep) & (F.col("df") > 1)).select("rep", "n", "item")
+    spark = sets.sparkSession
+    keyed = sets.where(F.size("items") > 0).withColumn("k", F.xxhash64(F.array_sort("items")))
+    hashed = keyed.select("k", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
+    found = hashed.select("hashes").mapInArrow(_count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    prefix = hashed.mapInArrow(_rarest(spark.sparkContext.broadcast(counts), threshold), "item long, k long, n int").distinct()
     a, b = prefix.alias("a"), prefix.alias("b")
-    close = (F.col("a.item") == F.col("b.item")) & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    candidates = a.join(b, close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    items = classes.select("rep", "items")
-    full = candidates.join(items.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b")
+    close = (F.col("a.item") == F.col("b.item")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
+    pairs = a.join(b, close).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct()
+    few = pairs.limit(MOST_PAIRS + 1).toArrow()
+    if few.num_rows <= MOST_PAIRS:
+        pairs = spark.createDataFrame(few.to_pandas(), "ka long, kb long")
+    ends = pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct()
+    needed = keyed.join(F.broadcast(ends) if few.num_rows <= MOST_PAIRS else ends, "k", "left_semi")
+    # what is equal in 64 bits may still differ
+    same = F.sha2(F.array_join(F.array_sort("items"), "\u0001"), 256)
+    classes = needed.groupBy("k", same.alias("set_key")).agg(F.min("id").alias("rep"), F.first("items").alias("items"))
+    left, right = (classes.select(F.col("k").alias(f"k{x}"), F.col("rep").alias(f"r{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
     both = F.size(F.array_intersect("ia", "ib"))
-    linked = full.withColumn("jaccard", both / (F.size("ia") + F.size("ib") - both)).where(F.col("jaccard") >= threshold - 1e-12)
-    return linked.select("a", "b", "jaccard")
+    full = pairs.join(left, "ka").join(right, "kb").withColumn("jaccard", both / (F.size("ia") + F.size("ib") - both))
+    return full.where(F.col("jaccard") >= threshold - 1e-12).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "jaccard")

@@ -32,8 +32,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None
     """queries(query_id, q), vectors(vec_id, embedding, ...): the k nearest of each query.
 
     Up to QUERIES query vectors are one matrix that every task holds: a batch of
-    vectors is scored by one product and sends on its k best of each query, with
-    ties, for the exact ranking.  Larger query tables are searched in parts of
+    vectors is scored by one product and sends on what can be among the k best of
+    each query in its task so far, with ties, for the exact ranking.  Larger query tables are searched in parts of
     that size.
     """
     from .lexical import top_k
@@ -58,13 +58,15 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None
 def _best_of_batch(shared, k: int):
     def run(batches):
         ids, matrix = shared.value
+        so_far = np.full(len(ids), -np.inf)
         for batch in batches:
             if not batch.num_rows or not len(matrix):
                 continue
             score = matrix @ _unit(batch.column("embedding")).T
             rounded = np.round(score, 6)
             least = np.partition(rounded, -k, axis=1)[:, -k] if rounded.shape[1] > k else np.full(len(rounded), -np.inf)
-            row, at = np.nonzero(rounded >= least[:, None])
+            so_far = np.maximum(so_far, least)
+            row, at = np.nonzero(rounded >= so_far[:, None])
             kept = batch.drop_columns(["embedding"]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *kept.columns, pa.array(score[row, at])], names=["query_id", *kept.schema.names, "score"])
 

@@ -170,18 +170,25 @@ def structural_search_batch(spark, sf_dir):
  FROM v_windows w JOIN (SELECT item_id AS query_id, string_split(text, '.')[1] AS term FROM benchmark) q ON contains(w.chunk, q.term)) WHERE rank <= 20""", "v_docs", "v_windows"))
 def exact_substring_search(spark, sf_dir):
     """Windows that hold each benchmark item's first sentence."""
-    q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", r"\."), F.lit(0)).alias("term"))
-    hits = _windows(spark, sf_dir).join(F.broadcast(q), F.contains("chunk", "term"))
-    order = Window.partitionBy("query_id").orderBy("path", "ordinal")
-    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 20").select("query_id", "doc_id", "ordinal", "rank")
+    q = _phrases(spark, sf_dir).withColumn("terms", F.lit(None).cast("array<string>"))
+    return lexical.search(_windows(spark, sf_dir), q, 20, _BY_PATH, _KEPT).select("query_id", "doc_id", "ordinal", "rank")
+
+
+_KEPT = ["doc_id", "ordinal", "path", "authority", "priority"]
+_BY_PATH = [("path", False), ("ordinal", False)]
+
+
+def _phrases(spark, sf_dir):
+    """query_id, phrase: the first sentence of each benchmark text."""
+    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", r"\."), F.lit(0)).alias("phrase"))
 
 
 def _index(spark, sf_dir):
     return lexical.build_postings(_windows(spark, sf_dir), ["doc_id", "ordinal"], ["path", "authority", "priority"])
 
 
-def _query_terms(spark, sf_dir, whole=False):
-    return V.queries(spark, sf_dir, whole).select("query_id", F.explode("terms").alias("term"))
+def _bm25(spark, sf_dir, whole, k, predicate=None):
+    return lexical.search(_windows(spark, sf_dir), V.queries(spark, sf_dir, whole), k, _BY_PATH, _KEPT, predicate)
 
 
 def _whole(f):
@@ -221,15 +228,13 @@ _TOP = "SELECT query_id, doc_id, ordinal, round(score, 6) AS score, rank FROM (S
 @query(_bm25_sql(_TOP.format(where="")))
 @_whole
 def bm25_topk_batch(spark, sf_dir, whole=False):
-    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole))
-    return lexical.top_k(hits, 10, ["path", "ordinal"]).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, sf_dir, whole, 10).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_bm25_sql(_TOP.format(where=" WHERE authority >= 3")))
 @_whole
 def bm25_filtered_topk(spark, sf_dir, whole=False):
-    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole), FilterSet(authority_floor=3).predicate())
-    return lexical.top_k(hits, 10, ["path", "ordinal"]).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, sf_dir, whole, 10, FilterSet(authority_floor=3).predicate()).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_bm25_sql("""SELECT query_id, doc_id, ordinal, round(score, 6) AS score, channels, rank FROM (
@@ -241,11 +246,10 @@ def bm25_filtered_topk(spark, sf_dir, whole=False):
 @_whole
 def lexical_union_boosted(spark, sf_dir, whole=False):
     """BM25 rows and rows with the whole phrase, which adds 2 to the score."""
-    bm = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole)).withColumn("channel", F.lit("bm25"))
-    q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", r"\."), F.lit(0)).alias("term"))
-    exact = _windows(spark, sf_dir).join(F.broadcast(q), F.contains("chunk", "term")).withColumn("score", F.lit(2.0)).withColumn("channel", F.lit("exact"))
-    both = bm.unionByName(exact.select(bm.columns)).groupBy("query_id", "doc_id", "ordinal", "path", "authority", "priority").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_list("channel")), ",").alias("channels"))
-    top = lexical.top_k(both, 10, [F.col("authority").desc(), F.col("priority").desc(), "path", "ordinal"])
+    q = V.queries(spark, sf_dir, whole).join(_phrases(spark, sf_dir), "query_id")
+    order = [("authority", True), ("priority", True), *_BY_PATH]
+    top = lexical.search(_windows(spark, sf_dir), q, 10, order, _KEPT)
+    top = top.withColumn("channels", F.concat_ws(",", F.when(F.col("matched"), "bm25"), F.when(F.col("exact"), "exact")))
     return top.select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"), "channels", "rank")
 
 
@@ -285,7 +289,7 @@ def cosine_topk_blocks(spark, sf_dir):
 @_whole
 def rrf_fusion(spark, sf_dir, whole=False):
     key = ["doc_id", "ordinal", "authority", "priority"]
-    bm = lexical.top_k(lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole)), 20, ["path", "ordinal"]).withColumn("channel", F.lit("bm25"))
+    bm = _bm25(spark, sf_dir, whole, 20).withColumn("channel", F.lit("bm25"))
     exact = exact_substring_search(spark, sf_dir).join(V.docs(spark, sf_dir).select("doc_id", "authority", "priority"), "doc_id").withColumn("channel", F.lit("structural"))
     ranked = bm.select("query_id", "channel", "rank", *key).unionByName(exact.select("query_id", "channel", "rank", *key))
     fused = fusion.reciprocal_ranks(ranked, key)
@@ -295,8 +299,7 @@ def rrf_fusion(spark, sf_dir, whole=False):
 @query(_bm25_sql("""SELECT query_id, doc_id, ordinal, in_group FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 6) DESC, ordinal) AS in_group FROM bm) WHERE in_group <= 3"""))
 @_whole
 def span_cap_per_section(spark, sf_dir, whole=False):
-    hits = lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole))
-    return fusion.span_cap(hits, ["query_id", "doc_id"], 3, [F.round("score", 6).desc(), "ordinal"]).select("query_id", "doc_id", "ordinal", "in_group")
+    return lexical.span_cap(_windows(spark, sf_dir), V.queries(spark, sf_dir, whole), 3, "doc_id", ["doc_id", "ordinal"])
 
 
 @query(V.sql("""SELECT a, b, round(j, 9) AS jaccard FROM (
@@ -409,9 +412,11 @@ def fingerprint(spark, sf_dir):
 @_whole
 def eval_recall_mrr(spark, sf_dir, whole=False):
     """How well BM25 finds a document that holds the item's first sentence."""
-    q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", r"\."), F.lit(0)).alias("term"))
-    expected = V.docs(spark, sf_dir).join(F.broadcast(q), F.contains("text", "term")).select("query_id", "doc_id").distinct()
-    hits = bm25_topk_batch(spark, sf_dir, whole).join(expected, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    q = _phrases(spark, sf_dir)
+    hits = bm25_topk_batch(spark, sf_dir, whole).select("query_id", "doc_id", "rank").join(q, "query_id")
+    # only documents among the hits are asked for the phrase; the hits are ten a query
+    found = V.docs(spark, sf_dir).select("doc_id", "text").join(F.broadcast(hits), "doc_id").where(F.contains("text", "phrase"))
+    hits = found.groupBy("query_id").agg(F.min("rank").alias("first"))
     return structural.retrieval_metrics(q.select("query_id").join(hits, "query_id", "left"))
 
 
@@ -420,7 +425,7 @@ def eval_recall_mrr(spark, sf_dir, whole=False):
 @_whole
 def corpus_compression(spark, sf_dir, whole=False):
     found = bm25_topk_batch(spark, sf_dir, whole).select("doc_id", "ordinal").distinct()
-    returned = _windows(spark, sf_dir).join(found, ["doc_id", "ordinal"]).agg(F.sum(F.length("chunk")).alias("returned_chars"))
+    returned = _windows(spark, sf_dir).join(F.broadcast(found), ["doc_id", "ordinal"]).agg(F.sum(F.length("chunk")).alias("returned_chars"))
     corpus = V.docs(spark, sf_dir).agg(F.sum(F.length("text")).alias("corpus_chars"))
     return corpus.crossJoin(returned).withColumn("compression", F.round(1 - F.col("returned_chars") / F.col("corpus_chars"), 6))
 

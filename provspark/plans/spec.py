@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import classify
 from ..functions.embed import HashEmbedding, embedder
 from ..functions.patterns import QUERY_CLASSES, SYMBOLS
-from ..operators import graph, hybrid, lexical, markdown, pack, semantic
+from ..operators import graph, hybrid, markdown, pack, semantic
 from ..operators.extract import assertions_of
 from ..sources import views as V
-from .catalogue import _SECTION_VIEWS, SHOWN, _index, _md_sections, _query_terms, _windows, query
+from .catalogue import _SECTION_VIEWS, SHOWN, _bm25, _md_sections, _windows, query
 
 #: A small specification in Markdown, which holds every construct: (path, authority, priority, text).
 SPEC = [
@@ -159,7 +159,7 @@ def _query_vectors(spark, sf_dir):
 
 @query()
 def hash_embedding_search(spark, sf_dir):
-    found = semantic.search(_query_vectors(spark, sf_dir), _embedded(spark, sf_dir), 10, ["path", "ordinal"])
+    found = semantic.search(_query_vectors(spark, sf_dir), _embedded(spark, sf_dir).select("doc_id", "ordinal", "path", "embedding"), 10, ["path", "ordinal"])
     return found.select("query_id", "doc_id", "ordinal", F.round("score", 4).alias("score"), "rank")
 
 
@@ -167,10 +167,12 @@ def hash_embedding_search(spark, sf_dir):
 def hybrid_search_batch(spark, sf_dir):
     """BM25 and hash embeddings over windows, fused and spread."""
     depth = 40
-    bm = lexical.top_k(lexical.score(_index(spark, sf_dir), _query_terms(spark, sf_dir, whole=True)), depth, ["path", "ordinal"]).withColumn("channel", F.lit("bm25"))
-    near = semantic.search(_query_vectors(spark, sf_dir), _embedded(spark, sf_dir), depth, ["path", "ordinal"]).withColumn("channel", F.lit("semantic"))
+    bm = _bm25(spark, sf_dir, True, depth).withColumn("channel", F.lit("bm25"))
+    near = semantic.search(_query_vectors(spark, sf_dir), _embedded(spark, sf_dir).select("doc_id", "ordinal", "path", "embedding"), depth, ["path", "ordinal"]).withColumn("channel", F.lit("semantic"))
     keys = ["query_id", "doc_id", "ordinal", "rank", "channel"]
-    hits = bm.select(keys).unionByName(near.select(keys)).join(_windows(spark, sf_dir), ["doc_id", "ordinal"])
+    hits = bm.select(keys).unionByName(near.select(keys))
+    # 40 hits a query and channel; the windows stay where they are
+    hits = _windows(spark, sf_dir).join(F.broadcast(hits), ["doc_id", "ordinal"])
     end = F.col("start_offset") + F.length("chunk")
     spans = hits.select(
         "query_id", "channel", F.col("rank").cast("long"), F.lit(0.0).alias("boost"), F.col("path").alias("section"), "path", F.col("start_offset").alias("start"), end.alias("end"), "authority", "priority", F.sha2("chunk", 256).alias("sha256"), F.col("chunk").alias("text")
