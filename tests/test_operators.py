@@ -343,3 +343,58 @@ def test_entry_without_the_training_data_operators(monkeypatch):
     monkeypatch.setattr(entry.importlib, "import_module", missing)
     assert "bm25_topk_batch" in entry.queries() and "pipeline" not in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _windows_and_queries(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)] + ["the"] * 30
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for i in range(700)}
+    texts |= {i: texts[i - 300] for i in range(900, 960)}  # copies tie
+    rows = [(i // 5, i % 5, f"p{i // 5:03}", t) for i, t in texts.items()]
+    queries = [(q, sorted({rng.choice(words) for _ in range(n)}), texts[q * 9][:40]) for q, n in enumerate((1, 3, 8, 20, 40))]
+    queries += [(8, ["absent"], "absent"), (9, [], None)]
+    return rows, spark.createDataFrame(rows, "doc_id long, ordinal long, path string, chunk string").coalesce(3), queries, spark.createDataFrame(queries, "query_id long, terms array<string>, phrase string")
+
+
+def test_bm25_search_keeps_postings_where_they_are(spark, monkeypatch):
+    """The same as by joined postings, ties too; nothing but the tasks' best rows and the counts is dealt out."""
+    from provspark.operators import lexical
+
+    rows, windows, queries, table = _windows_and_queries(spark)
+    order = [("path", False), ("ordinal", False)]
+    terms = table.selectExpr("query_id", "explode(terms) AS term")
+    old = lexical.top_k(lexical.score(lexical.build_postings(windows, ["doc_id", "ordinal"], ["path"]), terms), 10, ["path", "ordinal"])
+    plain = lambda df: sorted((r["query_id"], r["doc_id"], r["ordinal"], round(r["score"], 6), r["rank"]) for r in df.collect())
+    found = lexical.search(windows, table.drop("phrase"), 10, order, ["doc_id", "ordinal", "path"])
+    expected = plain(old)
+    assert plain(found) == expected
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
+    assert plain(lexical.search(windows, table.drop("phrase"), 10, order, ["doc_id", "ordinal", "path"])) == expected
+    exact = lexical.search(windows, table.withColumn("terms", F.lit(None).cast("array<string>")), 5, order, ["doc_id", "ordinal", "path"])
+    want = [(q, d, o, 2.0, k + 1) for q, _, p in queries if p is not None for k, (_, o, d) in enumerate(sorted((path, o, d) for d, o, path, t in rows if p in t)[:5])]
+    assert plain(exact) == sorted(want)
+
+
+def test_span_cap_of_whole_groups(spark):
+    from provspark.operators import fusion, lexical
+
+    _, windows, _, table = _windows_and_queries(spark)
+    windows = windows.repartition(3, "doc_id").sortWithinPartitions("doc_id", "ordinal")
+    hits = lexical.score(lexical.build_postings(windows, ["doc_id", "ordinal"], ["path"]), table.selectExpr("query_id", "explode(terms) AS term"))
+    want = fusion.span_cap(hits, ["query_id", "doc_id"], 3, [F.round("score", 6).desc(), "ordinal"]).select("query_id", "doc_id", "ordinal", "in_group")
+    got = lexical.span_cap(windows, table.drop("phrase"), 3, "doc_id", ["doc_id", "ordinal"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_jaccard_pairs_rank_no_items_by_a_shuffle(spark):
+    """Items are ordered inside a set's row; a window over all sets' items would deal all of them out."""
+    from provspark.operators import overlap
+
+    sets = [(i, [f"{i}-{j}" for j in range(400)]) for i in range(50)]
+    sets += [(100, [f"x{j}" for j in range(100)]), (101, [f"x{j}" for j in range(96)]), (102, [f"x{j}" for j in range(100)]), (103, [])]
+    got = overlap.jaccard_pairs(spark.createDataFrame(sets, "id long, items array<string>"), 0.92)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["a"], r["b"], round(r["jaccard"], 6)) for r in got.collect()] == [(100, 101, 0.96)]
