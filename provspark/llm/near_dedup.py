@@ -16,9 +16,10 @@ copies becomes one component without its pairs being listed.  In buckets that st
 span several components the remaining pairs are bounded by shingle profiles (512
 counters, whose minima are at least what two texts share), and those that could
 reach the similarity are aligned: first a spanning forest of the strongest bounds,
-which is linear in a bucket, then all that its links left unconnected.  Members of
-buckets that are too large to pair
-are dealt anew by the prefix filter, frequent shingles last.  So each pair of a
+which is linear in a bucket, then, between members that had a possible partner, all
+that its links left unconnected.  Members of buckets that are too large to pair
+are dealt anew by the prefix filter, frequent shingles last; what is still larger
+than a task's share is paired along the lines of a square.  So each pair of a
 bucket is aligned, connected already, or proven too different.  Alignment runs on
 the shingle sequences inside the diagonal band that the similarity allows: with M
 the longest common subsequence, M / (|A| + |B| - M) >= 0.8 is a link.
@@ -56,6 +57,9 @@ FORESTS = 1
 #: Counters of a text's shingle profile, and members of a block that one task pairs with another.
 PROFILE = 512
 BLOCK = 1024
+#: Sides of the squares that larger buckets are dealt onto (primes), and pairs that a forest's search holds at once.
+SIDES = [p for p in range(2, 1024) if all(p % d for d in range(2, p))]
+HELD_PAIRS = 1 << 20
 #: At most this many frequent shingles are put last by the prefix filter of large buckets (8 bytes each, broadcast).
 FREQUENT = 50_000
 #: Edits from which a lower bound is tried before the exact alignment.
@@ -369,21 +373,26 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, strength: np.ndarray, componen
 
 
 def _bounded_pairs(table: pa.Table, forest: bool = False) -> pa.Table:
-    """Pairs between two blocks of a bucket (or in one) that aren't connected yet
-    and whose sizes and profiles leave room for the similarity; a spanning forest
-    of them if asked for."""
+    """Pairs of a group of a bucket's members that aren't connected yet and whose
+    sizes and profiles leave room for the similarity.  Members of one home are
+    paired only in groups with low = high.
+
+    If a forest is asked for, a spanning forest of these pairs, and one row
+    (a, bucket, size) for each member that is in any of them.
+    """
+    table = table.sort_by("size")
     v, label, size, home = (table.column(c).to_numpy() for c in ("v", "label", "size", "home"))
     raw = [np.frombuffer(x, np.uint16 if len(x) == 2 * PROFILE else np.uint32) for x in table.column("profile").to_pylist()]
     profile = np.stack(raw)
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    mine, others = np.flatnonzero(home == low), np.flatnonzero(home == high)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(mine), step := max(1, 4096 // max(1, len(others)))):
-        rows = mine[at : at + step]
-        least, most = np.minimum(size[rows, None], size[others]), np.maximum(size[rows, None], size[others])
-        ok = (least >= SIMILARITY * most - 1e-6) & (label[rows, None] != label[others])
-        if low == high:
-            ok &= v[rows, None] < v[others]
+    within = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    live, held = np.zeros(len(v), bool), 0
+    for at in range(0, len(v), step := max(1, 4096 // max(1, len(v)))):
+        rows = np.arange(at, min(at + step, len(v)))
+        others = np.arange(at + 1, np.searchsorted(size, (size[rows[-1]] + 1e-6) / SIMILARITY, "right"))
+        ok = (size[rows, None] >= SIMILARITY * size[others] - 1e-6) & (label[rows, None] != label[others]) & (rows[:, None] < others)
+        if not within:
+            ok &= home[rows, None] != home[others]
         i, j = np.nonzero(ok)
         for k in range(0, len(i), 8192):
             x, y = rows[i[k : k + 8192]], others[j[k : k + 8192]]
@@ -391,12 +400,25 @@ def _bounded_pairs(table: pa.Table, forest: bool = False) -> pa.Table:
             union = size[x].astype(np.int64) + size[y] - shared
             ok = shared >= SIMILARITY * union - 1e-6
             out.append((x[ok], y[ok], shared[ok] / np.maximum(union[ok], 1)))
-    x, y = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
-    if forest:
-        kept = spanning_forest(x, y, np.concatenate([np.zeros(0), *(o[2] for o in out)]), label)
-        x, y = x[kept], y[kept]
+            live[x[ok]] = live[y[ok]] = True
+            held += len(out[-1][0])
+        if forest and held > HELD_PAIRS:
+            out = [_forest(out, label)]
+            held = 0
+    x, y, _ = _forest(out, label) if forest else (np.concatenate(o) for o in zip(*out))
     a, b = v[x], v[y]
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    pairs = {"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "bucket": pa.nulls(len(a), pa.int64()), "size": pa.nulls(len(a), pa.int32())}
+    if not forest:
+        return pa.table(pairs)
+    members = table.filter(pa.array(live)).select(["v", "bucket", "size"])
+    left = {"a": members.column("v"), "b": pa.nulls(members.num_rows, pa.int64()), "bucket": members.column("bucket"), "size": members.column("size").cast(pa.int32())}
+    return pa.concat_tables([pa.table(pairs), pa.table(left)])
+
+
+def _forest(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray) -> tuple[np.ndarray, ...]:
+    x, y, strength = (np.concatenate(o) for o in zip(*pairs))
+    kept = spanning_forest(x, y, strength, label)
+    return x[kept], y[kept], strength[kept]
 
 
 def _all_pairs(table: pa.Table) -> pa.Table:
@@ -407,17 +429,44 @@ def _forest_pairs(table: pa.Table) -> pa.Table:
     return _bounded_pairs(table, True)
 
 
-def _block_pairs(met: DataFrame, profiles: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of met(bucket, v, label, size, n) that an alignment has still to decide.
+def _dealt(met: DataFrame) -> DataFrame:
+    """(bucket, low, high, v, label, size, home): the members of met(bucket, v, label, size, n), by the groups in which they are paired.
+
+    A bucket of up to two blocks is one group.  In a larger one any two members
+    of different labels meet in exactly one group of a few blocks:
 
-    A bucket is one task's group up to BLOCK members; a larger one is dealt into
-    blocks, and a group is a pair of blocks.
+    * if all labels but the most frequent fill no more than a block, that label is
+      dealt into blocks, and only the other members are in every group;
+    * else members are dealt onto the points of a square of prime side, and the
+      groups are its lines: a member is in one more than the side, so rows grow
+      with n * sqrt(n / BLOCK) and not with n * n / BLOCK.  Members of one point
+      meet on all its lines and are paired on the one with low = high.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = met.select("bucket", "v", "label", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("home"))
-    dealt = dealt.select("bucket", "v", "label", "size", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = dealt.select("bucket", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "v", "label", "size", "home").join(profiles, "v")
-    return rows.groupBy("bucket", "low", "high").applyInArrow(_forest_pairs if forest else _all_pairs, "a long, b long")
+    whole = met.where(F.col("n") <= 2 * BLOCK).select("bucket", F.lit(0).alias("low"), F.lit(0).alias("high"), "v", "label", "size", F.lit(0).alias("home"))
+    large = met.where(F.col("n") > 2 * BLOCK)
+    if large.isEmpty():
+        return whole
+    labels = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = labels.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"))
+    group = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    own, blocks = F.col("label") == F.col("main.label"), F.ceil(F.col("main.c") / BLOCK).cast("int")
+    served = F.when(own, F.array(F.pmod(F.xxhash64("v"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    star = F.transform(served, lambda k: group(k, F.when(k == 0, 0).otherwise(-1)))
+    side = F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, SIDES)), lambda p: p * p * F.lit(BLOCK).cast("long") >= F.col("n"))), F.lit(SIDES[-1]))
+    rows = large.join(main, "bucket").withColumn("side", side).withColumn("point", F.pmod(F.xxhash64("v"), F.col("side") * F.col("side")).cast("int"))
+    x, y = F.floor(F.col("point") / F.col("side")).cast("int"), F.col("point") % F.col("side")
+    slopes = F.transform(F.sequence(F.lit(0), F.col("side") - 1), lambda m: group(m, F.col("side") + F.pmod(y - m * x, F.col("side"))))
+    few = F.col("n") - F.col("main.c") <= BLOCK
+    groups = F.when(few, star).otherwise(F.concat(F.array(group(x, x)), slopes))
+    home = F.when(few, F.when(own, 0).otherwise(1)).otherwise(F.col("point"))
+    rows = rows.select("bucket", "v", "label", "size", home.alias("home"), F.explode(groups).alias("g"))
+    return whole.unionByName(rows.select("bucket", "g.low", "g.high", "v", "label", "size", "home"))
+
+
+def _block_pairs(met: DataFrame, profiles: DataFrame, forest: bool) -> DataFrame:
+    """(a, b, bucket, size) of :func:`_bounded_pairs`: what an alignment has still to decide of met(bucket, v, label, size, n)."""
+    rows = _dealt(met).join(profiles, "v")
+    return rows.groupBy("bucket", "low", "high").applyInArrow(_forest_pairs if forest else _all_pairs, "a long, b long, bucket long, size int")
 
 
 def _label_counts(batches):
@@ -462,13 +511,23 @@ def _prefix_groups(large: DataFrame, sequences: DataFrame) -> DataFrame:
     return keyed.join(span.select("bucket", "n"), "bucket")
 
 
-def _remaining_pairs(met: DataFrame, sequences: DataFrame, forest: bool) -> DataFrame:
+def _remaining_pairs(met: DataFrame, sequences: DataFrame, forest: bool, refined: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b, salts), and of a forest the members (bucket, v, size) that may still link in their bucket.
+
+    Large buckets are dealt anew by a prefix filter, unless ``refined`` says that
+    they are groups of it already.
+    """
     profiles = sequences.select("v", "seq").mapInArrow(_profiles, "v long, profile binary")
-    pairs = _block_pairs(met.where(F.col("n") <= BLOCK).select("bucket", "v", "label", "size", "n"), profiles, forest)
     large = met.where(F.col("n") > BLOCK)
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_block_pairs(_prefix_groups(large, sequences), profiles, forest))
-    return pairs.distinct().withColumn("salts", F.lit(16))
+    if refined or large.isEmpty():
+        found = _block_pairs(met.select("bucket", "v", "label", "size", "n"), profiles, forest)
+    else:
+        found = _block_pairs(met.where(F.col("n") <= BLOCK).select("bucket", "v", "label", "size", "n").unionByName(_prefix_groups(large, sequences).select("bucket", "v", "label", "size", "n")), profiles, forest)
+    left = None
+    if forest:
+        found = materialize(found, "bounded")
+        left = found.where("b IS NULL").select("bucket", F.col("a").alias("v"), "size").distinct()
+    return found.where("b IS NOT NULL").select("a", "b").distinct().withColumn("salts", F.lit(16)), left
 
 
 def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -487,6 +546,7 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
         found = F.array_distinct(F.array(*[F.min_by(F.struct("v", "label", "size"), r) for r in rank]))
         lead = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), found.alias("leaders"))
         met = materialize(current.join(lead.where(F.col("low") != F.col("high")).select("bucket", "n", "leaders"), "bucket"), "met")
+        left = None
         if last:
             fits = lambda x: F.least(x["size"], F.col("size")) >= SIMILARITY * F.greatest(x["size"], F.col("size")) - 1e-6
             to_try = F.filter("leaders", lambda x: (x["label"] != F.col("label")) & (x["v"] != F.col("v")) & fits(x))
@@ -496,13 +556,14 @@ def _resolve(spark, members: DataFrame, keyed: DataFrame) -> DataFrame:
                 pairs = pairs.groupBy("v").agg(least.alias("x")).select("v", "x.n", "x.a")
             pairs = pairs.groupBy("a", F.col("v").alias("b")).agg(F.ceil(F.max("n") / SERVED).cast("int").alias("salts"))
         else:
-            pairs = _remaining_pairs(met, sequences, forest=n + 1 < len(rounds))
+            pairs, left = _remaining_pairs(met, sequences, forest=n + 1 < len(rounds), refined=n > len(LEADERS))
         links = materialize(_links(materialize(pairs, "pairs"), sequences), "links")
-        current = met.select("bucket", "v", "size", "label")
         if not links.isEmpty():
             edges = edges.unionByName(links.select("a", "b"))
             old, labels = labels, connected_components(edges)
             if old.inputFiles():
                 drop_table(old)
-            current = current.drop("label").join(labels, "v", "left").select("bucket", "v", "size", F.coalesce("label", "v").alias("label"))
+        # after a forest only members go on that have a partner left
+        current = met.select("bucket", "v", "size") if left is None else left
+        current = current.join(labels, "v", "left").select("bucket", "v", "size", F.coalesce("label", "v").alias("label"))
     return labels

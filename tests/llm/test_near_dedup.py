@@ -75,6 +75,49 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("main", [1, 350, 399])
+def test_large_buckets_are_dealt_in_less_than_squares(spark, monkeypatch, main):
+    """Members of different labels are paired in exactly one group, groups are small, rows grow far less than with the blocks."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    n = 400
+    members = [(7, 1000 + i, 0 if i < main else i, 50, n) for i in range(n)] + [(8, i, i, 50, 16) for i in range(16)]
+    rows = N._dealt(spark.createDataFrame(members, "bucket long, v long, label long, size int, n int")).collect()
+    assert sum(r["bucket"] == 8 for r in rows) == 16
+    assert sum(r["bucket"] == 7 for r in rows) <= n * {1: 12, 350: 12, 399: 1.13}[main] < n * n / N.BLOCK
+    groups, met = {}, {}
+    for r in rows:
+        groups.setdefault((r["bucket"], r["low"], r["high"]), []).append(r)
+    assert max(map(len, groups.values())) <= 12 * N.BLOCK
+    for (_, low, high), group in groups.items():
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                if a["label"] != b["label"] and (low == high or a["home"] != b["home"]):
+                    pair = (min(a["v"], b["v"]), max(a["v"], b["v"]))
+                    met[pair] = met.get(pair, 0) + 1
+    assert set(met.values()) == {1}
+    label = {v: k for _, v, k, _, _ in members}
+    assert len(met) == sum(label[1000 + i] != label[1000 + j] for i in range(n) for j in range(i)) + 16 * 15 // 2
+
+
+def test_members_without_a_partner_are_done_after_the_forest():
+    """Of three connected and one unlike member, only those with a possible partner go on; a bounded search keeps a forest."""
+    import pyarrow as pa
+
+    seqs = [np.arange(100), np.arange(1, 101), np.arange(2, 102), np.arange(50_000, 50_100)]
+    batch = pa.record_batch({"v": pa.array(range(4)), "seq": pa.array([(x * 40_000_003).astype(np.uint32).tobytes() for x in seqs], pa.binary())})
+    profile = pa.Table.from_batches(N._profiles([batch])).column("profile")
+    table = pa.table({"bucket": [9] * 4, "low": [0] * 4, "high": [0] * 4, "v": range(4), "label": range(4), "size": pa.array([100] * 4, pa.int32()), "home": [0] * 4, "profile": profile})
+    rows = N._bounded_pairs(table, True).to_pylist()
+    assert len([r for r in rows if r["b"] is not None]) == 2
+    assert sorted(r["a"] for r in rows if r["b"] is None) == [0, 1, 2] and {r["bucket"] for r in rows if r["b"] is None} == {9}
+    assert N._bounded_pairs(table).num_rows == 3
+    held, N.HELD_PAIRS = N.HELD_PAIRS, 0
+    try:
+        assert N._bounded_pairs(table, True).num_rows == 5
+    finally:
+        N.HELD_PAIRS = held
+
+
 def test_repeated_rows_and_nulls(spark):
     rows = [(5, "a b c d e f g h i j k l"), (5, "a b c d e f g h i j k l"), (3, "A, b c d e f g h i j k l!"), (None, "q r s"), (9, None), (8, "")]
     got = sorted((r["class_id"], r["doc_id"]) for r in N.near_duplicates(frame(spark, rows)).collect() if r["doc_id"] in (3, 5, 8, 9))
