@@ -261,3 +261,25 @@ def test_spanning_forest_connects_what_all_edges_connect():
 
         assert components(kept) == components(range(m))
         assert len(kept) == len(np.unique(component)) - components(range(m))
+
+
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    from provspark.llm import components
+
+    rng = np.random.default_rng(4)
+    chain = [(-i, -i - 1) for i in range(1, 40)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + chain + [(7, 7), (1 << 62, -(1 << 62))]
+    least = {v: v for e in edges for v in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda d, name: written.append(name) or materialize(d, name))
+    materialize = components.drop_table.__globals__["materialize"]
+    assert dict(map(tuple, components.connected_components(df).collect())) == least
+    assert written == ["labels"]
+    assert components.connected_components(df.limit(0)).count() == 0
+    monkeypatch.setattr(components, "IN_ONE_TASK", 0)
+    assert dict(map(tuple, components.connected_components(df).collect())) == least
+    assert written.count("edges") == 1
