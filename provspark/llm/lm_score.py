@@ -132,6 +132,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(7)) == 2, F.lit(False))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique with return_index and return_inverse, but the index is that of any occurrence: no stable sort."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 def _block(batch: pa.RecordBatch):
     """(distinct hashes, their tail classes, training counts, tokens, offsets) of a batch."""
     hashes, classes, sizes = [], [], []
@@ -154,7 +165,7 @@ def _block(batch: pa.RecordBatch):
         classes.append(t)
         sizes.append(n)
     hashes, classes, sizes = (np.concatenate(x) for x in (hashes, classes, sizes))
-    distinct, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
+    distinct, first, tokens = _distinct(hashes)
     training = np.repeat(~np.array(batch.column("held_out").to_pylist(), bool), sizes)
     counts = np.bincount(tokens[training], minlength=len(distinct))
     return distinct, classes[first], counts.astype(np.uint32), tokens.astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
@@ -195,7 +206,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     shard = table.column("shard")[0].as_py()
     parts = [np.frombuffer(b, _U) for b in table.column("words").to_pylist()]
     words = np.concatenate(parts)
-    distinct, first, where = np.unique(words, return_index=True, return_inverse=True)
+    distinct, first, where = _distinct(words)
     own = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()])
     tail = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("tail").to_pylist()])[first]
     total = np.bincount(where, weights=own, minlength=len(distinct)).astype(np.int64)
@@ -321,14 +332,15 @@ class Trainer:
     def _move(self, part: int, rows, grad: np.ndarray, size: int) -> None:
         grad = grad / np.float32(size)
         x, square = self.weights.parts[part], self.weights.squares[part]
-        square[rows] += np.square(grad).mean(axis=-1)
+        square[rows] += np.einsum("...i,...i->...", grad, grad) / np.float32(grad.shape[-1])
         x[rows] += RATE * grad / np.sqrt(square[rows])[..., None]
 
     def step(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
         w, size, sigmoid = self.weights, len(target), lambda x: 1 / (1 + np.exp(-x))
         e = w.inputs[context]
         h = np.ones((size, DIMENSIONS + 1), np.float32)
-        h[:, :-1] = sum(e[:, j] @ w.maps[j] for j in range(CONTEXT))
+        e, maps = e.reshape(size, -1), w.maps.reshape(-1, DIMENSIONS)
+        h[:, :-1] = e @ maps
         # the class: noise is shared by the batch
         own = self.classes[target]
         noise = rng.choice(len(self.class_share), size=CLASS_NOISE, p=self.class_share)
@@ -359,11 +371,10 @@ class Trainer:
                 np.matmul(down[a:b].T, hi[a:b], out=moved[n])
             back[inner] += pull
             moved = moved.reshape(-1, DIMENSIONS + 1)
-            rows, sums = _row_sums(t, up[:, None] * hi)
-            moves.append((3, *_row_sums(np.concatenate([rows, other.ravel()]), np.concatenate([sums, moved]))))
+            moves.append((3, *_row_sums(np.concatenate([t, other.ravel()]), np.concatenate([up[:, None] * hi, moved]))))
         back = back[:, :-1]
-        grad_maps = np.stack([e[:, j].T @ back for j in range(CONTEXT)])
-        grad_inputs = np.stack([back @ w.maps[j].T for j in range(CONTEXT)], axis=1).reshape(-1, DIMENSIONS)
+        grad_maps = (e.T @ back).reshape(w.maps.shape)
+        grad_inputs = (back @ maps.T).reshape(-1, DIMENSIONS)
         moves.append((0, *_row_sums(context.ravel(), grad_inputs)))
         for part, rows, grad in moves:
             self._move(part, rows, grad, size)
@@ -458,38 +469,47 @@ def train(blocks: DataFrame, counts: Counts, worker_tokens: int = WORKER_TOKENS)
     return weights
 
 
-def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, step: int = 128) -> np.ndarray:
-    """Log of the softmax of each row's target, by batched products that stay in the cache."""
-    out = np.empty(len(h), np.float64)
+def _longest(rows: np.ndarray) -> float:
+    """The square of the longest row's length."""
+    return float(np.einsum("ij,ij->i", rows, rows).max(initial=0))
+
+
+def _log_sums(h: np.ndarray, outputs: np.ndarray, target: np.ndarray, bounded: bool, step: int = 256) -> np.ndarray:
+    """Log of the softmax of each row's target, by batched products that stay in the cache.
+
+    bounded: no product is beyond 60, so exp can't overflow.
+    """
+    own, sums = np.empty(len(h), np.float64), np.empty(len(h), np.float64)
     turned, ones = np.ascontiguousarray(outputs.T), np.ones(len(outputs), np.float32)
-    # no product is beyond the product of the longest vectors, so exp can't overflow
-    bounded = np.einsum("ij,ij->i", h, h).max(initial=0) * np.einsum("ij,ij->i", outputs, outputs).max(initial=0) < 60.0**2
+    kept, at_row = np.empty((min(step, len(h)), len(outputs)), np.float32), np.arange(step)
     for at in range(0, len(h), step):
-        z = h[at : at + step] @ turned
-        own = z[np.arange(len(z)), target[at : at + step]].astype(np.float64)
+        z = kept[: len(h) - at]
+        np.matmul(h[at : at + step], turned, out=z)
         if not bounded:
-            high = z.max(axis=1, keepdims=True)
-            z -= high
-            own -= high[:, 0]
+            z -= z.max(axis=1, keepdims=True)
+        own[at : at + step] = z[at_row[: len(z)], target[at : at + step]]
         np.exp(z, out=z)
-        out[at : at + step] = own - np.log((z @ ones).astype(np.float64))
-    return out
+        sums[at : at + step] = z @ ones
+    return own - np.log(sums)
 
 
 def log_probabilities(weights: Weights, counts: Counts, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Natural log of each symbol's probability after those before it, normalised over all symbols."""
     out = np.empty(len(symbols), np.float64)
     mapped = [weights.inputs @ m for m in weights.maps]
+    outputs = max(_longest(weights.classes), _longest(weights.words))
     for at in range(0, len(symbols), SCORED):
         t = symbols[at : at + SCORED].astype(np.int64)
         h = predicted(mapped, contexts(symbols, offsets, counts.symbols, at, at + SCORED))
         own = counts.classes_of(t)
-        part = _log_sums(h, weights.classes, own)
+        # no product is beyond that of the longest vectors
+        bounded = _longest(h) * outputs < 60.0**2
+        part = _log_sums(h, weights.classes, own, bounded)
         order = np.argsort(own.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(own[order], np.arange(counts.word_classes + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[c] : cuts[c + 1]]
-            part[rows] += _log_sums(h[rows], weights.words[c * MEMBERS : (c + 1) * MEMBERS], t[rows] - c * MEMBERS)
+            part[rows] += _log_sums(h[rows], weights.words[c * MEMBERS : (c + 1) * MEMBERS], t[rows] - c * MEMBERS, bounded)
         out[at : at + SCORED] = part
     return out
 

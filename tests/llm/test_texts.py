@@ -511,3 +511,19 @@ def test_scoring_holds_one_slice_of_a_block(monkeypatch):
     assert (LM.contexts(few, cuts, 9999, 248, 256) == LM.contexts(few, cuts, 9999)[248:256]).all()
     monkeypatch.setattr(LM, "SCORED", 7)
     assert LM.log_probabilities(weights, counts, few, cuts) == pytest.approx(whole, abs=1e-5)
+
+
+def test_distinct_words_and_softmax_sums():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5000):
+        values = rng.integers(0, 700, n).astype(np.uint64) << np.uint64(50)
+        distinct, at, inverse = LM._distinct(values)
+        assert (distinct == np.unique(values)).all() and (values[at] == distinct).all() and (distinct[inverse] == values).all()
+    h, outputs, target = rng.normal(size=(700, 17)).astype(np.float32), rng.normal(size=(90, 17)).astype(np.float32), rng.integers(0, 90, 700)
+    z = h.astype(np.float64) @ outputs.T
+    exact = z[np.arange(700), target] - np.log(np.exp(z).sum(axis=1))
+    for bounded in (True, False):
+        for rows in (0, 1, 256, 700):
+            assert LM._log_sums(h[:rows], outputs, target[:rows], bounded) == pytest.approx(exact[:rows], abs=1e-4)
+    far = LM._log_sums(h * 100, outputs, target, False)
+    assert np.isfinite(far).all() and (far <= 0).all()
