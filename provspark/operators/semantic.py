@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blas import one_blas_thread
+
 #: Queries and vectors of a block.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 #: Query vectors that are broadcast at once.
@@ -28,13 +30,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None = None) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None = None, make=None) -> DataFrame:
     """queries(query_id, q), vectors(vec_id, embedding, ...): the k nearest of each query.
 
     Up to QUERIES query vectors are one matrix that every task holds: a batch of
     vectors is scored by one product and sends on what can be among the k best of
     each query in its task so far, with ties, for the exact ranking.  Larger query tables are searched in parts of
     that size.
+
+    make: a maker of providers; then ``embedding`` holds texts, which become vectors where they are scored.  A
+    Python column function would keep every row that waits for its vector, text and all, in a queue on disk.
     """
     from .lexical import top_k
 
@@ -50,19 +55,22 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None
         own = part.toArrow().combine_chunks()
         matrix = _unit(own.column("q").combine_chunks()) if own.num_rows else np.zeros((0, 0))
         shared = spark.sparkContext.broadcast((own.column("query_id").combine_chunks(), matrix))
-        scored = vectors.select(*(f.name for f in fields), "embedding").mapInArrow(_best_of_batch(shared, k), schema)
+        scored = vectors.select(*(f.name for f in fields), "embedding").mapInArrow(_best_of_batch(shared, k, make), schema)
         found = scored if found is None else found.unionByName(scored)
     return top_k(found, k, tiebreak or ["vec_id"])
 
 
-def _best_of_batch(shared, k: int):
+def _best_of_batch(shared, k: int, make=None):
     def run(batches):
+        one_blas_thread()
+        provider = make() if make else None
         ids, matrix = shared.value
         so_far = np.full(len(ids), -np.inf)
-        for batch in batches:
+        for batch in (x for b in batches for x in (_slices(b) if provider else [b])):
             if not batch.num_rows or not len(matrix):
                 continue
-            score = matrix @ _unit(batch.column("embedding")).T
+            own = batch.column("embedding")
+            score = matrix @ (_scaled(provider.embed_documents([t or "" for t in own.to_pylist()])) if provider else _unit(own)).T
             rounded = np.round(score, 6)
             least = np.partition(rounded, -k, axis=1)[:, -k] if rounded.shape[1] > k else np.full(len(rounded), -np.inf)
             so_far = np.maximum(so_far, least)
@@ -73,11 +81,20 @@ def _best_of_batch(shared, k: int):
     return run
 
 
+def _slices(batch: pa.RecordBatch):
+    """Few enough texts to embed at once."""
+    return (batch.slice(at, VECTOR_BLOCK) for at in range(0, batch.num_rows, VECTOR_BLOCK))
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """A list column as rows of length one; zero rows stay zero."""
     if not len(column):
         return np.zeros((0, 0))
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
     size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 

@@ -10,7 +10,7 @@ from ..functions.patterns import QUERY_CLASSES, SYMBOLS
 from ..operators import graph, hybrid, markdown, pack, semantic
 from ..operators.extract import assertions_of
 from ..sources import views as V
-from .catalogue import _SECTION_VIEWS, SHOWN, _bm25, _md_sections, _windows, query
+from .catalogue import _SECTION_VIEWS, _bm25, _md_sections, _windows, query
 
 #: A small specification in Markdown, which holds every construct: (path, authority, priority, text).
 SPEC = [
@@ -148,8 +148,9 @@ def symbol_extract_versioned(spark, sf_dir):
     return V.docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, F.lit(0)))).alias("symbol"))
 
 
-def _embedded(spark, sf_dir):
-    return _windows(spark, sf_dir).select(*SHOWN, "ordinal", "start_offset", "chunk", embedder(HashEmbedding)("chunk").alias("embedding"))
+def _to_embed(spark, sf_dir):
+    """Windows whose chunk is to be embedded where it is scored."""
+    return _windows(spark, sf_dir).select("doc_id", "ordinal", "path", F.col("chunk").alias("embedding"))
 
 
 def _query_vectors(spark, sf_dir):
@@ -159,7 +160,7 @@ def _query_vectors(spark, sf_dir):
 
 @query()
 def hash_embedding_search(spark, sf_dir):
-    found = semantic.search(_query_vectors(spark, sf_dir), _embedded(spark, sf_dir).select("doc_id", "ordinal", "path", "embedding"), 10, ["path", "ordinal"])
+    found = semantic.search(_query_vectors(spark, sf_dir), _to_embed(spark, sf_dir), 10, ["path", "ordinal"], HashEmbedding)
     return found.select("query_id", "doc_id", "ordinal", F.round("score", 4).alias("score"), "rank")
 
 
@@ -168,7 +169,7 @@ def hybrid_search_batch(spark, sf_dir):
     """BM25 and hash embeddings over windows, fused and spread."""
     depth = 40
     bm = _bm25(spark, sf_dir, True, depth).withColumn("channel", F.lit("bm25"))
-    near = semantic.search(_query_vectors(spark, sf_dir), _embedded(spark, sf_dir).select("doc_id", "ordinal", "path", "embedding"), depth, ["path", "ordinal"]).withColumn("channel", F.lit("semantic"))
+    near = semantic.search(_query_vectors(spark, sf_dir), _to_embed(spark, sf_dir), depth, ["path", "ordinal"], HashEmbedding).withColumn("channel", F.lit("semantic"))
     keys = ["query_id", "doc_id", "ordinal", "rank", "channel"]
     hits = bm.select(keys).unionByName(near.select(keys))
     # 40 hits a query and channel; the windows stay where they are

@@ -378,6 +378,20 @@ def test_bm25_search_keeps_postings_where_they_are(spark, monkeypatch):
     assert plain(exact) == sorted(want)
 
 
+def test_texts_are_embedded_where_they_are_scored(spark):
+    """The same as over vectors; no Python column function, whose queue of waiting rows holds the texts on disk."""
+    from provspark.functions.embed import embedder
+
+    rows, windows, queries, _ = _windows_and_queries(spark)
+    windows = windows.unionByName(spark.createDataFrame([(900, 0, "z", None)], windows.schema)).select("doc_id", "ordinal", "path", F.col("chunk").alias("embedding"))
+    q = spark.createDataFrame([(n, p) for n, _, p in queries if p], "query_id long, q string").withColumn("q", embedder(HashEmbedding)("q"))
+    vectors = windows.withColumn("embedding", embedder(HashEmbedding)("embedding"))
+    got = semantic.search(q, windows, 5, ["path", "ordinal"], HashEmbedding)
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["ordinal"], round(r["score"], 6)) for r in df.collect())
+    assert plain(got) == plain(semantic.search(q, vectors, 5, ["path", "ordinal"]))
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_span_cap_of_whole_groups(spark):
     from provspark.operators import fusion, lexical
 
