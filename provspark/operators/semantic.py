@@ -39,7 +39,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, tiebreak: list | None
     that size.
 
     make: a maker of providers; then ``embedding`` holds texts, which become vectors where they are scored.  A
-    Python column function would keep every row that waits for its vector, text and all, in a queue on disk.
+    Python column function would queue every row that waits for its vector, text and all; that queue can go to disk.
     """
     from .lexical import top_k
 
