@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import drop_table, materialize
+
 
 def overlapping_pairs(spans: DataFrame, group: str, order: str) -> DataFrame:
     """Pairs of spans(group, order, start, end) of one group that overlap: an
@@ -19,13 +21,14 @@ def overlapping_pairs(spans: DataFrame, group: str, order: str) -> DataFrame:
     )
 
 
-#: Counters of how many sets hold an item, by its hash; pairs that the driver holds at most (16 bytes each).
-COUNTERS = 1 << 20
-MOST_PAIRS = 1_000_000
+#: Counters of how many sets hold an item, by its hash; sets of a group that are compared in one task; sets whose places the executors hold at most.
+COUNTERS = 1 << 21
+GROUP = 512
+MOST_PLACES = 2_000_000
 
 
 def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+    return (hashes.view(np.uint32) >> np.uint32(11)).astype(np.int64)
 
 
 def _count(batches):
@@ -38,7 +41,7 @@ def _count(batches):
 
 def _rarest(shared, threshold: float):
     def run(batches):
-        """The items of each set that one of them must be in any similar set, rarest first; those of one set alone don't count."""
+        """The items of each set that one of them must be in any similar set, rarest first, with their places; those of one set alone don't count."""
         counts = shared.value
         for batch in batches:
             n = pc.list_value_length(batch.column("hashes")).to_numpy().astype(np.int64)
@@ -47,41 +50,112 @@ def _rarest(shared, threshold: float):
             order = np.lexsort((hashes, often, own))
             keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-            at = order[(place < np.repeat(keep, n)) & (often[order] > 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), batch.column("k").take(pa.array(own[at])), pa.array(n[own[at]].astype(np.int32))], names=["item", "k", "n"])
+            kept = (place < np.repeat(keep, n)) & (often[order] > 1)
+            at = order[kept]
+            columns = [pa.array(hashes[at]), batch.column("k").take(pa.array(own[at])), pa.array(n[own[at]].astype(np.int32)), pa.array(place[kept].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "k", "n", "p"])
+
+    return run
+
+
+def _set_key(items):
+    """What equal sets share and different ones don't."""
+    return F.sha2(F.array_join(F.sort_array(items), "\u0001"), 256)
+
+
+def _compared(threshold: float):
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        """Pairs of a group that are similar; the items are compared as strings."""
+        rows = sets.select(["k", "id"]).to_pandas()
+        rows = rows[~rows.duplicated()].sort_values("k", kind="stable")
+        keys, row = rows["k"].to_numpy(), rows.index.to_numpy()
+        items = sets.column("items").combine_chunks()
+        n = pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(n) - n
+        codes = items.flatten().dictionary_encode().indices.to_numpy()
+        ka, kb = (pairs.column(x).to_numpy() for x in ("ka", "kb"))
+        order = np.argsort(ka, kind="stable")
+        ka, kb = ka[order], kb[order]
+        # sets that are equal in 64 bits only have several rows
+        from_b, to_b = np.searchsorted(keys, kb, "left"), np.searchsorted(keys, kb, "right")
+        held, found = np.zeros(codes.max(initial=-1) + 1, bool), []
+        edges = np.flatnonzero(np.diff(ka)) + 1
+        for low, high in zip([0, *edges], [*edges, len(ka)], strict=True):
+            if low == high:
+                continue
+            many = to_b[low:high] - from_b[low:high]
+            other = row[np.arange(many.sum()) + np.repeat(from_b[low:high] - np.cumsum(many) + many, many)]
+            if not len(other):
+                continue
+            size = n[other]
+            at = np.arange(size.sum()) + np.repeat(start[other] - np.cumsum(size) + size, size)
+            for left in row[np.searchsorted(keys, ka[low], "left") : np.searchsorted(keys, ka[low], "right")]:
+                own = codes[start[left] : start[left] + n[left]]
+                held[own] = True
+                both = np.add.reduceat(held[codes[at]], np.cumsum(size) - size, dtype=np.int64)
+                held[own] = False
+                jaccard = both / (n[left] + size - both)
+                near = jaccard >= threshold - 1e-12
+                found.append((np.full(near.sum(), left), other[near], jaccard[near]))
+        left, right, jaccard = (np.concatenate([np.zeros(0, kind), *(x[i] for x in found)]) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table([sets.column("id").take(pa.array(left)), sets.column("id").take(pa.array(right)), pa.array(jaccard)], names=["ra", "rb", "jaccard"])
 
     return run
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs (ka, kb) with the group g in which they are compared.
+
+    Sets with the same least neighbour of a neighbour get a label, and at most
+    about GROUP sets of a label a part, so that a cluster of alike sets meets in
+    few groups, however many pairs it has.
+    """
+    both = pairs.select(F.col("ka").alias("k"), F.col("kb").alias("o")).unionByName(pairs.select(F.col("kb").alias("k"), F.col("ka").alias("o")))
+    least = both.groupBy("k").agg(F.min("o").alias("o")).select(F.col("k").alias("o"), F.least("k", "o").alias("label"))
+    labels = both.join(least, "o").groupBy("k").agg(F.min("label").alias("label"))
+    parts = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    places = materialize(labels.join(parts, "label").select("k", F.xxhash64("label", F.pmod(F.xxhash64("k"), F.col("parts"))).alias("part")), "jaccard-places")
+    groups = max(1, places.count() // GROUP)
+    a, b = (places.select(F.col("k").alias(f"k{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
+    g = F.pmod(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")), F.lit(groups)).cast("int").alias("g")
+    return pairs.join(a, "ka").join(b, "kb").select("ka", "kb", g)
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of sets(id, items: array of distinct strings) with Jaccard >= threshold.
 
     Exact by prefix filtering: two sets that similar share one of their rarest
-    n - ceil(threshold * n) + 1 items, so only those are joined, as 64-bit hashes;
-    any common order will do, and the one taken counts items by hash.  The items
-    themselves are read again for the pairs found and compared as strings.  Sets
-    that are equal stand behind their least id; hence copies aren't joined.  Sets
-    are told apart by 64 bits until then.
+    n - ceil(threshold * n) + 1 items, and after the first one they share enough
+    must be left in both, so only those are joined, as 32-bit hashes; any common
+    order will do, and the one taken counts items by hash.  Items are hashed once
+    and written.  The items themselves are read again for the sets of the pairs
+    found, dealt out once to each group of alike sets, not to each pair, and
+    compared as strings.  Sets that are equal stand behind their least id; hence
+    copies aren't joined.  Sets are told apart by 64 bits until the last.
     """
     spark = sets.sparkSession
-    keyed = sets.where(F.size("items") > 0).withColumn("k", F.xxhash64(F.array_sort("items")))
-    hashed = keyed.select("k", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
+    # generated, so that what reads the items doesn't make each its own
+    once = sets.select("id", F.explode(F.array("items")).alias("items")).where(F.size("items") > 0)
+    columns = [F.xxhash64(F.sort_array("items")).alias("k"), _set_key("items").alias("set_key"), F.transform("items", lambda x: F.hash(x)).alias("hashes")]
+    hashed = materialize(once.select("id", *columns), "jaccard-hashes")
     found = hashed.select("hashes").mapInArrow(_count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    prefix = hashed.mapInArrow(_rarest(spark.sparkContext.broadcast(counts), threshold), "item long, k long, n int").distinct()
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
+    prefix = hashed.select("k", "hashes").mapInArrow(_rarest(spark.sparkContext.broadcast(counts), threshold), "item int, k long, n int, p int").repartition("item").distinct()
     a, b = prefix.alias("a"), prefix.alias("b")
-    close = (F.col("a.item") == F.col("b.item")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, close).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct()
-    few = pairs.limit(MOST_PAIRS + 1).toArrow()
-    if few.num_rows <= MOST_PAIRS:
-        pairs = spark.createDataFrame(few.to_pandas(), "ka long, kb long")
-    ends = pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct()
-    needed = keyed.join(F.broadcast(ends) if few.num_rows <= MOST_PAIRS else ends, "k", "left_semi")
+    left_over = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    close = (F.col("a.item") == F.col("b.item")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-6) & left_over
+    pairs = materialize(a.join(b, close).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct(), "jaccard-pairs")
+    dealt = materialize(_dealt(pairs), "jaccard-dealt")
+    copies = dealt.select("g", F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.collect_set("g").alias("gs"))
     # what is equal in 64 bits may still differ
-    same = F.sha2(F.array_join(F.array_sort("items"), "\u0001"), 256)
-    classes = needed.groupBy("k", same.alias("set_key")).agg(F.min("id").alias("rep"), F.first("items").alias("items"))
-    left, right = (classes.select(F.col("k").alias(f"k{x}"), F.col("rep").alias(f"r{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
-    both = F.size(F.array_intersect("ia", "ib"))
-    full = pairs.join(left, "ka").join(right, "kb").withColumn("jaccard", both / (F.size("ia") + F.size("ib") - both))
-    return full.where(F.col("jaccard") >= threshold - 1e-12).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "jaccard")
+    classes = hashed.groupBy("k", "set_key").agg(F.min("id").alias("id"))
+    places = materialize(classes.join(copies, "k"), "jaccard-copies")
+    drop_table(hashed)
+    drop_table(pairs)
+    hint = F.broadcast if places.count() <= MOST_PLACES else lambda x: x
+    needed = sets.join(hint(places.select("id").distinct()), "id", "left_semi").select("id", F.explode(F.array("items")).alias("items"))
+    full = needed.select("id", "items", _set_key("items").alias("set_key")).join(hint(places), ["id", "set_key"]).select(F.explode("gs").alias("g"), "k", "id", "items")
+    schema = f"ra {sets.schema['id'].dataType.simpleString()}, rb {sets.schema['id'].dataType.simpleString()}, jaccard double"
+    near = full.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(_compared(threshold), schema)
+    return near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "jaccard")

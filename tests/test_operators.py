@@ -412,3 +412,63 @@ def test_jaccard_pairs_rank_no_items_by_a_shuffle(spark):
     got = overlap.jaccard_pairs(spark.createDataFrame(sets, "id long, items array<string>"), 0.92)
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r["a"], r["b"], round(r["jaccard"], 6)) for r in got.collect()] == [(100, 101, 0.96)]
+
+
+def _brute_pairs(sets, threshold):
+    least = {}
+    for i, x in sets:
+        if x:
+            least[frozenset(x)] = min(i, least.get(frozenset(x), i))
+    both = [(i, j, len(x & y) / len(x | y)) for x, i in least.items() for y, j in least.items() if i < j]
+    return sorted((i, j, round(s, 9)) for i, j, s in both if s >= threshold - 1e-12)
+
+
+def _jaccard_pairs(spark, sets, threshold):
+    found = overlap.jaccard_pairs(spark.createDataFrame(sets, "id long, items array<string>"), threshold)
+    return sorted((r["a"], r["b"], round(r["jaccard"], 9)) for r in found.collect())
+
+
+def test_jaccard_pairs_deal_out_sets_not_pairs(spark):
+    """A cluster of n alike sets has n * n pairs; its items go out once a set, not once or twice a pair."""
+    rng = np.random.default_rng(5)
+    base = [uuid.UUID(bytes=rng.bytes(16)).hex for _ in range(300)]
+    sets = [(i, [w for w in base if rng.random() > 0.01] + [f"u{i}"]) for i in range(120)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of large tables
+    try:
+        got = _jaccard_pairs(spark, sets, 0.92)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 120 * 119 // 2 and got == _brute_pairs(sets, 0.92)
+    assert written() - before < 3 * sum(len(w) for _, x in sets for w in x)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.92, 1.0])
+@pytest.mark.parametrize("group", [1, 4, 512])
+def test_jaccard_pairs_in_parts_and_groups(spark, monkeypatch, threshold, group):
+    monkeypatch.setattr(overlap, "GROUP", group)
+    rng = np.random.default_rng(group)
+    bases = [[f"{b % 4}-{i}" for i in range(n)] for b, n in enumerate([1, 2, 5, 12, 13, 25, 26, 40, 60])]
+    sets = [(1000 - i, [w for w in bases[i % 9] if rng.random() > 0.06] + [f"u{i}"] * int(rng.random() > 0.7)) for i in range(180)]
+    sets += [(5000 + i, sets[i][1][::-1]) for i in range(0, 180, 7)] + [(-1, None)]
+    assert _jaccard_pairs(spark, sets, threshold) == _brute_pairs(sets, threshold)
+
+
+def test_jaccard_pairs_of_items_with_one_hash(spark):
+    """Items that are equal in 32 bits are still told apart."""
+    words = spark.range(200_000).select(F.concat(F.lit("w"), "id").alias("w")).groupBy(F.hash("w").alias("h")).agg(F.collect_list("w").alias("ws")).where("size(ws) > 1").head(3)
+    rest = [f"r{i}" for i in range(23)]
+    sets = [(2 * n + i, [*(f"{n}{w}" for w in rest), r["ws"][i]]) for n, r in enumerate(words) for i in (0, 1)]
+    sets += [(100, [*rest, *words[0]["ws"][:2]]), (101, [*rest, words[0]["ws"][1]]), (102, [*rest, words[0]["ws"][0], "z"])]
+    assert words and _jaccard_pairs(spark, sets, 0.92) == _brute_pairs(sets, 0.92) != []
+
+
+def test_similar_sets_with_one_key_are_each_compared():
+    """Different sets that are equal in the 64 bits of their key are rows of their own; a row that came twice counts once."""
+    import pyarrow as pa
+
+    items = [["a", "b", "c"], ["a", "b", "c", "d"], ["a", "b", "c"], ["x"], ["a", "b", "c", "e"]]
+    sets = pa.table({"k": [1, 2, 1, 1, 2], "id": [10, 20, 10, 11, 21], "items": pa.array(items)})
+    got = overlap._compared(0.75)(sets, pa.table({"ka": [1], "kb": [2]}))
+    assert sorted(map(tuple, got.to_pandas().values.tolist())) == [(10.0, 20.0, 0.75), (10.0, 21.0, 0.75)]
