@@ -21,10 +21,11 @@ def overlapping_pairs(spans: DataFrame, group: str, order: str) -> DataFrame:
     )
 
 
-#: Counters of how many sets hold an item, by its hash; sets of a group that are compared in one task; sets whose places the executors hold at most.
+#: Counters of how many sets hold an item, by its hash; sets of a group that are compared in one task; bits of a set's sketch; ids, and places of sets, that the executors hold at most.
 COUNTERS = 1 << 21
 GROUP = 512
-MOST_PLACES = 2_000_000
+SKETCH_BITS = 2048
+MOST_IDS, MOST_PLACES = 2_000_000, 200_000
 
 
 def _counter(hashes: np.ndarray) -> np.ndarray:
@@ -63,6 +64,38 @@ def _set_key(items):
     return F.sha2(F.array_join(F.sort_array(items), "\u0001"), 256)
 
 
+def _sketched(batches):
+    """Sets' numbers of items, and for each of SKETCH_BITS bits whether an odd number of items has it."""
+    for batch in batches:
+        n = pc.list_value_length(batch.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
+        bit = batch.column("hashes").flatten().to_numpy().view(np.uint32) % SKETCH_BITS
+        sketches = []
+        for first in range(0, len(n), 1024):
+            size = n[first : first + 1024]
+            at = np.repeat(np.arange(len(size)), size) * SKETCH_BITS + bit[n[:first].sum() :][: size.sum()]
+            odd = np.bincount(at, minlength=len(size) * SKETCH_BITS).reshape(len(size), SKETCH_BITS) & 1
+            sketches += [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("set_key"), pa.array(n.astype(np.int32)), pa.array(sketches, pa.binary())], names=["id", "set_key", "n", "sketch"])
+
+
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+
+
+def _alike(threshold: float):
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        """Pairs of a group that may be similar: two sketches differ in no more bits than the sets in items."""
+        n = sets.column("n").to_numpy().astype(np.int64)
+        bits = np.frombuffer(b"".join(sets.column("sketch").to_pylist()), np.uint8).reshape(len(n), SKETCH_BITS // 8)
+        rows = sets.select(["k"]).to_pandas().reset_index(names="row")
+        both = pairs.select(["ka", "kb"]).to_pandas().merge(rows.rename(columns={"k": "ka", "row": "a"}), on="ka").merge(rows.rename(columns={"k": "kb", "row": "b"}), on="kb")
+        a, b = both["a"].to_numpy(), both["b"].to_numpy()
+        differ = np.concatenate([np.zeros(0, np.int64), *(_ONES[bits[a[x : x + 8192]] ^ bits[b[x : x + 8192]]].sum(axis=1, dtype=np.int64) for x in range(0, len(a), 8192))])
+        near = both.loc[differ <= (1 - threshold) / (1 + threshold) * (n[a] + n[b]) + 1e-6, ["ka", "kb"]].drop_duplicates()
+        return pa.Table.from_pandas(near, pa.schema([("ka", pa.int64()), ("kb", pa.int64())]), preserve_index=False)
+
+    return run
+
+
 def _compared(threshold: float):
     def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         """Pairs of a group that are similar; the items are compared as strings."""
@@ -118,7 +151,19 @@ def _dealt(pairs: DataFrame) -> DataFrame:
     groups = max(1, places.count() // GROUP)
     a, b = (places.select(F.col("k").alias(f"k{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
     g = F.pmod(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")), F.lit(groups)).cast("int").alias("g")
-    return pairs.join(a, "ka").join(b, "kb").select("ka", "kb", g)
+    return materialize(pairs.join(a, "ka").join(b, "kb").select("ka", "kb", g), "jaccard-dealt")
+
+
+def _copies(classes: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The classes in dealt pairs, with the groups gs that each is needed in."""
+    groups = dealt.select("g", F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.collect_set("g").alias("gs"))
+    return materialize(classes.select("k", "set_key", "id").join(groups, "k"), "jaccard-copies")
+
+
+def _of(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of a table whose id is a class's."""
+    ids = classes.select("id").distinct()
+    return table.join(F.broadcast(ids) if classes.count() <= MOST_IDS else ids, "id", "left_semi")
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -128,9 +173,9 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     n - ceil(threshold * n) + 1 items, and after the first one they share enough
     must be left in both, so only those are joined, as 32-bit hashes; any common
     order will do, and the one taken counts items by hash.  Items are hashed once
-    and written.  The items themselves are read again for the sets of the pairs
-    found, dealt out once to each group of alike sets, not to each pair, and
-    compared as strings.  Sets that are equal stand behind their least id; hence
+    and written.  Pairs whose sketches differ in more bits than similar sets may
+    in items are left out.  For the rest the items themselves are read again, dealt
+    out once to each group of alike sets, not to each pair, and compared as strings.  Sets that are equal stand behind their least id; hence
     copies aren't joined.  Sets are told apart by 64 bits until the last.
     """
     spark = sets.sparkSession
@@ -146,16 +191,20 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     left_over = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6
     close = (F.col("a.item") == F.col("b.item")) & (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-6) & left_over
     pairs = materialize(a.join(b, close).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct(), "jaccard-pairs")
-    dealt = materialize(_dealt(pairs), "jaccard-dealt")
-    copies = dealt.select("g", F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.collect_set("g").alias("gs"))
+    dealt = _dealt(pairs)
     # what is equal in 64 bits may still differ
-    classes = hashed.groupBy("k", "set_key").agg(F.min("id").alias("id"))
-    places = materialize(classes.join(copies, "k"), "jaccard-copies")
+    copies = _copies(hashed.groupBy("k", "set_key").agg(F.min("id").alias("id")), dealt)
+    kind = sets.schema["id"].dataType.simpleString()
+    sketches = _of(hashed, copies).select("id", "set_key", "hashes").mapInArrow(_sketched, f"id {kind}, set_key string, n int, sketch binary")
+    sketches = sketches.join(copies, ["id", "set_key"]).select(F.explode("gs").alias("g"), "k", "n", "sketch")
+    alike = materialize(sketches.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(_alike(threshold), "ka long, kb long"), "jaccard-alike")
     drop_table(hashed)
     drop_table(pairs)
-    hint = F.broadcast if places.count() <= MOST_PLACES else lambda x: x
-    needed = sets.join(hint(places.select("id").distinct()), "id", "left_semi").select("id", F.explode(F.array("items")).alias("items"))
-    full = needed.select("id", "items", _set_key("items").alias("set_key")).join(hint(places), ["id", "set_key"]).select(F.explode("gs").alias("g"), "k", "id", "items")
-    schema = f"ra {sets.schema['id'].dataType.simpleString()}, rb {sets.schema['id'].dataType.simpleString()}, jaccard double"
-    near = full.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(_compared(threshold), schema)
+    drop_table(dealt)
+    dealt = _dealt(alike)
+    places = _copies(copies, dealt)
+    needed = _of(sets, places).select("id", F.explode(F.array("items")).alias("items"))
+    held = F.broadcast(places) if places.count() <= MOST_PLACES else places
+    full = needed.select("id", "items", _set_key("items").alias("set_key")).join(held, ["id", "set_key"]).select(F.explode("gs").alias("g"), "k", "id", "items")
+    near = full.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(_compared(threshold), f"ra {kind}, rb {kind}, jaccard double")
     return near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "jaccard")
